@@ -139,5 +139,50 @@ SCORED = """scored as (
   from lineitem join orders on l_orderkey = o_orderkey)"""
 
 
+def _open_m(i):
+    return (f"(case when m_open < {i} or m_close > {i} or (balance = 0 and revolving = 0 and m_pay > {i}) then 0 else 1 end)")
+
+
+START = "cast(date_trunc('month', as_of) as date)"
+# trades plus the derived columns of functions/trade_columns.trade_base
+BASE = TRADES + f""", b1 as (
+  select *, case when closed < {START} or (balance = 0 and revolving = 0 and last_paid < {START}) then 0 else 1 end as is_open,
+    m_open as tenure, list_transform(range(0, 13), lambda i: {_open_m('i')}) as live,
+    case when account_type not in {in_list(V.ACCOUNT_CARD)} then sanction when credit_limit > 0 then credit_limit
+         else greatest(high_credit, sanction) end as limit_amount,
+    greatest(high_credit, sanction, 0.0) as highest,
+    as_of - opened as vintage_days, as_of - reported as report_days,
+    case when product = 'CC' then greatest(high_credit, credit_limit) else high_credit end as hc,
+    case when as_of - reported <= 365 then 1 end as recent
+  from trades),
+b2 as (
+  select *, case when case when limit_amount - balance >= 0 then limit_amount else balance end > 0
+              then case when limit_amount - balance >= 0 then limit_amount else balance end else 0.0 end as principal,
+    case when balance > 0 and sanction > 0 and is_open = 1 then
+      case product when 'CC' then 0.05::double * balance when 'HL' then 0.01::double * sanction else 0.03::double * sanction end
+      else 0.0 end as emi,
+    case when m_end = 0 then 1 when m_end <= 36 then len(list_filter(dpd, lambda x: x = 0))
+         else len(list_filter(dpd, lambda x: x = 0)) + m_end - 36 end as current_months
+  from b1),
+b3 as (
+  select *, case when revolving = 0 and principal > 0 and principal <= 5000 then principal
+     when revolving = 0 and principal > 5000 and principal > balance and current_months > 0 then (principal - balance) / current_months
+     when product in ('CC', 'PL') and principal > 0 then 0.05::double * principal
+     when product in ('HL', 'LAP') and principal > 0 then 0.007::double * principal
+     when principal > 0 then 0.03::double * principal else 0.0 end as emi_new
+  from b2),
+b4 as (
+  select *, case when live[1] = 1 then null when closed is not null then closed
+     when last_paid > cast(date_trunc('month', opened) as date) then last_paid else hist_start end as close_date
+  from b3),
+base as (
+  select *, cast(case when close_date is not null then {mdiff('close_date', 'opened')} + 1 when tenor > 0 then tenor
+       when balance > 0 and emi_new > 0 then m_open + balance / emi_new
+       when emi_new <> 0 then limit_amount / emi_new end as double) as loan_tenure,
+    {months_between('as_of', "cast(date_trunc('month', close_date) as date)")} as m_acct_close,
+    case when principal > 30000 then 1 else 0 end as long_term, case when principal <= 30000 then 1 else 0 end as short_term
+  from b4)"""
+
+
 def with_(*ctes, body):
     return "with " + ", ".join(ctes) + "\n" + body
