@@ -150,6 +150,12 @@ def safe_ratio(num, den, num_null=-1, den_null=-2, den_zero=-3, den_below=None,
     return out.otherwise(F.try_divide(n, d))
 
 
+def ratio_text(num, den, num_null="-1", den_null="-2", den_zero="-3"):
+    """safe_ratio as expression text, for generated families (an answer is any expression)."""
+    return (f"cast(case when {num} is null then {num_null} when {den} is null then {den_null} when {den} = 0 then {den_zero} "
+            f"else try_divide(double({num}), double({den})) end as double)")
+
+
 def null_safe_diff(a, b):
     """a-b where a missing side counts as nothing, and both missing as 0."""
     x, y = as_col(a), as_col(b)

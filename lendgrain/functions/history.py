@@ -1,4 +1,8 @@
-"""Payment history as arrays: slot i (1-based) is the month i months before the as-of month."""
+"""Payment history as arrays: slot i (1-based) is the month i months before the as-of month.
+
+An expression used inside a lambda is computed again for every element, so whatever a lambda needs
+besides its element is bound first with `let`.
+"""
 
 from pyspark.sql import functions as F
 
@@ -12,12 +16,16 @@ def _slots(n):
     return F.sequence(F.lit(1), F.lit(n))
 
 
+def let(value, body):
+    """body(value) with value computed once per row, also when body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # ---- unpacking ---------------------------------------------------------------------------------
 def unpack(c, width=3, n=SLOTS):
     """Fixed-width text to n strings ('' past the end)."""
-    text = as_col(c)
-    return F.when(text.isNotNull(), F.transform(
-        _slots(n), lambda i: F.substring(text, (i - 1) * width + 1, F.lit(width))))
+    return let(as_col(c), lambda text: F.when(text.isNotNull(), F.transform(
+        _slots(n), lambda i: F.substring(text, (i - 1) * width + 1, F.lit(width)))))
 
 
 def unpack_list(c, dtype="double", fmt=None):
@@ -49,19 +57,21 @@ def dpd_bucket(days, top=900):
     return out
 
 
-def bucket_code_a(code):
-    """Bureau A slot: special codes 901-905 have their own bucket, unreadable is 8."""
-    n = code.try_cast("int")
-    out = F.when(n == 901, F.lit(V.DPD_SPECIAL[901]))
-    for special in (902, 903, 904, 905):
-        out = out.when(n == special, F.lit(V.DPD_SPECIAL[special]))
+def code_number(code):
+    """A history code as a number, null for text. (The pattern test is cheap; a failing cast is not.)"""
+    return F.when(code.rlike(r"^\s*[0-9]{1,9}\s*$"), code.cast("int"))
+
+
+def bucket_number_a(n):
+    """Bureau A: special codes 901-905 have their own bucket, unreadable is 8."""
+    out = F.when(n.isNull(), F.lit(8))
+    for special, bucket in V.DPD_SPECIAL.items():
+        out = out.when(n == special, F.lit(bucket))
     return F.coalesce(out.otherwise(dpd_bucket(n)), F.lit(8))
 
 
-def bucket_code_b(code):
-    """Bureau B slot: 'XXX' is 9 (not reported), 'STD' is 0, any other text or a negative is 8."""
-    return (F.when(code == "XXX", F.lit(9)).when(code == "STD", F.lit(0))
-            .otherwise(F.coalesce(dpd_bucket(code.try_cast("int"), top=999), F.lit(8))))
+def bucket_number_b(n):
+    return F.when(n == -9, F.lit(9)).otherwise(F.coalesce(dpd_bucket(n, top=999), F.lit(8)))
 
 
 def bucket_code_c(code):
@@ -73,17 +83,21 @@ def bucket_code_c(code):
     return out
 
 
-BUCKET_RULES = {"a": bucket_code_a, "b": bucket_code_b, "c": bucket_code_c}
-
-
 def bucket_dpd(arr, bureau="a"):
-    return F.transform(as_col(arr), BUCKET_RULES[bureau])
+    """Codes to buckets. Bureau B: 'XXX' is 9 (not reported), 'STD' is 0, other text is 8."""
+    a = as_col(arr)
+    if bureau == "c":
+        return F.transform(a, bucket_code_c)
+    if bureau == "b":
+        numbers = F.transform(a, lambda x: F.when(x == "XXX", -9).when(x == "STD", 0).otherwise(code_number(x)))
+        return F.transform(numbers, bucket_number_b)
+    return F.transform(F.transform(a, code_number), bucket_number_a)
 
 
 def code_to_days(code, overdue, is_card):
     """Alternative grading of a bureau A code into days, by the amount overdue."""
     over = as_col(overdue)
-    n = code.try_cast("int")
+    n = code_number(code)
     return (F.when(code.isin("SUB", "LSS", "DBT"), 91)
             .when((code == "SMA") | ((code == "STD") & (~is_card) & (over > 5000))
                   | ((code == "STD") & is_card & (over > 10000)), 89)
@@ -119,22 +133,26 @@ def cut_future(arr, k):
 
 def align(arr, k, fill, n=SLOTS):
     """align_prefix and cut_future in one step, n slots; null past the end of the history."""
-    a, off = as_col(arr), as_col(k)
-    return F.transform(_slots(n), lambda i: F.when(i < off, fill).otherwise(F.get(a, i - off)))
+    off = as_col(k)
+    moved = F.concat(F.array_repeat(fill, F.greatest(off - 1, F.lit(0))), as_col(arr),
+                     F.array_repeat(F.nullif(fill, fill), n))
+    return F.slice(moved, F.greatest(1 - off, F.lit(0)) + 1, F.lit(n))
 
 
 def align_by_month(vals, dates, asof, missing=None, n=SLOTS):
     """Puts each value in the slot of its report month; unreported slots get `missing`.
     Of several reports for one month the first in the list counts; months >= as-of are dropped."""
-    v, d, ref = as_col(vals), as_col(dates), as_col(asof)
-    offsets = F.transform(d, lambda x: month_diff(ref, x))
-    filler = F.lit(None) if missing is None else missing
+    ref = as_col(asof)
+    offsets = F.transform(as_col(dates), lambda x: month_diff(ref, x))
 
-    def pick(i):
-        pos = F.array_position(offsets, i)
-        return F.when(pos > 0, F.get(v, (pos - 1).cast("int"))).otherwise(filler)
+    def place(s):
+        def pick(i):
+            pos = F.array_position(s["o"], i).cast("int")
+            got = F.get(s["v"], pos - 1)
+            return got if missing is None else F.when(pos > 0, got).otherwise(missing)
+        return F.transform(_slots(n), pick)
 
-    return F.transform(_slots(n), pick)
+    return let(F.struct(offsets.alias("o"), as_col(vals).alias("v")), place)
 
 
 def mark_out_of_range(buckets, start, end, n=SLOTS):
@@ -211,8 +229,8 @@ def last_val(arr, test, n=SLOTS):
 
 def peak_pos(arr, n=SLOTS, among=24):
     """First of n slots that equals the worst of the first `among`."""
-    top = hist_max(arr, among)
-    return first_pos(arr, lambda x: x == top, n)
+    pos = F.array_position(first_n(arr, n), hist_max(arr, among))
+    return F.when(pos > 0, pos.cast("int"))
 
 
 def satisfactory(arr, n, written_off):
@@ -293,19 +311,21 @@ def any_reported(arr, n):
 
 
 # ---- month-on-month movement -------------------------------------------------------------------
+def _steps(arr, n, test):
+    a = as_col(arr)
+    newer, older = F.slice(a, 1, n - 1), F.slice(a, 2, n - 1)
+    return F.size(F.filter(F.zip_with(newer, older, test), lambda hit: hit))
+
+
 def rises(arr, n, tol=500):
     """How many of the newest n-1 steps went up by more than tol."""
-    a = as_col(arr)
-    return F.size(F.filter(F.sequence(F.lit(1), F.lit(n - 1)),
-                           lambda i: F.coalesce(F.get(a, i - 1) > F.get(a, i) + tol, F.lit(False))))
+    return _steps(arr, n, lambda new, old: new > old + tol)
 
 
 def falls(arr, n, tol=500):
     """How many of the newest n-1 steps ended below the older month plus tol
     (so a small rise also counts, as in the definition this follows)."""
-    a = as_col(arr)
-    return F.size(F.filter(F.sequence(F.lit(1), F.lit(n - 1)),
-                           lambda i: F.coalesce(F.get(a, i - 1) < F.get(a, i) + tol, F.lit(False))))
+    return _steps(arr, n, lambda new, old: new < old + tol)
 
 
 def period_ratio(arr, newer=6, older=12):

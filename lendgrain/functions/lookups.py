@@ -1,11 +1,17 @@
 """Vocabulary tables as DataFrames: mapped with a broadcast join (each has well under 200 rows)."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendgrain.functions import fixed_values as V
 
 
+def small_frame(spark: SparkSession, columns) -> DataFrame:
+    """A constant table from {name: (values, arrow type)}: part of the plan, with a known size."""
+    return spark.createDataFrame(pa.table({n: pa.array(v, t) for n, (v, t) in columns.items()}))
+
+
 def lookup_frame(spark: SparkSession, products, secured=(), revolving=(), key="code") -> DataFrame:
     """One row per known code: product, secured, revolving."""
     codes = {}
@@ -15,8 +21,9 @@ def lookup_frame(spark: SparkSession, products, secured=(), revolving=(), key="c
     for m in list(secured) + list(revolving):
         codes.setdefault(str(m), None)
     sec, rev = {str(x) for x in secured}, {str(x) for x in revolving}
-    rows = [(c, p, int(c in sec), int(c in rev)) for c, p in codes.items()]
-    return spark.createDataFrame(rows, f"{key} string, product string, secured int, revolving int")
+    return small_frame(spark, {key: (list(codes), pa.string()), "product": (list(codes.values()), pa.string()),
+                               "secured": ([int(c in sec) for c in codes], pa.int32()),
+                               "revolving": ([int(c in rev) for c in codes], pa.int32())})
 
 
 def vocabulary(spark, name):

@@ -145,8 +145,9 @@ def segment_flags(amount="highest"):
     return seg
 
 
-def band_flags(amount, bands, age, windows, cond=F.lit(True)):
-    return {f"upto_{hi}_{w}": flag(band(amount, lo, hi) & (as_col(age) <= w) & cond) for lo, hi in bands for w in windows}
+def band_flags(amount, bands, age, windows, cond=None):
+    more = F.lit(True) if cond is None else cond
+    return {f"upto_{hi}_{w}": flag(band(amount, lo, hi) & (as_col(age) <= w) & more) for lo, hi in bands for w in windows}
 
 
 def util_flags(cuts=(0.25, 0.5, 0.75)):

@@ -12,6 +12,20 @@ def group_agg(df: DataFrame, keys, aggs) -> DataFrame:
     return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(*aggs)
 
 
+def exprs(texts):
+    """Expression text to Columns; each text carries its own name."""
+    return [F.expr(t) for t in texts]
+
+
+def count_if(cond):
+    return f"sum(case when {cond} then 1 else 0 end)"
+
+
+def sum_if(cond, measure, absent="null"):
+    """Sum of a measure over the rows with cond; absent="zero" makes a group without any 0."""
+    return f"sum(case when {cond} then {measure}{' else 0' if absent == 'zero' else ''} end)"
+
+
 def cond_sum(cond, measure=1, absent="zero"):
     """Sum of measure where cond holds. absent="zero": rows that miss count 0;
     absent="null": a group with no hit is null."""

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions import fixed_values as V
-from lendgrain.functions.columns import band, days_between, is_in, month_diff, safe_ratio, settle
-from lendgrain.operators.aggregates import coef_var, cond_sum, distinct_within
+from lendgrain.functions.columns import days_between, month_diff, ratio_text, settle
+from lendgrain.operators.aggregates import coef_var, count_if, distinct_within, exprs
 from lendgrain.operators.windows import dedup_keep, gap_table
 
 
@@ -54,77 +54,64 @@ def prepare_enquiries(raw: DataFrame, spark, vocabulary_name="a_enquiry") -> Dat
     return x.withColumns({"days": days_between("as_of", "enq_date"), "months": month_diff("as_of", "enq_date")})
 
 
-# ---- aggregates by family ------------------------------------------------------------------------
-def _within(w):
-    return F.col("age") <= w
+# ---- aggregates by family (generated as SQL text: a family has up to hundreds of columns) ---------------
+def _quoted(values):
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
 
 
-def _product(p):
-    return F.col("product") == p
+def _products(names):
+    return {p.lower(): f"product = '{p}'" for p in names}
+
+
+SECURITY = {"unsec": "secured = 0", "sec": "secured = 1"}
 
 
 def recency_aggs(s):
-    age = F.col("age")
-    out = [F.max(age).alias("enq_oldest"), F.min(age).alias("enq_latest")]
-    for p in s.recency_products:
-        out += [F.min(F.when(_product(p), age)).alias(f"{p.lower()}_enq_latest"),
-                F.max(F.when(_product(p), age)).alias(f"{p.lower()}_enq_oldest")]
-    for name, v in (("sec", 1), ("unsec", 0)):
-        cond = F.col("secured") == v
-        out += [F.max(F.when(cond, age)).alias(f"{name}_enq_oldest"),
-                F.min(F.when(cond, age)).alias(f"{name}_enq_latest")]
-    return out
+    out = ["max(age) as enq_oldest", "min(age) as enq_latest"]
+    for n, cond in {**_products(s.recency_products), **SECURITY}.items():
+        out += [f"{f}(case when {cond} then age end) as {n}_enq_{side}" for f, side in (("max", "oldest"), ("min", "latest"))]
+    return exprs(out)
 
 
 def count_aggs(s):
-    u = s.unit
-    out = [F.count(F.lit(1)).alias("enq_total")]
-    out += [cond_sum(_product(p)).alias(f"{p.lower()}_enq_total") for p in s.total_products]
+    out = ["count(1) as enq_total"]
+    out += [f"{count_if(cond)} as {n}_enq_total" for n, cond in _products(s.total_products).items()]
     for w in s.windows:
-        out.append(cond_sum(_within(w)).alias(f"enq_{w}{u}"))
-        out += [cond_sum(_within(w) & _product(p)).alias(f"{p.lower()}_enq_{w}{u}") for p in s.count_products]
-        out += [cond_sum(_within(w) & (F.col("secured") == v)).alias(f"{n}_enq_{w}{u}")
-                for n, v in (("unsec", 0), ("sec", 1))]
-    return out
+        out.append(f"{count_if(f'age <= {w}')} as enq_{w}{s.unit}")
+        out += [f"{count_if(f'age <= {w} and {cond}')} as {n}_enq_{w}{s.unit}"
+                for n, cond in {**_products(s.count_products), **SECURITY}.items()]
+    return exprs(out)
 
 
 def _scopes(s):
-    scopes = {"all": F.lit(True), "unsec": F.col("secured") == 0}
-    scopes.update({p.lower(): _product(p) for p in s.count_products})
-    return scopes
+    return {"all": "true", "unsec": "secured = 0", **_products(s.count_products)}
 
 
 def band_aggs(s):
-    return [cond_sum(cond & band("amount", lo, hi) & _within(w)).alias(f"{n}_enq_upto_{hi}_{w}{s.unit}")
-            for n, cond in _scopes(s).items() for lo, hi in s.bands for w in s.windows]
+    return exprs(f"{count_if(f'{cond} and amount > {lo} and amount <= {hi} and age <= {w}')} as {n}_enq_upto_{hi}_{w}{s.unit}"
+                 for n, cond in _scopes(s).items() for lo, hi in s.bands for w in s.windows)
 
 
 def amount_aggs(s):
-    amt = F.col("amount")
-    return [F.max(amt * (cond & _within(w)).cast("int")).alias(f"{n}_max_amount_{w}{s.unit}")
-            for n, cond in _scopes(s).items() for w in s.amount_windows]
+    return exprs(f"max(amount * int({cond} and age <= {w})) as {n}_max_amount_{w}{s.unit}"
+                 for n, cond in _scopes(s).items() for w in s.amount_windows)
 
 
 def latest_amount_aggs(s):
     """Newest amounts; a member with no such enquiry has 0."""
-    amt, d = F.col("amount"), F.col("enq_date")
-    unsec = (F.col("secured") == 0).cast("int")
-    out = [F.max(F.struct(d, amt.alias("a"))).getField("a").alias("latest_amount"),
-           F.max(F.struct(d, amt.alias("a"), unsec.alias("u"), (amt * unsec).alias("v"))).getField("v")
-           .alias("unsec_latest_amount")]
-    for p in s.latest_products:
-        newest = F.max(F.when(_product(p), F.struct(d, amt.alias("a")))).getField("a")
-        out.append(F.greatest(newest, F.max(F.when(~_product(p), amt * 0))).alias(f"{p.lower()}_latest_amount"))
-    return out
+    out = ["max(struct(enq_date, amount)).amount as latest_amount",
+           "max(struct(enq_date, amount, 1 - secured as u, amount * (1 - secured) as v)).v as unsec_latest_amount"]
+    out += [f"greatest(max(case when {cond} then struct(enq_date, amount) end).amount, "
+            f"max(case when not ({cond}) then amount * 0 end)) as {n}_latest_amount"
+            for n, cond in _products(s.latest_products).items()]
+    return exprs(out)
 
 
 def velocity_aggs(s):
-    days = F.col(s.days)
-    credit = ~is_in("purpose", V.ENQUIRY_NOT_CREDIT)
-    return [cond_sum(credit & (days <= s.velocity_days)).alias("credit_enq_recent"),
-            F.min(F.when(~is_in("product", s.not_retail), days)).alias("days_since_retail_enq"),
-            cond_sum(~is_in("purpose", V.ENQUIRY_VELOCITY_SECURED) & (F.col("age") < s.velocity_window))
-            .alias("non_secured_enq_recent")]
+    return exprs([
+        f"{count_if(f'purpose not in ({_quoted(V.ENQUIRY_NOT_CREDIT)}) and {s.days} <= {s.velocity_days}')} as credit_enq_recent",
+        f"min(case when product not in ({_quoted(s.not_retail)}) then {s.days} end) as days_since_retail_enq",
+        f"{count_if(f'purpose not in ({_quoted(V.ENQUIRY_VELOCITY_SECURED)}) and age < {s.velocity_window}')} as non_secured_enq_recent"])
 
 
 # ---- families --------------------------------------------------------------------------------------
@@ -173,12 +160,12 @@ def _weighted_moments(x, n):
 def enq_gaps(enq, spec=EnquirySpec(), digits=4):
     """Moments of the days between consecutive enquiries: all, per product, unsecured."""
     parts = [F.lit("all"), F.when(F.col("secured") == 0, F.lit("unsec"))]
-    parts += [F.when(_product(p), F.lit(p.lower())) for p in spec.gap_products]
+    parts += [F.when(F.col("product") == p, F.lit(p.lower())) for p in spec.gap_products]
     long = enq.select(*spec.key, "enq_date", "age", F.explode(F.array(*parts)).alias("part")).filter("part is not null")
     gaps = gap_table(long, [*spec.key, "part"], "enq_date", extra=("age",))
     aggs = []
     for w in sorted(set(spec.gap_windows) | set(spec.part_gap_windows)):
-        hit = _within(w)
+        hit = F.col("age") <= w
         got = _weighted_moments(F.when(hit, F.col("gap")), F.when(hit, F.col("n")))
         aggs += [settle(got[m], digits).alias(f"{m}_gap_{w}{spec.unit}")
                  for m in spec.moments]
@@ -208,14 +195,11 @@ def enq_gap_cv(enq, spec=EnquirySpec()):
 
 
 def add_shares(counts, spec=EnquirySpec()):
-    out = {}
-    for n in ["", "unsec_"] + [p.lower() + "_" for p in spec.count_products]:
-        for w in spec.windows:
-            out[f"{n}enq_share_{w}{spec.unit}"] = safe_ratio(f"{n}enq_{w}{spec.unit}", "enq_total")
-    half, full = spec.windows[-2], spec.windows[-1]
-    for n in [""] + [p.lower() + "_" for p in spec.count_products]:
-        out[f"{n}enq_{half}_of_{full}{spec.unit}"] = safe_ratio(f"{n}enq_{half}{spec.unit}", f"{n}enq_{full}{spec.unit}")
-    return counts.withColumns(out)
+    u, (half, full) = spec.unit, spec.windows[-2:]
+    parts = [p.lower() + "_" for p in spec.count_products]
+    out = [f"{ratio_text(f'{n}enq_{w}{u}', 'enq_total')} as {n}enq_share_{w}{u}" for n in ["", "unsec_"] + parts for w in spec.windows]
+    out += [f"{ratio_text(f'{n}enq_{half}{u}', f'{n}enq_{full}{u}')} as {n}enq_{half}_of_{full}{u}" for n in [""] + parts]
+    return counts.selectExpr("*", *out)
 
 
 def enq_share(enq, spec=EnquirySpec()):

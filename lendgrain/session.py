@@ -19,6 +19,8 @@ def get_session(app="lendgrain", cores=None):
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # a feature frame has more columns than the default limit of 100 for generated code
         .config("spark.sql.codegen.maxFields", "400")
+        # call-site capture costs milliseconds per Column, and feature frames build thousands
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
