@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("enquiry_queries", "row_queries", "history_queries", "relational_queries")
+MODULES = ("enquiry_queries", "row_queries", "history_queries", "relational_queries", "model_queries")
 
 
 def load():
