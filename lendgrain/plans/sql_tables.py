@@ -20,9 +20,9 @@ def product_case(col, products, default="'Other'"):
     return "case " + " ".join(f"when {col} in {in_list(m)} then {q(p)}" for p, m in products.items()) + f" else {default} end"
 
 
-def rnd(x, digits=4):
-    """Half-up rounding of the decimal value."""
-    return f"(cast(round(cast({x} as decimal(30, 10)), {digits}) as double) + 0.0)"
+def rnd(x, digits=4, settled=10):
+    """Half-up rounding of the decimal value, settled at a later digit first."""
+    return f"(cast(round(cast({x} as decimal(30, {settled})), {digits}) as double) + 0.0)"
 
 
 def mdiff(a, b):
@@ -85,7 +85,7 @@ RAW_TRADES = CELLS + f""", raw_trades as (
          then cast(floor(o_totalprice * 0.5::double) as double) end as credit_limit,
     case when o_orderkey % 5 <> 0 then cast(o_orderkey % 48 as integer) end as tenor,
     (['PVT', 'HFC', 'NBF', 'PUB', 'FOR'])[cast(o_orderkey % 5 + 1 as integer)] as lender,
-    lpad(cast(o_orderkey % 20 as varchar), 2, '0') as wo_status, date '{TRADE_ASOF}' as as_of,
+    lpad(cast(o_orderkey % 20 as varchar), 2, '0') as wo_status, cast(300 + (o_orderkey * 7) % 600 as integer) as score, date '{TRADE_ASOF}' as as_of,
     hist_start, hist_end, balance, overdue, last_payment, last_paid, hist_start as reported,
     case when o_orderstatus = 'F' then greatest(hist_start, cast(o_orderdate as date)) end as closed,
     case when max_qty = 50 then 1 else 0 end as written_off,

@@ -134,7 +134,7 @@ def raw_trades(spark, sf_dir):
         F.when(k % 5 != 0, (k % 48).cast("int")).alias("tenor"),
         F.element_at(F.array(*[F.lit(x) for x in ("PVT", "HFC", "NBF", "PUB", "FOR")]),
                      (k % 5 + 1).cast("int")).alias("lender"),
-        F.lpad((k % 20).cast("string"), 2, "0").alias("wo_status"),
+        F.lpad((k % 20).cast("string"), 2, "0").alias("wo_status"), (300 + (k * 7) % 600).cast("int").alias("score"),
         F.lit(TRADE_ASOF).cast("date").alias("as_of"))
     t = head.join(h, "account")
     return t.select(
