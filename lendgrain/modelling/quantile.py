@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from lendgrain.operators.relational import unpivot
 
 PIECES = 64
+MAX_GROUPS = 10000
+
+
+def _small(df: DataFrame, keys):
+    """One row per variable and group, for broadcasting. The number of variables is a number of columns;
+    where groups multiply it, the total is checked when the query runs."""
+    if list(keys) == ["variable"]:
+        return F.broadcast(df)
+    n = df.agg(F.count(F.lit(1)).alias("_rows"))
+    ok = F.assert_true(F.col("_rows") <= MAX_GROUPS, F.lit("too many groups for quantiles by group"))
+    return F.broadcast(df.join(F.broadcast(n), F.lit(True)).filter(ok.isNull()).drop("_rows"))
 
 
 def value_table(df: DataFrame, cols, target=None, weight=None, by=(), keep_null=False) -> DataFrame:
@@ -33,7 +44,7 @@ def value_table(df: DataFrame, cols, target=None, weight=None, by=(), keep_null=
 def _pieces(vt, keys, pieces):
     cuts = [i / pieces for i in range(1, pieces)]
     split = vt.groupBy(*keys).agg(F.percentile_approx("value", cuts, 10000).alias("_cuts"))
-    j = vt.join(F.broadcast(split), keys)
+    j = vt.join(_small(split, keys), keys)
     return j.withColumn("_piece", F.expr("size(filter(_cuts, c -> c < value))")).drop("_cuts")
 
 

@@ -55,7 +55,7 @@ def newest_per(df: DataFrame, keys, order, cols) -> DataFrame:
 def chunked_lag(df: DataFrame, keys, order, chunk, cols, prefix="prev_") -> DataFrame:
     """lag(1) of `cols` within keys by `order`, cut into chunks.
 
-    `chunk` must not decrease along `order` (for example the month of the leading date). Rows look
+    `chunk` must not decrease along `order` (for example its leading date). Rows look
     back within their chunk; the first row of a chunk takes the last row of the chunk before it. A
     group of any size is spread over its chunks; only one row per chunk is windowed over the whole
     group.
@@ -70,8 +70,9 @@ def chunked_lag(df: DataFrame, keys, order, chunk, cols, prefix="prev_") -> Data
     last = F.struct(*[F.col(f"_t._{c}").alias(c) for c in cols])
     before = tail.select(*keys, F.col("_chunk"),
                          F.lag(last).over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
-    j = x.join(before.withColumn("_rn", F.lit(1)), keys + ["_chunk", "_rn"], "left")
-    prev = F.coalesce("_prev", "_before")
+    # same keys as the window above, so its partitioning is kept
+    j = x.join(before, keys + ["_chunk"], "left")
+    prev = F.coalesce(F.col("_prev"), F.when(F.col("_rn") == 1, F.col("_before")))
     return j.select(*[c for c in df.columns], *[prev.getField(c).alias(prefix + c) for c in cols])
 
 
@@ -99,7 +100,7 @@ def mean_gap(date, cond=None):
 
 def reopened(df: DataFrame, keys, opened, closed, account, windows=(1, 3, 6, 12)) -> DataFrame:
     """Marks trades opened after the previous trade of the group had closed, and how soon."""
-    x = chunked_lag(df, keys, [opened, account], F.trunc(opened, "month"), [closed])
+    x = chunked_lag(df, keys, [opened, account], opened, [closed])
     prev, o = F.col(f"prev_{closed}"), F.col(opened)
     again = prev.isNotNull() & (o > prev)
     x = x.withColumn("reopened", F.when(again, 1).otherwise(0))
