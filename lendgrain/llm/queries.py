@@ -26,3 +26,9 @@ def table(spark, sf_dir, name):
 def op2_exact_dedup(spark, sf_dir):
     from lendgrain.llm.exact_dedup import exact_dedup
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark, sf_dir):
+    from lendgrain.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
