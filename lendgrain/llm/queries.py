@@ -32,3 +32,15 @@ def op2_exact_dedup(spark, sf_dir):
 def op1_simhash_near_dedup(spark, sf_dir):
     from lendgrain.llm.simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name):
+    """Where the public vocabulary files are installed; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark, sf_dir):
+    from lendgrain.llm.sentencepiece_bpe import digests
+    return digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
