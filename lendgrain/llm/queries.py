@@ -44,3 +44,29 @@ def tokenizer_path(name):
 def op7_sentencepiece(spark, sf_dir):
     from lendgrain.llm.sentencepiece_bpe import digests
     return digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op6_decontaminate", rf"""
+    with d as (select row_number() over () as rid, doc_id,
+                      regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    b as (select cast(item_id as varchar) as item,
+                 regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    grams as (select distinct item, least(len(w), 13) as n,
+                     array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') as gram
+              from b, unnest(range(1, len(w) - least(len(w), 13) + 2)) as u(i) where len(w) > 0),
+    sizes as (select distinct n from grams),
+    runs as (select rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram
+             from d, sizes, unnest(range(1, len(w) - n + 2)) as u(i) where len(w) >= n),
+    hits as (select rid, i, runs.n, item from runs join grams on runs.n = grams.n and runs.gram = grams.gram),
+    words as (select rid, count(distinct k) as n_hit from (select rid, unnest(range(i, i + n)) as k from hits) group by rid),
+    items as (select rid, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as names from hits group by rid)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(names, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join words using (rid) left join items using (rid)""")
+def op6_decontaminate(spark, sf_dir):
+    from lendgrain.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
