@@ -70,3 +70,18 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 def op6_decontaminate(spark, sf_dir):
     from lendgrain.llm.decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+@query("op5_substring_dedup", r"""
+    with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    runs as (select rid, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as h
+             from d, unnest(range(1, len(w) - 48)) as u(i) where len(w) >= 50),
+    firsts as (select h, min(doc_id) as first from runs group by h),
+    gone as (select rid, list(distinct k) as ks from (select rid, unnest(range(i, i + 50)) as k from runs join firsts using (h) where doc_id > first) group by rid),
+    k as (select d.*, coalesce(ks, []) as ks from d left join gone using (rid))
+    select doc_id, len(w) as n_words, len(ks) as n_removed,
+           sha256(array_to_string(list_filter(w, (x, i) -> not list_contains(ks, i)), ' ')) as kept_sha256
+    from k""")
+def op5_substring_dedup(spark, sf_dir):
+    from lendgrain.llm.substring_dedup import without_copies
+    return without_copies(table(spark, sf_dir, "documents")).drop("kept", "spans")
