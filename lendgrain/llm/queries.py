@@ -80,7 +80,7 @@ def op6_decontaminate(spark, sf_dir):
     gone as (select rid, list(distinct k) as ks from (select rid, unnest(range(i, i + 50)) as k from runs join firsts using (h) where doc_id > first) group by rid),
     k as (select d.*, coalesce(ks, []) as ks from d left join gone using (rid))
     select doc_id, len(w) as n_words, len(ks) as n_removed,
-           sha256(array_to_string(list_filter(w, (x, i) -> not list_contains(ks, i)), ' ')) as kept_sha256
+           sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(ks, i)), ' ')) as kept_sha256
     from k""")
 def op5_substring_dedup(spark, sf_dir):
     from lendgrain.llm.substring_dedup import without_copies
