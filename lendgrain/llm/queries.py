@@ -85,3 +85,9 @@ def op6_decontaminate(spark, sf_dir):
 def op5_substring_dedup(spark, sf_dir):
     from lendgrain.llm.substring_dedup import without_copies
     return without_copies(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    from lendgrain.llm.language_id import language_id
+    return language_id(table(spark, sf_dir, "documents"))
