@@ -91,3 +91,20 @@ def op5_substring_dedup(spark, sf_dir):
 def op3_language_id(spark, sf_dir):
     from lendgrain.llm.language_id import language_id
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op4_warc", """
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+    f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+    select page_id, payload_bytes, payload_digest,
+           case when payload_bytes >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 100 and first <> page_id then first end as refers_to
+    from f""")
+def op4_warc(spark, sf_dir):
+    from lendgrain.llm.shared import cut, drop_folder, new_folder
+    from lendgrain.llm.warc import round_trip
+    folder = new_folder(spark, "warc")
+    found = cut(round_trip(table(spark, sf_dir, "pages"), folder=folder).drop("url", "payload"))
+    drop_folder(spark, folder)  # the query's rows are read by now
+    return found
