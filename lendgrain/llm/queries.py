@@ -108,3 +108,13 @@ def op4_warc(spark, sf_dir):
     found = cut(round_trip(table(spark, sf_dir, "pages"), folder=folder).drop("url", "payload"))
     drop_folder(spark, folder)  # the query's rows are read by now
     return found
+
+
+@query("op10_token_files")
+def op10_token_files(spark, sf_dir):
+    from lendgrain.llm.shared import cut, drop_folder, new_folder
+    from lendgrain.llm.token_files import round_trip
+    folder = new_folder(spark, "tokens")
+    found = cut(round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder=folder, with_ids=False))
+    drop_folder(spark, folder)  # the query's rows are read by now
+    return found
