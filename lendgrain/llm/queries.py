@@ -118,3 +118,22 @@ def op10_token_files(spark, sf_dir):
     found = cut(round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder=folder, with_ids=False))
     drop_folder(spark, folder)  # the query's rows are read by now
     return found
+
+
+@query("op8_hilbert_shards")
+def op8_hilbert_shards(spark, sf_dir):
+    from lendgrain.llm.hilbert import shards
+    return shards(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat_format", r"""
+    with t as (select conv_id, row_number() over (partition by conv_id order by turn) as k, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+    p as (select conv_id, k, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by k) as said,
+                 k = count(*) over (partition by conv_id) as whole from t),
+    kept as (select min(conv_id) as conv_id from p where whole and said not in (select said from p where not whole) group by said)
+    select conv_id, (k - 1) // 256 as part, count(*) as n_turns,
+           string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' order by k) as text
+    from t join kept using (conv_id) group by 1, 2""")
+def op9_chat_format(spark, sf_dir):
+    from lendgrain.llm.chat import chats
+    return chats(table(spark, sf_dir, "conversations"))
