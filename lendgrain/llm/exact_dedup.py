@@ -65,7 +65,8 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", bits_per_row=
     repeated = cut(repeated_filter(rows, bits))
     tested = with_flag(rows, "digest", repeated, bits, "maybe")
     maybe = tested.where("maybe")
-    groups = maybe.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # cut, so that the join deals out both sides and a very large group can be split
+    groups = cut(maybe.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     settled = maybe.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size")
     straight = tested.where("not maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return straight.unionByName(settled).select(
@@ -80,7 +81,7 @@ def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text", bits_pe
     bits = filter_size(digests.count(), bits_per_row, max_bits)
     repeated = cut(repeated_filter(digests, bits))
     maybe = with_flag(digests, "digest", repeated, bits, "maybe").where("maybe")
-    groups = maybe.groupBy(F.col("digest").alias("group")).agg(F.min("doc_id").alias(keep))
+    groups = cut(maybe.groupBy(F.col("digest").alias("group")).agg(F.min("doc_id").alias(keep)))
     tested = with_flag(hashed, digest, repeated, bits, flag)
     copies = tested.where(F.col(flag)).join(groups, F.col(f"`{digest}`") == F.col("group")).where(F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
     named = copies.where(F.col(keep).isNotNull()).dropDuplicates([digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
