@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendgrain.modelling.quantile import quantile_edges, value_table
+from lendgrain.modelling.quantile import lookup, quantile_edges, value_table
 
 MISSING = -1
 
@@ -13,7 +13,7 @@ MISSING = -1
 def cut(vt: DataFrame, edges: DataFrame, keys=("variable",), open_ends=False) -> DataFrame:
     """Adds `bin` (1-based) by right-closed intervals, the first including its lower edge; a null value
     is MISSING. Outside the edges is null, unless `open_ends` lets the outer bins run to infinity."""
-    j = vt.join(F.broadcast(edges), list(keys), "left")
+    j = vt.join(lookup(edges, keys, 20), list(keys), "left")
     inner = "greatest(1, size(filter(edges, e -> e < value)))"
     last = "size(edges) - 1"
     if open_ends:
@@ -43,12 +43,13 @@ def _woe(total, events, all_n, all_e):
     return math.log(((events + 0.5) / (all_e + 0.5)) / ((good + 0.5) / (all_n - all_e + 0.5)))
 
 
-def merge_bins(rows, min_share=0.05, tolerance=0.02):
-    """rows: ordered [(hi, total, events)] of one variable. Neighbours are merged until every bin has
+def merge_bins(rows, min_share=0.05, tolerance=0.02, missing=(0.0, 0.0)):
+    """rows: ordered [(hi, total, events)] of one variable; missing: (total, events) of the rows without
+    a value, which count in the totals but are merged with nothing. Neighbours are merged until every bin has
     at least min_share of all, both outcomes, a WOE apart from its neighbour's by `tolerance`, and the
     WOE moves one way. At most a few dozen rows, so this is plain Python on the driver."""
     bins = [list(r) for r in rows]
-    all_n, all_e = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    all_n, all_e = sum(b[1] for b in bins) + missing[0], sum(b[2] for b in bins) + missing[1]
 
     def join(i):
         bins[i] = [bins[i + 1][0], bins[i][1] + bins[i + 1][1], bins[i][2] + bins[i + 1][2]]
@@ -84,17 +85,25 @@ def merge_bins(rows, min_share=0.05, tolerance=0.02):
 
 def fit_bins(df: DataFrame, target, cols, weight=None, fine=20, min_share=0.05, tolerance=0.02) -> DataFrame:
     """Supervised bins as a table (variable, bin, lo, hi, total, events, woe, reject). Fine quantile bins
-    are counted by Spark; only (variables x fine) rows come to the driver to be merged."""
-    vt = value_table(df, cols, target, weight)
-    fine_bins = bin_counts(cut(vt, quantile_edges(vt, fine), open_ends=True), weighted=bool(weight))
+    are counted by Spark; only (variables x fine) rows come to the driver to be merged. Rows without a
+    value are bin MISSING (no lo and hi), with a WOE of its own; the totals are over all rows."""
+    vt = value_table(df, cols, target, weight, keep_null=True)
+    edges = quantile_edges(vt.filter(F.col("value").isNotNull()), fine)
+    fine_bins = bin_counts(cut(vt, edges, open_ends=True), weighted=bool(weight))
     n_col, e_col = ("w", "we") if weight else ("total", "events")
-    by_var = {}
+    by_var, missing = {}, {}
     for r in fine_bins.orderBy("variable", "bin").collect():
-        by_var.setdefault(r["variable"], []).append((r["max_value"], float(r[n_col]), float(r[e_col])))
+        if r["bin"] == MISSING:
+            missing[r["variable"]] = float(r[n_col]), float(r[e_col])
+        else:
+            by_var.setdefault(r["variable"], []).append((r["max_value"], float(r[n_col]), float(r[e_col])))
     out = []
-    for v, rows in by_var.items():
-        merged = merge_bins(rows, min_share, tolerance)
-        all_n, all_e = sum(b[1] for b in merged), sum(b[2] for b in merged)
+    for v in [*by_var, *[m for m in missing if m not in by_var]]:
+        none = missing.get(v, (0.0, 0.0))
+        merged = merge_bins(by_var[v], min_share, tolerance, none) if v in by_var else []
+        all_n, all_e = sum(b[1] for b in merged) + none[0], sum(b[2] for b in merged) + none[1]
+        if v in missing:
+            out.append((v, MISSING, None, None, *none, _woe(*none, all_n, all_e), int(len(merged) < 2)))
         lo = float("-inf")
         for i, (hi, n, e) in enumerate(merged):
             top = float("inf") if i == len(merged) - 1 else hi
@@ -108,17 +117,19 @@ def fit_bins(df: DataFrame, target, cols, weight=None, fine=20, min_share=0.05,
 
 
 def bins_to_edges(bins: DataFrame) -> DataFrame:
-    return bins.groupBy("variable").agg(F.expr("concat(array(min(lo)), array_sort(collect_list(hi)))").alias("edges"))
+    return bins.filter(F.col("bin") != MISSING).groupBy("variable").agg(F.expr("concat(array(min(lo)), array_sort(collect_list(hi)))").alias("edges"))
 
 
 def apply_bins(df: DataFrame, bins: DataFrame, cols) -> DataFrame:
     """Adds <col>_bin from fitted bins (the table is variables x bins rows, read on the driver and
     turned into plain comparisons)."""
     upper = {}
-    for r in bins.orderBy("variable", "bin").collect():
+    for r in bins.filter(F.col("bin") != MISSING).orderBy("variable", "bin").collect():
         upper.setdefault(r["variable"], []).append((r["bin"], r["hi"]))
     out = {}
     for c in cols:
-        tests = " ".join(f"when {c} <= {hi!r}D then {b}" for b, hi in upper[c][:-1])
-        out[f"{c}_bin"] = F.expr(f"case when {c} is null then {MISSING} {tests} else {upper[c][-1][0]} end")
+        value, bin_no = F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNull(), MISSING)
+        for b, hi in upper.get(c, [(MISSING, None)])[:-1]:
+            bin_no = bin_no.when(value <= hi, b)
+        out[f"{c}_bin"] = bin_no.otherwise(upper.get(c, [(MISSING, None)])[-1][0])
     return df.withColumns(out)

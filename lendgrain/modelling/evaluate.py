@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendgrain.modelling.binning import cut
-from lendgrain.modelling.quantile import quantile_edges, running_sums, value_table
+from lendgrain.modelling.quantile import even_probs, quantile_edges, quantiles, running_sums, value_table
 from lendgrain.operators.relational import band_join
 
 RUN = (Window.unboundedPreceding, 0)
@@ -31,9 +31,10 @@ def score_bins(df, target="target", prob="prob", n=10, kind=7, edges=None, by=()
 
 
 def train_edges(df, prob="prob", n=10, kind=8):
-    """Cut points for use on other samples: the inner quantiles between 0 and 1."""
-    q = quantile_edges(value_table(df, [prob]), n, kind).first()["edges"]
-    return [0.0] + [float(x) for x in q[1:-1]] + [1.0]
+    """Cut points for use on other samples: the inner quantiles between 0 and 1. The outer two of all
+    n + 1 are replaced before equal ones are dropped, so a tie at an end keeps its cut point."""
+    q = quantiles(value_table(df, [prob]), even_probs(n), kind).first()["q"]
+    return sorted({0.0, 1.0, *(float(x) for x in q[1:-1])})
 
 
 def _cum(bins, by, ascending):

@@ -9,23 +9,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendgrain.operators.relational import unpivot
+from lendgrain.session import cut_lineage
 
-PIECES = 64
-MAX_GROUPS = 10000
+VALUES_PER_PIECE = 100_000
+MOST_PIECES = 10_000
+BROADCAST_NUMBERS = 2_000_000
 
 
-def _small(df: DataFrame, keys):
-    """One row per variable and group, for broadcasting. The number of variables is a number of columns;
-    where groups multiply it, the total is checked when the query runs."""
+def lookup(df: DataFrame, keys, width=1) -> DataFrame:
+    """A table of a few rows (of `width` numbers) for each variable, and for each group where there are any.
+    The number of variables is a number of columns, so without groups it is broadcast; with groups it is
+    counted first, and beyond the limit joined by its keys."""
     if list(keys) == ["variable"]:
         return F.broadcast(df)
-    n = df.agg(F.count(F.lit(1)).alias("_rows"))
-    ok = F.assert_true(F.col("_rows") <= MAX_GROUPS, F.lit("too many groups for quantiles by group"))
-    return F.broadcast(df.join(F.broadcast(n), F.lit(True)).filter(ok.isNull()).drop("_rows"))
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_NUMBERS else df
+
+
+def n_pieces(vt: DataFrame) -> int:
+    """So many that a piece has about VALUES_PER_PIECE distinct values, and a variable some parallelism."""
+    return max(16, min(MOST_PIECES, vt.count() // VALUES_PER_PIECE))
 
 
 def value_table(df: DataFrame, cols, target=None, weight=None, by=(), keep_null=False) -> DataFrame:
-    """(by, variable, value) with n and, if asked for, events, w, we (weighted events)."""
+    """(by, variable, value) with n and, if asked for, events, w, we (weighted events). Everything else is
+    taken from this table, so it is computed once and cut from its source, which is read this one time."""
     extra = list(by) + [c for c in (target, weight) if c]
     x = df.select(*extra, *[F.col(c).cast("double").alias(c) for c in cols if c not in extra])
     long = unpivot(x, extra, list(cols))
@@ -38,13 +46,13 @@ def value_table(df: DataFrame, cols, target=None, weight=None, by=(), keep_null=
         aggs.append(F.sum(weight).alias("w"))
         if target:
             aggs.append(F.sum(F.col(weight) * F.col(target)).alias("we"))
-    return long.groupBy(*by, "variable", "value").agg(*aggs)
+    return cut_lineage(long.groupBy(*by, "variable", "value").agg(*aggs))
 
 
 def _pieces(vt, keys, pieces):
     cuts = [i / pieces for i in range(1, pieces)]
-    split = vt.groupBy(*keys).agg(F.percentile_approx("value", cuts, 10000).alias("_cuts"))
-    j = vt.join(_small(split, keys), keys)
+    split = vt.groupBy(*keys).agg(F.percentile_approx("value", cuts, max(10_000, 4 * pieces)).alias("_cuts"))
+    j = vt.join(lookup(split, keys, pieces), keys)
     return j.withColumn("_piece", F.expr("size(filter(_cuts, c -> c < value))")).drop("_cuts")
 
 
@@ -53,28 +61,26 @@ def _piece_starts(pv, keys, sums):
     tot = pv.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     w = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*keys)
-    out = tot.select("*", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in sums],
-                     *[F.sum(f"_t_{c}").over(all_).alias(f"_all_{c}") for c in sums])
-    return out
-
+    return tot.select("*", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in sums],
+                      *[F.sum(f"_t_{c}").over(all_).alias(f"_all_{c}") for c in sums])
 
-def running_sums(vt: DataFrame, sums, keys=("variable",), pieces=PIECES) -> DataFrame:
+def running_sums(vt: DataFrame, sums, keys=("variable",), pieces=None) -> DataFrame:
     """Adds before_<c> (sum over smaller values) and all_<c> to each value."""
-    keys = list(keys)
+    keys, pieces = list(keys), pieces or n_pieces(vt)
     pv = _pieces(vt, keys, pieces)
     starts = _piece_starts(pv, keys, sums)
     w = Window.partitionBy(*keys, "_piece").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    j = pv.join(F.broadcast(starts), keys + ["_piece"])
+    j = pv.join(lookup(starts, keys, 2 * len(sums)), keys + ["_piece"])
     return j.select(*vt.columns, *[(F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"before_{c}") for c in sums],
                     *[F.col(f"_all_{c}").alias(f"all_{c}") for c in sums])
 
 
-def quantiles(vt: DataFrame, probs, kind=7, keys=("variable",), pieces=PIECES) -> DataFrame:
+def quantiles(vt: DataFrame, probs, kind=7, keys=("variable",), pieces=None) -> DataFrame:
     """(keys, n, q): q is the array of quantiles. kind 7 interpolates at position (n-1)p+1, kind 8
     at (n+1/3)p+1/3."""
-    keys = list(keys)
+    keys, pieces = list(keys), pieces or n_pieces(vt)
     pv = _pieces(vt, keys, pieces)
-    starts = _piece_starts(pv, keys, ["n"])
+    starts = lookup(cut_lineage(_piece_starts(pv, keys, ["n"])), keys, 3)
     # zero-based position; type 8 positions a hair below a whole number count as whole
     pos = "(_all_n - 1) * p" if kind == 7 else "(_all_n + 1D/3) * p + 1D/3 - 1"
     fuzz = 0.0 if kind == 7 else 1e-9
@@ -87,16 +93,17 @@ def quantiles(vt: DataFrame, probs, kind=7, keys=("variable",), pieces=PIECES) -
              .withColumn("hi", F.greatest(F.least(F.col("j") + 2, F.col("_all_n")), F.lit(1))))
     wanted = ranks.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")).distinct()
     # only the pieces that hold a wanted rank are sorted
-    need = (starts.join(F.broadcast(wanted), keys)
+    need = (starts.join(lookup(wanted, keys), keys)
             .filter((F.col("rank") > F.col("_b_n")) & (F.col("rank") <= F.col("_b_n") + F.col("_t_n")))
             .groupBy(*keys, "_piece", "_b_n").agg(F.collect_list("rank").alias("ranks")))
     w = Window.partitionBy(*keys, "_piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    got = (pv.join(F.broadcast(need), keys + ["_piece"])
+    got = (pv.join(lookup(need, keys, 4), keys + ["_piece"])
            .withColumn("_upto", F.col("_b_n") + F.sum("n").over(w))
            .select(*keys, "value", F.explode(F.expr("filter(ranks, r -> r <= _upto and r > _upto - n)")).alias("rank")))
+    got = lookup(cut_lineage(got), keys, 2)
     lo = got.withColumnsRenamed({"rank": "lo", "value": "v_lo"})
     hi = got.withColumnsRenamed({"rank": "hi", "value": "v_hi"})
-    q = (ranks.join(F.broadcast(lo), keys + ["lo"]).join(F.broadcast(hi), keys + ["hi"])
+    q = (ranks.join(lo, keys + ["lo"]).join(hi, keys + ["hi"])
          .withColumn("q", F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))))
     return q.groupBy(*keys).agg(F.max("_all_n").alias("n"), F.expr("transform(array_sort(collect_list(struct(i, q))), s -> s.q)").alias("q"))
 
@@ -105,6 +112,6 @@ def even_probs(n):
     return [i / n for i in range(n + 1)]
 
 
-def quantile_edges(vt, n=10, kind=7, keys=("variable",), pieces=PIECES):
+def quantile_edges(vt, n=10, kind=7, keys=("variable",), pieces=None):
     """(keys, edges): distinct quantile edges, n+1 at most."""
     return quantiles(vt, even_probs(n), kind, keys, pieces).select(*keys, F.array_distinct("q").alias("edges"))

@@ -21,7 +21,7 @@ def drop_constant(df, cols):
 def screen(variables, blacklist, codes=tuple(V.BLACKLIST_CODES), extra=()):
     """variables(attribute) less the blacklisted ones and the names in `extra`."""
     bad = blacklist.filter(F.col("blacklist").isin(list(codes))).select("attribute").distinct()
-    out = variables.join(F.broadcast(bad), "attribute", "left_anti")
+    out = variables.join(bad, "attribute", "left_anti")
     return out.filter(~F.col("attribute").isin(list(extra))) if extra else out
 
 

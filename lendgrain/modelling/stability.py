@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lendgrain.functions import fixed_values as V
 from lendgrain.modelling.binning import cut, hist_bin
 from lendgrain.modelling.quantile import quantile_edges, value_table
+from lendgrain.session import cut_lineage
 
 
 def _guarded(share, eps):
@@ -16,18 +17,22 @@ def psi_term(actual, expected):
     return (actual - expected) * F.ln(actual / expected)
 
 
-def _counts_by_side(df, sample, cols, expected, actual):
-    """Distinct values with the rows of either side: one pass over both samples."""
-    two = df.filter(F.col(sample).isin(expected, actual))
-    x = two.select((F.col(sample) == expected).cast("int").alias("_e"), *[F.col(c).cast("double").alias(c) for c in cols])
-    vt = value_table(x, cols, target="_e", keep_null=True)
-    return vt.select("variable", "value", F.col("events").alias("e"), (F.col("n") - F.col("events")).alias("a"), F.col("n"))
+def sample_counts(df, sample, cols, samples) -> DataFrame:
+    """Distinct values with the rows of each sample (n0, n1, ...): one pass over all samples, whatever is compared."""
+    x = df.filter(F.col(sample).isin(list(samples))).withColumn("_s", F.col(sample))
+    vt = value_table(x, cols, by=("_s",), keep_null=True)
+    return cut_lineage(vt.groupBy("variable", "value").agg(*[F.sum(F.when(F.col("_s") == s, F.col("n")).otherwise(0)).alias(f"n{i}") for i, s in enumerate(samples)]))
 
 
 def psi_continuous(df: DataFrame, sample, cols, expected="Train", actual="Test", bins=10, method="width", eps=1e-10) -> DataFrame:
     """(variable, psi). method="width": equal-width bins over the expected range, values outside are not
     binned but stay in the denominator; "quantile": bins at the expected deciles."""
-    vt = _counts_by_side(df, sample, cols, expected, actual)
+    return _psi(sample_counts(df, sample, cols, (expected, actual)), 1, bins, method, eps)
+
+
+def _psi(counts, other, bins=10, method="width", eps=1e-10) -> DataFrame:
+    """PSI of sample number `other` against number 0."""
+    vt = counts.select("variable", "value", F.col("n0").alias("e"), F.col(f"n{other}").alias("a")).filter("e > 0 or a > 0").withColumn("n", F.col("e") + F.col("a"))
     size = vt.groupBy("variable").agg(
         F.sum("e").alias("ne"), F.sum("a").alias("na"),
         F.min(F.when(F.col("e") > 0, F.col("value"))).alias("lo"), F.max(F.when(F.col("e") > 0, F.col("value"))).alias("hi"))
@@ -73,9 +78,9 @@ def stability_band(psi="psi"):
 def csi_report(df: DataFrame, sample, cols, score=None, expected="Train", others=("Test", "OOT"), categorical=(), **kw) -> DataFrame:
     """One row per variable and comparison; the score itself is reported as PSI, features as CSI."""
     frames = []
-    for other in others:
-        numeric = list(cols) + ([score] if score else [])
-        parts = [psi_continuous(df, sample, numeric, expected, other, **kw)]
+    counts = sample_counts(df, sample, list(cols) + ([score] if score else []), (expected, *others))
+    for i, other in enumerate(others):
+        parts = [_psi(counts, i + 1, **kw)]
         if categorical:
             parts.append(psi_categorical(df, sample, categorical, expected, other))
         for p in parts:

@@ -79,7 +79,7 @@ def iv_summary(table: DataFrame, floor=None) -> DataFrame:
 
 def neutralise(table: DataFrame, overrides: DataFrame) -> DataFrame:
     """Adds woe_upd and iv_upd: 0 for the (variable, bin) pairs listed in overrides."""
-    o = F.broadcast(overrides.select("variable", "bin").distinct().withColumn("_hit", F.lit(1)))
+    o = overrides.select("variable", "bin").distinct().withColumn("_hit", F.lit(1))
     j = table.join(o, ["variable", "bin"], "left")
     hit = F.col("_hit").isNotNull()
     return j.withColumns({"woe_upd": F.when(hit, 0.0).otherwise(F.col("woe")),
@@ -87,11 +87,17 @@ def neutralise(table: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def woe_transform(binned: DataFrame, table: DataFrame, cols, value="woe") -> DataFrame:
-    """Adds <col>_woe next to <col>_bin: one broadcast lookup per variable (a handful of rows each)."""
-    for c in cols:
-        t = table.filter(F.col("variable") == c).select(F.col("bin").alias(f"{c}_bin"), F.col(value).alias(f"{c}_woe"))
-        binned = binned.join(F.broadcast(t), f"{c}_bin", "left")
-    return binned
+    """Adds <col>_woe next to <col>_bin. The table (a handful of bins for each variable) is read once and
+    becomes one map for each variable, looked up in one projection without a join."""
+    known = {c: {} for c in cols}
+    for r in table.filter(F.col("variable").isin(list(cols))).select("variable", F.col("bin").cast("string").alias("bin"), F.col(value).cast("double").alias("woe")).collect():
+        known[r["variable"]][r["bin"]] = r["woe"]
+    out = {}
+    for c, bins in known.items():
+        pairs = [F.lit(x) for b, w in bins.items() if b is not None for x in (b, w)]
+        found = F.try_element_at(F.create_map(*pairs), F.col(f"`{c}_bin`").cast("string")) if pairs else F.lit(None)
+        out[f"{c}_woe"] = found.cast("double")
+    return binned.withColumns(out)
 
 
 def bivariate(df: DataFrame, cols, target, bins=10) -> DataFrame:

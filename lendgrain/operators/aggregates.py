@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lendgrain.functions import history as H
 from lendgrain.functions.columns import as_col, safe_ratio, settle
+from lendgrain.operators.relational import is_small
 
 
 def group_agg(df: DataFrame, keys, aggs) -> DataFrame:
@@ -105,10 +106,12 @@ def trend_counts(totals, horizons=(12, 24, 36), tol=500):
 
 def distinct_within(df, key, col, age, windows):
     """Exact number of distinct values seen within each window: the newest age per (key, value) first,
-    so each value is counted once per key without a distinct aggregate per window."""
-    newest = df.groupBy(key, col).agg(F.min(age).alias("_age")).filter(F.col(col).isNotNull())
-    return newest.groupBy(key).agg(*[
-        F.count(F.when(F.col("_age") <= w, 1)).alias(name) for name, w in windows.items()])
+    so each value is counted once per key without a distinct aggregate per window. A window of None
+    is all time and also counts values whose age is unknown."""
+    keys = [key] if isinstance(key, str) else list(key)
+    newest = df.groupBy(*keys, col).agg(F.min(age).alias("_age")).filter(F.col(col).isNotNull())
+    return newest.groupBy(*keys).agg(*[
+        F.count(F.lit(1) if w is None else F.when(F.col("_age") <= w, 1)).alias(name) for name, w in windows.items()])
 
 
 def sum_at_extreme(df: DataFrame, keys, measures) -> DataFrame:
@@ -131,8 +134,15 @@ def sum_at_extreme(df: DataFrame, keys, measures) -> DataFrame:
     return best.groupBy(*keys).pivot("name", [m[0] for m in measures]).agg(F.first("total"))
 
 
+def _report(df, rows=10_000):
+    """Tables of one row per bin or decile fit one task; anything else is refused."""
+    if not is_small(df, rows):
+        raise ValueError(f"a report table has at most {rows} rows")
+
+
 def running_totals(df, order, cols, ascending=True, prefix="cum_"):
     """Running sums down a small table (one row per bin or decile)."""
+    _report(df)
     o = as_col(order)
     w = Window.orderBy(o.asc() if ascending else o.desc()).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({prefix + c: F.sum(c).over(w) for c in cols})
@@ -140,5 +150,6 @@ def running_totals(df, order, cols, ascending=True, prefix="cum_"):
 
 def row_index(df, order, name="decile", ascending=True):
     """Row number down a small table."""
+    _report(df)
     o = as_col(order)
     return df.withColumn(name, F.row_number().over(Window.orderBy(o.asc() if ascending else o.desc())))

@@ -44,12 +44,12 @@ DAY_SPEC = EnquirySpec(windows=(7, 14, 21, 30), distinct_windows=(7, 14, 21, 30)
                        velocity_window=21)
 
 
-def prepare_enquiries(raw: DataFrame, spark, vocabulary_name="a_enquiry") -> DataFrame:
-    """Dedup (largest amount per member, day, purpose), as-of filter, product and secured flag, ages."""
+def prepare_enquiries(raw: DataFrame, spark, vocabulary_name="a_enquiry", key=("member",)) -> DataFrame:
+    """Dedup (largest amount per key, day, purpose), as-of filter, product and secured flag, ages."""
     from lendgrain.functions.lookups import map_category, vocabulary
     x = raw.filter(F.col("enq_date").isNotNull() & F.col("purpose").isNotNull()
                    & (F.col("enq_date") < F.col("as_of")))
-    x = dedup_keep(x, ["member", "enq_date", "purpose", "as_of"], "amount")
+    x = dedup_keep(x, [*key, "enq_date", "purpose", "as_of"], "amount")
     x = map_category(x, "purpose", vocabulary(spark, vocabulary_name)).drop("revolving")
     return x.withColumns({"days": days_between("as_of", "enq_date"), "months": month_diff("as_of", "enq_date")})
 
@@ -129,7 +129,7 @@ def enq_counts(enq, spec=EnquirySpec()):
 
 def enq_distinct_products(enq, spec=EnquirySpec()):
     names = {f"distinct_purposes_{w}{spec.unit}": w for w in spec.distinct_windows}
-    return distinct_within(enq, spec.key[0], "purpose", "age", names)
+    return distinct_within(enq, spec.key, "purpose", "age", names)
 
 
 def enq_amount_bands(enq, spec=EnquirySpec()):
@@ -209,7 +209,7 @@ def enq_share(enq, spec=EnquirySpec()):
 
 def enq_velocity(enq, spec=EnquirySpec()):
     base = _by_key(enq, spec, velocity_aggs(spec))
-    d = distinct_within(enq, spec.key[0], "purpose", spec.days, {"distinct_purposes_recent": spec.velocity_days - 1})
+    d = distinct_within(enq, spec.key, "purpose", spec.days, {"distinct_purposes_recent": spec.velocity_days - 1})
     return base.join(d, list(spec.key), "left").na.fill(0, ["distinct_purposes_recent"])
 
 
@@ -221,7 +221,7 @@ def enquiry_features(enq: DataFrame, spec=EnquirySpec()) -> DataFrame:
     out = add_shares(flat, spec)
     for part in (enq_amount_bands(enq, spec), _by_key(enq, spec, latest_amount_aggs(spec)),
                  enq_distinct_products(enq, spec),
-                 distinct_within(enq, key[0], "purpose", spec.days, {"distinct_purposes_recent": spec.velocity_days - 1}),
+                 distinct_within(enq, key, "purpose", spec.days, {"distinct_purposes_recent": spec.velocity_days - 1}),
                  first_last(enq, key, "enq_date", "amount", "product", "first_product", "latest_product"),
                  add_gap_cv(enq_gaps(enq, spec), spec)):
         out = out.join(part, key, "left")

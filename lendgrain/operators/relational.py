@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from lendgrain.functions.columns import as_col
 
 
+SMALL_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows=SMALL_ROWS) -> bool:
+    """Looks: has the frame at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 # ---- joins ---------------------------------------------------------------------------------------
 def join(left: DataFrame, right: DataFrame, on, how="inner", small_right=False) -> DataFrame:
-    """Equi join. `small_right` is a promise that the right side is a lookup of bounded size;
+    """Equi join. With `small_right` the right side is counted and broadcast if it is a small lookup;
     otherwise the strategy (and the splitting of skewed keys) is Spark's to choose."""
-    return left.join(F.broadcast(right) if small_right else right, on, how)
+    return left.join(F.broadcast(right) if small_right and is_small(right) else right, on, how)
 
 
 def anti_join(left, right, on):
@@ -21,13 +29,17 @@ def anti_join(left, right, on):
 
 def band_join(scored: DataFrame, bands: DataFrame, value, lo, hi) -> DataFrame:
     """Each row with the band whose [lo, hi] holds its value; rows in no band are dropped.
-    The band table is one row per bin, so it is broadcast."""
+    The band table is one row per bin (looked at), so it is broadcast."""
+    if not is_small(bands):
+        raise ValueError(f"a band table has at most {SMALL_ROWS} rows")
     v = as_col(value)
     return scored.join(F.broadcast(bands), (v >= F.col(lo)) & (v <= F.col(hi)))
 
 
 def cross_small(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs with a small constant table on the right (one row per bin or window)."""
+    """All pairs with a small constant table on the right (one row per bin or window; looked at)."""
+    if not is_small(right, 1000):
+        raise ValueError("pairs are made with at most 1000 rows on the right")
     return left.join(F.broadcast(right), F.lit(True))
 
 

@@ -99,7 +99,7 @@ def group_by_member_month(spark, sf):
 @query("count_distinct", with_(RAW_TRADES, body="select member, count(distinct account_type) as n_types, count(distinct case when opened >= date '1999-01-01' then account_type end) as n_recent from raw_trades group by member"))
 def count_distinct(spark, sf):
     t = D.raw_trades(spark, sf).select("member", "account_type", F.datediff("as_of", "opened").alias("age"))
-    return A.distinct_within(t, "member", "account_type", "age", {"n_types": 100000, "n_recent": 731})
+    return A.distinct_within(t, "member", "account_type", "age", {"n_types": None, "n_recent": 731})
 
 
 @query("cond_sum", with_(BASE, body="select member, sum(case when product = 'PL' then balance else 0 end)::double as pl_zero, sum(case when product = 'PL' then balance end) as pl_null from base group by member"))

@@ -27,10 +27,10 @@ def get_session(app="lendgrain", cores=None):
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set (local tests)."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current is not None:
+        return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lendgrain.functions import history as H
 from lendgrain.functions.columns import month_diff
 from lendgrain.functions.lookups import map_flags, vocabulary
+from lendgrain.operators.relational import quality_filter
 
 ENQUIRY_ASOF = "2024-02-01"
 TRADE_ASOF = "2001-01-01"
@@ -146,9 +147,14 @@ def raw_trades(spark, sf_dir):
         "dpd_text", "months", "bals", "dues", "paids")
 
 
-def trades(spark, sf_dir):
-    """The canonical account frame: as-of filters applied, codes mapped, 36-slot arrays aligned."""
-    t = raw_trades(spark, sf_dir).filter((F.col("opened") <= F.col("as_of")) & (F.length("dpd_text") <= 108))
+def trades(spark, sf_dir, max_history_text=108):
+    """The canonical account frame: as-of filters applied, codes mapped, 36-slot arrays aligned.
+
+    max_history_text: accounts with a longer history text are left out, which is a rule of the first
+    bureau (36 months of 3 characters); None keeps them."""
+    t = raw_trades(spark, sf_dir).filter(F.col("opened") <= F.col("as_of"))
+    if max_history_text is not None:
+        t = quality_filter(t, text_length=("dpd_text", 0, max_history_text))
     t = map_flags(t, "account_type", vocabulary(spark, "a_account"))
     ref = F.col("as_of")
     t = t.withColumns({
