@@ -134,9 +134,10 @@ def cut_future(arr, k):
 def align(arr, k, fill, n=SLOTS):
     """align_prefix and cut_future in one step, n slots; null past the end of the history."""
     off = as_col(k)
+    drop = F.greatest(1 - off, F.lit(0))
     moved = F.concat(F.array_repeat(fill, F.greatest(off - 1, F.lit(0))), as_col(arr),
-                     F.array_repeat(F.nullif(fill, fill), n))
-    return F.slice(moved, F.greatest(1 - off, F.lit(0)) + 1, F.lit(n))
+                     F.array_repeat(F.nullif(fill, fill), drop + n))
+    return F.slice(moved, drop + 1, F.lit(n))
 
 
 def align_by_month(vals, dates, asof, missing=None, n=SLOTS):

@@ -125,13 +125,13 @@ def sum_at_extreme(df: DataFrame, keys, measures) -> DataFrame:
     specs = []
     for name, measure, which, take in measures:
         m = as_col(measure).cast("double")
-        specs.append(F.struct(F.lit(name).alias("name"), (m if which == "max" else -m).alias("m"),
-                              as_col(take).cast("double").alias("take")))
-    long = (df.select(*keys, F.explode(F.array(*specs)).alias("s")).select(*keys, "s.name", "s.m", "s.take")
-            .filter(F.col("m").isNotNull()))
-    per_value = long.groupBy(*keys, "name", "m").agg(F.sum("take").alias("total"))
-    best = per_value.groupBy(*keys, "name").agg(F.max_by("total", "m").alias("total"))
-    return best.groupBy(*keys).pivot("name", [m[0] for m in measures]).agg(F.first("total"))
+        specs.append(F.struct(F.lit(name).alias("_name"), (m if which == "max" else -m).alias("_m"),
+                              as_col(take).cast("double").alias("_take")))
+    long = (df.select(*keys, F.explode(F.array(*specs)).alias("_s")).select(*keys, "_s._name", "_s._m", "_s._take")
+            .filter(F.col("_m").isNotNull()))
+    per_value = long.groupBy(*keys, "_name", "_m").agg(F.sum("_take").alias("_total"))
+    best = per_value.groupBy(*keys, "_name").agg(F.max_by("_total", "_m").alias("_total"))
+    return best.groupBy(*keys).pivot("_name", [m[0] for m in measures]).agg(F.first("_total"))
 
 
 def _report(df, rows=10_000):

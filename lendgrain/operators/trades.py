@@ -8,6 +8,8 @@ belongs to and not once per output column.
 "null" features are null for a member without a matching account, "zero" features are 0.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from lendgrain.functions import fixed_values as V
 from lendgrain.functions import history as H
 from lendgrain.functions import history_line as L
 from lendgrain.functions import trade_columns as TC
+from lendgrain.functions.columns import null_safe_diff, ratio_text, safe_ratio
 from lendgrain.functions.trade_columns import MAIN_PRODUCTS, MONTHS, PRODUCTS
 from lendgrain.operators.aggregates import exprs, monthly_totals, sum_at_extreme
 from lendgrain.operators.windows import first_last, reopened
+from lendgrain.session import cut_lineage
 
 DAY_WINDOWS = {"3m": 90, "6m": 180, "9m": 270, "12m": 365}
 FOCUS = ("PL", "CC", "CD", "HL", "LAP", "BL")
@@ -249,35 +253,53 @@ def satisfaction_ratio():
     return out
 
 
-def thickness_indicator():
-    cc, pl = "sum(case when recent = 1 and is_open = 1 and product = 'CC' then " + CARD_LINE + " end)", "sum(case when recent = 1 and is_open = 1 and product = 'PL' then sanction end)"
-    al, hl = "max(case when product = 'AL' then sanction end)", "max(case when product = 'HL' then sanction end)"
-    return [f"case when max(m_open) >= 12 and ({cc} >= 75000 or {pl} >= 200000 or {al} >= 200000 or {hl} >= 1000000) then 'thick' "
-            f"when max(m_open) between 6 and 11 or ({cc} < 75000 and {pl} < 200000 and {al} < 200000 and {hl} < 1000000) then 'thin' else 'less_than_6' end as thickness"]
+# product: how its top is taken, of what, over which accounts, and from which amount on a file counts as thick
+THICK_FROM = {"CC": ("sum", CARD_LINE, "recent = 1 and is_open = 1", 75000), "PL": ("sum", "sanction", "recent = 1 and is_open = 1", 200000),
+              "AL": ("max", "sanction", "true", 200000), "HL": ("max", "sanction", "true", 1000000)}
+THICK_MONTHS, THIN_MONTHS = 12, 6
 
 
-def ratio(name, num, den, num_null="-1", den_null="-2", den_zero="-3"):
-    return f"case when {num} is null then {num_null} when {den} is null then {den_null} when {den} = 0 then {den_zero} else {num} / {den} end as {name}"
+def thickness_indicator():
+    reached, missed = [], []
+    for product, (fn, measure, scope, limit) in THICK_FROM.items():
+        top = f"{fn}(case when {scope} and {is_(product)} then {measure} end)"
+        reached.append(f"{top} >= {limit}")
+        missed.append(f"{top} < {limit}")
+    age = "max(m_open)"
+    rules = {"thick": f"{age} >= {THICK_MONTHS} and ({' or '.join(reached)})",
+             "thin": f"{age} between {THIN_MONTHS} and {THICK_MONTHS - 1} or ({' and '.join(missed)})"}
+    return ["case " + " ".join(f"when {test} then '{name}'" for name, test in rules.items()) + f" else 'less_than_{THIN_MONTHS}' end as thickness"]
+
+
+# (name, numerator, denominator, answers of safe_ratio where they are not its defaults) over trade_balances
+_DEN_FIRST = dict(den_first=True, num_null=None)
+RATIOS = (
+    ("emi_of_dpdx_balance", "open_dpdx_emi", "open_dpdx_balance", {}),
+    ("emi_of_balance", "open_emi", "open_balance", {}),
+    ("recent_emi_of_balance", "recent_emi", "recent_balance", {}),
+    ("overdue_of_balance", "recent_overdue", "total_balance", {}),
+    ("available_of_limit", "available_revolving", "total_credit_limit", {}),
+    ("revolving_util", "revolving_balance", "revolving_line", {}),
+    ("open_revolving_util", "open_revolving_balance", "open_revolving_line", {}),
+    ("install_unpaid", "install_balance", "install_sanction", {}),
+    ("open_install_unpaid", "open_install_balance", "open_install_sanction", {}),
+    ("secured_of_unsecured", "secured_balance", "unsecured_balance", {}),
+    ("recent_secured_of_unsecured", "recent_secured_balance", "recent_unsecured_balance", {}),
+    ("share_secured", "recent_secured_balance", "recent_balance", dict(den_first=True, num_null=0, den_null=-1, den_zero=-1)),
+    ("share_unsecured", "recent_unsecured_balance", "recent_balance", dict(den_first=True, num_null=0, den_null=-1, den_zero=-1)),
+    ("cc_util", "cc_balance", "cc_line", dict(_DEN_FIRST, den_null=-1, den_zero=-2)),
+    ("pl_runoff", "pl_sanction - pl_balance", "pl_sanction", dict(_DEN_FIRST, den_null=-1, den_zero=-2)),
+    ("live_pl_paid", "live_pl_sanction - pl_balance", "live_pl_sanction", dict(_DEN_FIRST, den_null=-2, den_zero=-3, den_below=(1000, -1))),
+)
 
 
 def utilisation_ratios():
-    """Over the columns of trade_balances and trade_counts."""
-    r = [("emi_of_dpdx_balance", "open_dpdx_emi", "open_dpdx_balance"), ("emi_of_balance", "open_emi", "open_balance"),
-         ("revolving_util", "revolving_balance", "revolving_line"), ("open_revolving_util", "open_revolving_balance", "open_revolving_line"),
-         ("open_install_unpaid", "open_install_balance", "open_install_sanction"), ("install_unpaid", "install_balance", "install_sanction"),
-         ("overdue_of_balance", "recent_overdue", "total_balance"), ("secured_of_unsecured", "secured_balance", "unsecured_balance"),
-         ("available_of_limit", "available_revolving", "total_credit_limit"), ("recent_emi_of_balance", "recent_emi", "recent_balance"),
-         ("recent_secured_of_unsecured", "recent_secured_balance", "recent_unsecured_balance")]
-    out = [ratio(*x) for x in r]
-    out += ["case when open_revolving_balance is null then -1 else 0.05 * open_revolving_balance end as five_percent_of_revolving",
-            "case when pl_sanction = 0 then -2 when pl_sanction is null then -1 else (pl_sanction - pl_balance) / pl_sanction end as pl_runoff",
-            "case when cc_line = 0 then -2 when cc_line is null then -1 else cc_balance / cc_line end as cc_util",
-            "case when cc_line > 0 and cc_balance / cc_line >= 0.85 then 1 else 0 end as cc_util_gt_85",
-            "case when live_pl_sanction = 0 then -3 when live_pl_sanction is null then -2 when live_pl_sanction < 1000 then -1 else (live_pl_sanction - pl_balance) / live_pl_sanction end as live_pl_paid",
-            "case when recent_overdue >= 1000 then 1 else 0 end as overdue_gt_1k"]
-    for g in ("secured", "unsecured"):
-        out.append(f"case when recent_balance is null or recent_balance = 0 then -1 when recent_{g}_balance is null then 0 else recent_{g}_balance / recent_balance end as share_{g}")
-    return out
+    """Columns over those of trade_balances."""
+    out = [safe_ratio(F.expr(num), den, **answers).alias(name) for name, num, den, answers in RATIOS]
+    high_use = (F.col("cc_line") > 0) & (F.try_divide(F.col("cc_balance"), F.col("cc_line")) >= 0.85)
+    return [*out, F.coalesce(F.col("open_revolving_balance") * 0.05, F.lit(-1)).alias("five_percent_of_revolving"),
+            F.coalesce(high_use.cast("int"), F.lit(0)).alias("cc_util_gt_85"),
+            F.coalesce((F.col("recent_overdue") >= 1000).cast("int"), F.lit(0)).alias("overdue_gt_1k")]
 
 
 GROUPS = {"long": "long_term = 1", "short": "short_term = 1", "secured": "secured = 1", "unsecured": "unsecured = 1", "installment": "installment = 1", "revolving": "revolving = 1"}
@@ -291,16 +313,21 @@ def concurrent_loans():
     return out + [zero("live_m0_m2", "live_0 + live_1 + live_2 > 0"), zero("live_m6_m8", "live_6 + live_7 + live_8 > 0")]
 
 
+LIVE_CLASSES = ("", *[f"{g}_{p}" for g in ("long", "short", "secured", "unsecured") for p in ("", "pl_")])
+
+
 def concurrent_ratios():
+    """Columns over those of concurrent_loans: now against half a year ago, against the peak, and instalments a loan."""
     out = []
-    for g in [""] + [f"{g}_{p}" for g in ("long", "short", "secured", "unsecured") for p in ("", "pl_")]:
-        a, b = f"{g}live_m0", f"{g}live_m6"
-        out += [f"coalesce({a}, 0) - coalesce({b}, 0) as {g}live_diff", f"case when {a} is null then 0 when {b} is null or {b} = 0 then {a} else {a} / {b} end as {g}live_ratio"]
-    top = "greatest(" + ", ".join(f"live_m{i}" for i in MONTHS) + ")"
-    out += [f"{top} - live_m{i} as live_below_peak_m{i}" for i in (0, 1)] + [f"{top} as live_peak", "live_m0_m2 - live_m6_m8 as live_quarter_diff"]
-    mean = {i: f"case when live_m{i} = 0 then 0 else _emi_m{i} / live_m{i} end" for i in MONTHS}
-    out.append(f"{mean[0]} as emi_per_live_m0")
-    return out + [f"({mean[0]}) - ({mean[i]}) as emi_per_live_diff_m{i}" for i in (1, 3, 6, 12)]
+    for g in LIVE_CLASSES:
+        now, then = f"{g}live_m0", f"{g}live_m6"
+        out += [null_safe_diff(now, then).alias(f"{g}live_diff"),
+                safe_ratio(now, then, num_null=0, den_null="num", den_zero="num").alias(f"{g}live_ratio")]
+    peak = F.greatest(*[f"live_m{i}" for i in MONTHS])
+    out += [(peak - F.col(f"live_m{i}")).alias(f"live_below_peak_m{i}") for i in (0, 1)]
+    out += [peak.alias("live_peak"), (F.col("live_m0_m2") - F.col("live_m6_m8")).alias("live_quarter_diff")]
+    mean = {i: safe_ratio(f"_emi_m{i}", f"live_m{i}", den_first=True, num_null=None, den_null=None, den_zero=0) for i in (0, 1, 3, 6, 12)}
+    return [*out, mean[0].alias("emi_per_live_m0"), *[(mean[0] - mean[i]).alias(f"emi_per_live_diff_m{i}") for i in mean if i]]
 
 
 PLAIN = {f.__name__: f for f in (trade_counts, trade_balances, trade_tenure, opened_last_n, satisfactory, delinquency_counts, write_off,
@@ -313,12 +340,12 @@ def family(t: DataFrame, name, key="member") -> DataFrame:
 
 def utilisation(t, key="member"):
     g = t.groupBy(key).agg(*exprs(trade_balances()))
-    return g.selectExpr(key, *utilisation_ratios())
+    return g.select(key, *utilisation_ratios())
 
 
 def concurrency(t, key="member"):
     g = t.groupBy(key).agg(*exprs(concurrent_loans()))
-    return g.selectExpr(key, *[c for c in g.columns if c != key and not c.startswith("_")], *concurrent_ratios())
+    return g.select(key, *[c for c in g.columns if c != key and not c.startswith("_")], *concurrent_ratios())
 
 
 # ---- families aggregated long ------------------------------------------------------------------------------------
@@ -389,7 +416,7 @@ def exposure_ratios(t, key="member") -> DataFrame:
     for m, v in span:
         a, b = f"emi_diff_m0_m{m}_{v}", f"_d{m}_{v}"
         texts.append(f"case when {a} is null then 0 when {b} is null or {b} = 0 then {a} else {a} / {b} end as ratio_{a}")
-        texts.append(ratio(f"share_emi_total_m0_m{m - 1}_{v}", f"emi_total_m0_m{m - 1}_{v}", f"_t{m}_{v}"))
+        texts.append(ratio_text(f"emi_total_m0_m{m - 1}_{v}", f"_t{m}_{v}") + f" as share_emi_total_m0_m{m - 1}_{v}")
         texts.append(f"_t{m}_{v} as whole_m{m - 1}_{v}")
     texts += [f"{new} as emi_mean_m0_m2", f"{old} as emi_mean_m6_m8", f"({new}) - ({old}) as emi_mean_diff",
               f"case when {old} = 0 then 0 else ({new}) / ({old}) end as emi_mean_ratio"]
@@ -566,13 +593,28 @@ OWN = {f.__name__: f for f in (exposure_emi, exposure_ratios, tenure_profile, ti
 OWN["utilisation_ratios"], OWN["concurrent_loans"] = utilisation, concurrency
 
 
+# columns of different meaning that two families give the same name: the name they have in trade_features
+OTHER_NAMES = {
+    "latest_profile": {c: f"{c}_latest" for c in ("pl_balance", "gl_balance", "tw_balance", "bl_balance", "hl_balance", "al_balance", "cd_balance", "pl_sanction")},
+    "tenure_profile": {f"{g}_tenure_{m}": f"{g}_loan_tenure_{m}" for g in ("revolving", "secured", "cc") for m in ("max", "avg")},
+    "account_flow": {"pl_opened_12m": "pl_flow_opened_12m"},
+}
+
+
 def trade_features(t: DataFrame, families=None, key="member") -> DataFrame:
-    """Any set of families on one row per member; the plain ones share one aggregate."""
+    """Any set of families on one row per member; the plain ones share one aggregate. The account frame is
+    computed once. Two columns of one name are an error."""
     names = list(families or [*PLAIN, *OWN])
+    t = cut_lineage(t)
     plain = [x for n in names if n in PLAIN for x in PLAIN[n]()]
-    parts = [t.groupBy(key).agg(*exprs(plain))] if plain else []
-    parts += [OWN[n](t, key) for n in names if n in OWN]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p.select(key, *[c for c in p.columns if c not in out.columns]), key)
-    return out
+    parts = {"plain families": t.groupBy(key).agg(*exprs(plain))} if plain else {}
+    for n in names:
+        if n in OWN:
+            parts[n] = OWN[n](t, key).withColumnsRenamed(OTHER_NAMES.get(n, {}))
+    taken = {}
+    for n, p in parts.items():
+        for c in p.columns:
+            if c != key and taken.setdefault(c, n) != n:
+                raise ValueError(f"{n} and {taken[c]} both have a column {c}")
+    first, *rest = parts.values()
+    return reduce(lambda a, b: a.join(b, key, "left"), rest, first)

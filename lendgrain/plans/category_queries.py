@@ -109,3 +109,9 @@ query("open_velocity", with_(BASE, """g as (select member, opened - lag(opened)
   g3 as (select member, opened - lag(opened) over (partition by member order by opened) as gap from base where highest > 30000)""",
   body="""select member, avg(gap) as mean_gap, (select avg(gap) from g1 where g1.member = g.member) as mean_gap_upto_10k,
   (select avg(gap) from g3 where g3.member = g.member) as mean_gap_over_30k from g group by member"""))(lambda spark, sf: K.open_velocity(base(spark, sf)))
+
+
+@query("category_features")
+def category_features(spark, sf):
+    """Every segment family on one row per member. The families have queries, and SQL, of their own."""
+    return K.category_features(base(spark, sf))

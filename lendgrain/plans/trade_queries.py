@@ -140,13 +140,50 @@ _er = exposure_ratio_items()
 settled_query("exposure_ratios", with_(FLAGS, EXPOSURE, "rt as materialized (select member, " + ", ".join(_er) + " from ex)", body=settled_sql(_names(_er), "rt")), _names(_er))
 
 
-_tb, _ur, _cl = T.trade_balances(), T.utilisation_ratios(), T.concurrent_loans()
+def _answered(name, num, den, *rules):
+    """num / den, unless one of the (test, answer) rules holds."""
+    return "case " + " ".join(f"when {t} then {a}" for t, a in rules) + f" else ({num})::double / {den} end as {name}"
+
+
+def ratio_items():
+    """The ratios of SURVEY T13, each with its answers for missing and zero parts, over the balances."""
+    plain = {"emi_of_dpdx_balance": "open_dpdx_emi open_dpdx_balance", "emi_of_balance": "open_emi open_balance", "recent_emi_of_balance": "recent_emi recent_balance",
+             "overdue_of_balance": "recent_overdue total_balance", "available_of_limit": "available_revolving total_credit_limit", "revolving_util": "revolving_balance revolving_line",
+             "open_revolving_util": "open_revolving_balance open_revolving_line", "install_unpaid": "install_balance install_sanction",
+             "open_install_unpaid": "open_install_balance open_install_sanction", "secured_of_unsecured": "secured_balance unsecured_balance",
+             "recent_secured_of_unsecured": "recent_secured_balance recent_unsecured_balance"}
+    out = []
+    for name, parts in plain.items():
+        n, d = parts.split()
+        out.append(_answered(name, n, d, (f"{n} is null", -1), (f"{d} is null", -2), (f"{d} = 0", -3)))
+    for g in ("secured", "unsecured"):
+        out.append(_answered(f"share_{g}", f"recent_{g}_balance", "recent_balance", ("coalesce(recent_balance, 0) = 0", -1), (f"recent_{g}_balance is null", 0)))
+    out.append(_answered("cc_util", "cc_balance", "cc_line", ("cc_line is null", -1), ("cc_line = 0", -2)))
+    out.append(_answered("pl_runoff", "pl_sanction - pl_balance", "pl_sanction", ("pl_sanction is null", -1), ("pl_sanction = 0", -2)))
+    out.append(_answered("live_pl_paid", "live_pl_sanction - pl_balance", "live_pl_sanction", ("live_pl_sanction is null", -2), ("live_pl_sanction = 0", -3), ("live_pl_sanction < 1000", -1)))
+    return out + ["coalesce(0.05::double * open_revolving_balance, -1) as five_percent_of_revolving", "coalesce(cast(cc_line > 0 and cc_balance >= 0.85 * cc_line as integer), 0) as cc_util_gt_85",
+                  "coalesce(cast(recent_overdue >= 1000 as integer), 0) as overdue_gt_1k"]
+
+
+def concurrent_items():
+    """Live loans now against six months ago and the peak; instalments per live loan."""
+    out = []
+    for g in ["", *[a + b for a in ("long_", "short_", "secured_", "unsecured_") for b in ("", "pl_")]]:
+        a, b = f"{g}live_m0", f"{g}live_m6"
+        out += [f"coalesce({a}, 0) - coalesce({b}, 0) as {g}live_diff", f"coalesce({a}::double / nullif({b}, 0), {a}, 0) as {g}live_ratio"]
+    peak = "list_max([" + ", ".join(f"live_m{i}" for i in MONTHS) + "])"
+    out += [f"{peak} - live_m{i} as live_below_peak_m{i}" for i in (0, 1)] + [f"{peak} as live_peak", "live_m0_m2 - live_m6_m8 as live_quarter_diff"]
+    mean = {i: f"(case when live_m{i} <> 0 then _emi_m{i} / live_m{i} when live_m{i} = 0 then 0 end)" for i in (0, 1, 3, 6, 12)}
+    return out + [f"{mean[0]} as emi_per_live_m0"] + [f"{mean[0]} - {mean[i]} as emi_per_live_diff_m{i}" for i in (1, 3, 6, 12)]
+
+
+_tb, _ur, _cl, _cr = T.trade_balances(), ratio_items(), T.concurrent_loans(), concurrent_items()
 settled_query("trade_balances", with_(FLAGS, "u as (" + wide(_tb) + ")", body=settled_sql(_names(_tb), "u", has_emi)), _names(_tb), has_emi,
               lambda t: T.family(t, "trade_balances"))
 settled_query("utilisation_ratios", with_(FLAGS, "u as (" + wide(_tb) + ")", "v as (select member, " + ", ".join(_ur) + " from u)",
                                           body=settled_sql(_names(_ur), "v", has_emi)), _names(_ur), has_emi)
-_cn = [n for n in _names(_cl + T.concurrent_ratios()) if not n.startswith("_")]
-settled_query("concurrent_loans", with_(FLAGS, "u as (" + wide(_cl) + ")", "v as (select *, " + ", ".join(T.concurrent_ratios()) + " from u)",
+_cn = [n for n in _names(_cl + _cr) if not n.startswith("_")]
+settled_query("concurrent_loans", with_(FLAGS, "u as (" + wide(_cl) + ")", "v as (select *, " + ", ".join(_cr) + " from u)",
                                         body=settled_sql(_cn, "v", has_emi)), _cn, has_emi)
 
 
@@ -250,3 +287,10 @@ _own("product_presence", with_(FLAGS, body="""select member, count(distinct acco
   max(case when product = 'HL' and lender <> 'HFC' then 1 else 0 end) as external_hl,
   first(product order by opened, limit_amount desc, product) as first_product, first(product order by opened desc, limit_amount desc, product) as latest_product from flags group by member"""))
 
+
+
+# ---- all families ---------------------------------------------------------------------------------------------------------
+@query("trade_features")
+def trade_features(spark, sf):
+    """Every account family on one row per member. The families have queries, and SQL, of their own."""
+    return T.trade_features(flags(spark, sf))
