@@ -97,6 +97,31 @@ def apply_bins(spark, sf):
         F.count("*").alias("n"), F.sum("target").alias("events"))
 
 
+@query("fit_bins_facts", with_(SCORED, LONG, body="""select variable, count(*)::double as total, sum(target)::double as events, count(*) filter (value is null)::double as n_missing,
+  true as large_enough, true as one_way from long group by 1"""))
+def fit_bins_facts(spark, sf):
+    """What must hold for the fitted bins, at their default settings."""
+    b = B.fit_bins(scored(spark, sf), "target", NUMERIC)
+    known, order = F.col("bin") > 0, F.array_sort(F.collect_list(F.when(F.col("bin") > 0, F.struct("bin", "woe"))))
+    g = b.groupBy("variable").agg(F.sum("total").alias("total"), F.sum("events").alias("events"), F.sum(F.when(known, 0.0).otherwise(F.col("total"))).alias("n_missing"),
+                                  F.min(F.when(known, F.col("total"))).alias("least"), F.max("reject").alias("reject"), order.alias("o"))
+    steps = "transform(sequence(1, size(o) - 1), i -> o[i].woe - o[i - 1].woe)"
+    return g.selectExpr("variable", "total", "events", "n_missing", "least >= 0.05 * total as large_enough",
+                        f"size(o) < 2 or forall({steps}, x -> x >= 0) or forall({steps}, x -> x <= 0) as one_way")
+
+
+@query("apply_bins_facts", with_(SCORED, LONG, body="select variable, sample, count(*) as n, count(*) filter (value is null) as n_missing, true as all_known from long group by 1, 2"))
+def apply_bins_facts(spark, sf):
+    """Every row has a bin of the fitted table, and nulls the missing one; bins follow the values."""
+    s = scored(spark, sf)
+    bins = B.fit_bins(s.filter("sample = 'Train'"), "target", NUMERIC)
+    x = B.apply_bins(s, bins, NUMERIC).select("sample", F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"), F.col(f"{c}_bin").alias("bin")) for c in NUMERIC])).alias("z")).select("sample", "z.*")
+    fitted = bins.select("variable", "bin", "lo", "hi")
+    inside = F.when(F.col("bin") < 0, F.col("value").isNull()).otherwise((F.col("value") > F.col("lo")) & (F.col("value") <= F.col("hi")))
+    return x.join(fitted, ["variable", "bin"], "left").groupBy("variable", "sample").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("bin") == B.MISSING, 1)).alias("n_missing"), F.bool_and(F.coalesce(inside, F.col("bin") < 0)).alias("all_known"))
+
+
 # ---- WOE and IV -------------------------------------------------------------------------------------------------
 CATS = ["line_status", "priority"]
 VB = with_(SCORED, LONG, EDGES7, f"""few as (select variable, count(distinct value) <= 10 as few from long group by variable),
@@ -175,6 +200,23 @@ def woe_transform(spark, sf):
     return rounded(x.groupBy("sample", "priority_bin").agg(F.max("priority_woe").alias("priority_woe"), F.count("*").alias("n")), "priority_woe")
 
 
+@query("woe_transform_numeric", with_(SCORED, LONG, EDGES7, f"""b as (select variable, target, value, {CUT_OPEN} as bin from long join edges using (variable)),
+  t as (select variable, bin, sum(target) as e, sum(1 - target) as g from b group by 1, 2),
+  w as (select *, ln((e / sum(e) over (partition by variable)) / (g / sum(g) over (partition by variable))) as woe from t)""",
+  body=f"select variable, {rnd('sum(woe * (e + g)) / sum(e + g)', 6)} as mean_woe, cast(sum(e + g) as bigint) as n from w group by 1"))
+def woe_transform_numeric(spark, sf):
+    """All numeric variables, nulls included, put through one table of WOE."""
+    s = scored(spark, sf)
+    vt = Q.value_table(s, NUMERIC, "target", keep_null=True)
+    edges = Q.quantile_edges(vt.filter("value is not null"))
+    table = W.woe_iv(B.bin_counts(B.cut(vt, edges, open_ends=True)), guard=None)
+    upper = {r["variable"]: r["edges"] for r in edges.collect()}
+    binned = s.withColumns({f"{c}_bin": F.expr("case when " + f"`{c}` is null then -1 else greatest(1, " + " + ".join(f"int(double(`{c}`) > {e!r}D)" for e in upper[c][:-1]) + ") end") for c in NUMERIC})
+    x = W.woe_transform(binned, table, NUMERIC)
+    one = x.agg(*[F.avg(f"{c}_woe").alias(c) for c in NUMERIC], F.count("*").alias("n"))
+    return rounded(one.unpivot(["n"], NUMERIC, "variable", "mean_woe").select("variable", "mean_woe", "n"), "mean_woe")
+
+
 BIV = f"""bv as (select variable, cast({CUT_OPEN} as integer) as bin, min(value) as min_value, max(value) as max_value, count(*) as total, cast(sum(target) as bigint) as events
    from long join edges using (variable) group by 1, 2)"""
 
@@ -494,3 +536,24 @@ def score(spark, sf):
     return E.gini_ks(M.score(m, s), by=("sample",))
 
 
+
+
+@query("glm_score_equations", "select unnest(['quantity', 'price', 'discount', 'tax', '(intercept)']) as variable, true as solved")
+def glm_score_equations(spark, sf):
+    """A fitted logit solves sum(w x (y - p)) = 0 for every variable and for the intercept."""
+    s = model_frame(spark, sf).filter("sample = 'Train'").drop("prob")
+    fitted = M.score(M.fit_glm(s, MODEL_VARS, "target", "weight"), s)
+    left = F.col("weight") * (F.col("target") - F.col("prob"))
+    parts = {"(intercept)": F.lit(1.0), **{v: F.col(v) for v in MODEL_VARS}}
+    one = fitted.agg(*[(F.abs(F.sum(left * x)) <= 1e-6 * F.sum(F.abs(left * x))).alias(n) for n, x in parts.items()])
+    return one.unpivot([], [F.col(f"`{n}`") for n in parts], "variable", "solved")
+
+
+@query("score_facts", with_(SCORED, body="select sample, count(*) as n, true as within from scored group by 1"))
+def score_facts(spark, sf):
+    """Every row has a probability, from the logit and from the trees alike."""
+    s = model_frame(spark, sf).drop("prob")
+    train = s.filter("sample = 'Train'")
+    a = M.score(M.fit_glm(train, MODEL_VARS, "target"), s)
+    b = M.score(M.fit_gbt(train, MODEL_VARS, "target", dict(maxDepth=1, maxIter=3, stepSize=0.1)), a, "prob_trees")
+    return b.groupBy("sample").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("prob").between(0, 1) & F.col("prob_trees").between(0, 1), F.lit(False))).alias("within"))
