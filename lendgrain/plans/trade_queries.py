@@ -6,8 +6,9 @@ text), and the wide families cell by cell (the Spark side aggregates them long a
 
 from lendgrain.functions import fixed_values as V
 from lendgrain.functions import trade_columns as TC
-from lendgrain.functions.trade_columns import MAIN_PRODUCTS, MONTHS
+from lendgrain.functions.trade_columns import MAIN_PRODUCTS, MONTHS, PRODUCTS
 from lendgrain.operators import trades as T
+from lendgrain.plans import trade_oracles as O
 from lendgrain.plans.registry import query
 from lendgrain.plans.sql_tables import BASE, in_list, mdiff, months_between, rnd, with_
 from lendgrain.sources import driver_tables as D
@@ -63,7 +64,7 @@ def wide(items, source="flags", key="member"):
 
 
 def _plain(name):
-    query(name, with_(FLAGS, body=wide(T.PLAIN[name]())))(lambda spark, sf: T.family(flags(spark, sf), name))
+    query(name, with_(FLAGS, body=wide(getattr(O, name)(PRODUCTS))))(lambda spark, sf: T.family(flags(spark, sf), name))
 
 
 for _name in T.PLAIN:
@@ -177,7 +178,7 @@ def concurrent_items():
     return out + [f"{mean[0]} as emi_per_live_m0"] + [f"{mean[0]} - {mean[i]} as emi_per_live_diff_m{i}" for i in (1, 3, 6, 12)]
 
 
-_tb, _ur, _cl, _cr = T.trade_balances(), ratio_items(), T.concurrent_loans(), concurrent_items()
+_tb, _ur, _cl, _cr = O.trade_balances(PRODUCTS), ratio_items(), O.concurrent_loans(PRODUCTS), concurrent_items()
 settled_query("trade_balances", with_(FLAGS, "u as (" + wide(_tb) + ")", body=settled_sql(_names(_tb), "u", has_emi)), _names(_tb), has_emi,
               lambda t: T.family(t, "trade_balances"))
 settled_query("utilisation_ratios", with_(FLAGS, "u as (" + wide(_tb) + ")", "v as (select member, " + ", ".join(_ur) + " from u)",
