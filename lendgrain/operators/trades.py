@@ -335,7 +335,8 @@ PLAIN = {f.__name__: f for f in (trade_counts, trade_balances, trade_tenure, ope
 
 
 def family(t: DataFrame, name, key="member") -> DataFrame:
-    return t.groupBy(key).agg(*exprs(PLAIN[name]()))
+    """One plain family; key is a name or several (member, or member and month)."""
+    return t.groupBy(*([key] if isinstance(key, str) else key)).agg(*exprs(PLAIN[name]()))
 
 
 def utilisation(t, key="member"):

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions import history as H
-from lendgrain.functions.columns import month_diff
 from lendgrain.functions.lookups import map_flags, vocabulary
 from lendgrain.operators.relational import quality_filter
+from lendgrain.sources.bureaus import early_buckets, with_offsets
 
 ENQUIRY_ASOF = "2024-02-01"
 TRADE_ASOF = "2001-01-01"
@@ -155,18 +155,11 @@ def trades(spark, sf_dir, max_history_text=108):
     t = raw_trades(spark, sf_dir).filter(F.col("opened") <= F.col("as_of"))
     if max_history_text is not None:
         t = quality_filter(t, text_length=("dpd_text", 0, max_history_text))
-    t = map_flags(t, "account_type", vocabulary(spark, "a_account"))
-    ref = F.col("as_of")
-    t = t.withColumns({
-        "m_open": month_diff(ref, "opened"), "m_close": month_diff(ref, "closed"),
-        "m_report": month_diff(ref, "reported"), "m_pay": month_diff(ref, "last_paid"),
-        "m_start": month_diff(ref, "hist_start"), "m_end": month_diff(ref, "hist_end")})
+    t = with_offsets(map_flags(t, "account_type", vocabulary(spark, "a_account")))
     buckets = H.bucket_dpd(H.unpack("dpd_text"))
     t = t.withColumn("dpd", H.mark_out_of_range(H.align(buckets, "m_start", F.lit(8)), "m_start", "m_end"))
     null = F.lit(None).cast("double")
-    span = month_diff("hist_start", "hist_end")
-    t = t.withColumn("phist", F.transform(F.slice(buckets, 1, 6), lambda x, i: F.when(
-        (x == 8) & (i > span), F.lit(-2)).when(x == 8, F.lit(-1)).otherwise(x)))
+    t = t.withColumn("phist", early_buckets(buckets))
     return t.withColumns({
         "bal": H.align_by_month("bals", "months", "as_of", null),
         "due": H.align_by_month("dues", "months", "as_of", null),
