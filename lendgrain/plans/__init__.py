@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("enquiry_queries", "row_queries", "history_queries", "relational_queries", "model_queries", "trade_queries", "category_queries")
+MODULES = ("enquiry_queries", "row_queries", "history_queries", "relational_queries", "model_queries", "trade_queries", "category_queries", "bureau_queries")
 
 
 def load():

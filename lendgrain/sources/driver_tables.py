@@ -181,3 +181,29 @@ def scored(spark, sf_dir):
         q.alias("quantity"), F.floor("l_extendedprice").cast("double").alias("price"), d.alias("discount"),
         F.when(t > 0, t).alias("tax"), F.floor("o_totalprice").cast("double").alias("total"),
         F.col("l_linestatus").alias("line_status"), F.col("o_orderpriority").alias("priority"))
+
+
+def file_a(spark, sf_dir):
+    """The accounts in the shape of bureau A's file: dates as text and numbers, amounts as reported."""
+    t = raw_trades(spark, sf_dir)
+    short = lambda c: F.date_format(c, "d-MMM-yy")
+    return t.select(
+        F.col("member").cast("string").alias("MemberReference"), F.col("account").cast("string").alias("Loan_account_Number"),
+        F.concat(F.lit(" "), "account_type").alias("Loan_Type"), F.lit("Individual").alias("Ownership_Type"), F.col("dpd_text").alias("Dpd_string"),
+        short("opened").alias("DATE_OPENED"), short("closed").alias("DATE_CLOSED"), short("hist_start").alias("Pay_Hist_Start_Date"), short("hist_end").alias("Pay_Hist_END_Date"),
+        F.date_format("reported", "ddMMyyyy").cast("int").alias("DateReported_trades"), F.date_format("last_paid", "ddMMyyyy").cast("int").alias("Last_payment_date"),
+        F.col("sanction").alias("Sanction_Amount"), F.col("high_credit").alias("High_Credit_Amount"), F.col("balance").alias("Out_standing_Balance"), F.col("overdue").alias("Over_due_amount"),
+        F.col("credit_limit").alias("CREDITLIMIT"), F.col("last_payment").alias("actual_paymt_amt"), "tenor", F.col("score").cast("string").alias("TU_Score"), F.col("lender").alias("Sector"),
+        F.lit(None).cast("int").alias("suit_filed_status"), F.col("written_off").alias("Credit_Facility_Status"), F.col("write_off_amt").alias("writeoff_amt_tot"))
+
+
+def file_b(spark, sf_dir):
+    """The accounts in the shape of bureau B's file: comma lists by month, two ways of writing a date."""
+    t = raw_trades(spark, sf_dir)
+    listed = lambda c: F.concat(F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ","), F.lit(","))
+    day = lambda c: F.when(F.col("account") % 2 == 0, F.date_format(c, "dd-MM-yyyy")).otherwise(F.date_format(c, "d/M/yyyy"))
+    return t.select(
+        F.col("member").alias("losappid"), F.col("account").alias("acct_no"), F.col("account_type").alias("ACCTTYPE"), F.col("lender").alias("CREDITGRANTOR"),
+        F.col("credit_limit").cast("string").alias("creditlimitsancamt"), day("closed").alias("CLOSEDT"), day("opened").alias("DISBURSEDDT"),
+        F.concat(F.array_join(F.transform("months", lambda x: F.date_format(x, "yyyyMMdd")), ","), F.lit(",")).alias("REPORTEDDATEHIST"),
+        listed("bals").alias("CURBALHIST"), listed("dues").alias("AMTOVERDUEHIST"), listed("bals").alias("HIGHCRDHIST"), listed("paids").alias("AMTPAIDHIST"), F.col("dpd_text").alias("DPDHIST"))
