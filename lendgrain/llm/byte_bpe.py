@@ -3,20 +3,27 @@
 A byte-level vocabulary without a normaliser never makes a token across the start of a blank that a letter, digit
 or other ASCII sign follows, as its splitting rule begins a new part there whatever stands before or after. So a
 text is cut at such blanks, each piece not met yet is encoded by the library, and the answers are put together.
-Texts with pieces that begin otherwise (runs of blanks, control characters, rarer signs), and all texts of a
-vocabulary of another kind, go to the library whole.
+Pieces of common signs are split by the vocabulary's own rule and given to the library's model part by part, others
+to the library as they are. Texts with pieces that begin otherwise (runs of blanks, control characters, rarer
+signs), and all texts of a vocabulary of another kind, go to the library whole.
 """
 
 import hashlib
 import json
 import os
+from array import array
 
 import numpy as np
+import regex
 
 from lendgrain.llm.shared import kept
 
 KEPT_PIECES = 1_000_000
 TEXT_BLOCK = 1 << 22
+# The splitting rule of byte-level vocabularies (fixed value). For signs below COMMON the classes of letters, numbers and
+# blanks here are the library's; beyond, Unicode versions differ.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+COMMON = "\u0500"
 FIRST = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x180)]))
 
 
@@ -25,43 +32,78 @@ class TokenEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core already
-        self.library, self.most, self.known = Tokenizer.from_str(vocabulary), most, {}
+        self.library, self.most = Tokenizer.from_str(vocabulary), most
+        self.signs = byte_signs()
+        self.first, self.after = {}, {}  # answers for pieces at a text's start, and for those after a blank
         kind = json.loads(vocabulary)
         split, model = kind.get("pre_tokenizer") or {}, kind["model"]
         plain = kind.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.in_pieces = plain and model.get("type") == "BPE" and not model.get("dropout") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in kind["added_tokens"])
+        self.added = any(not a["content"].startswith("<|") for a in kind["added_tokens"])
+        size = 1 + max([*model["vocab"].values(), *(a["id"] for a in kind["added_tokens"])])
+        self.code, self.kind = ("H", "<u2") if size <= 1 << 16 else ("I", "<u4")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without special tokens put around it."""
         out = []
         for block in blocks([t or "" for t in texts]):
             if not self.in_pieces:
-                out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(block, add_special_tokens=False)]
+                out += [np.array(ids, self.kind) for ids in self.asked(block)]
                 continue
-            cut = [self.pieces(t) for t in block]
-            used = set().union(*cut)
-            new = [p for p in used.difference(self.known)]
-            if len(self.known) + len(new) > self.most:  # keep what this block needs
-                self.known = {p: self.known[p] for p in used if p in self.known}
-            plain = [p for p in new if p[:1] != " " or p[1:2] in FIRST]
-            self.known.update(dict.fromkeys(new))
-            for i in range(0, len(plain), 20_000):
-                part = plain[i:i + 20_000]
-                found = self.library.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
-            get = self.known.__getitem__
+            cut = [t.split(" ") for t in block]
+            self.first = self.answers(self.first, {c[0] for c in cut}, "")
+            self.after = self.answers(self.after, set().union(*cut), " ")
+            get = self.after.__getitem__
             for text, pieces in zip(block, cut):
+                head = self.first[pieces[0]]
                 try:
-                    out.append(np.frombuffer(b"".join(map(get, pieces)), "<u4"))
+                    out.append(np.frombuffer(head + b"".join(map(get, pieces[1:])), self.kind))
                 except TypeError:  # a piece that has no answer of its own
-                    out.append(np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+                    out.append(np.array(self.asked([text])[0], self.kind))
         return out
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before every blank, which begins the piece."""
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+    def asked(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def answers(self, known: dict, used: set, before: str) -> dict:
+        """The memory with an answer for every piece used; None for one that cannot stand alone after a blank."""
+        new = list(used.difference(known))
+        if len(known) + len(new) > self.most:  # keep what this block needs
+            known = {p: known[p] for p in used if p in known}
+        if before:
+            known.update(dict.fromkeys(p for p in new if p[:1] not in FIRST))
+            new = sorted((p for p in new if p[:1] in FIRST), key=len)  # words before the same words with marks
+        common = [] if self.added else [p for p in new if max(p, default=" ") < COMMON and "<|" not in p]
+        for i in range(0, len(common), 20_000):
+            known.update(self.by_parts(known, common[i:i + 20_000], before))
+        rest = [p for p in new if p not in known]
+        for i in range(0, len(rest), 20_000):
+            part = rest[i:i + 20_000]
+            known.update((p, array(self.code, ids).tobytes()) for p, ids in zip(part, self.asked([before + p for p in part])))
+        return known
+
+    def by_parts(self, known: dict, pieces: list[str], before: str) -> dict:
+        """The answers for pieces of common signs, part by part; a part that is a known piece itself is not asked for."""
+        fresh, out, signs, model, code = {}, {}, self.signs, self.library.model, self.code
+        for p in pieces:
+            ids = []
+            for part in (before + p,) if p.isalpha() else PARTS.findall(before + p):
+                answer = fresh.get(part)
+                if answer is None:
+                    answer = known.get(part[1:]) if before and part[0] == " " else None
+                    if answer is None:
+                        answer = array(code, [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(signs))]).tobytes()
+                    fresh[part] = answer
+                ids.append(answer)
+            out[p] = b"".join(ids)
+        return out
+
+
+def byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else the next beyond 255."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printed]
+    return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 def blocks(texts):
