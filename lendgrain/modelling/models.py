@@ -7,6 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from lendgrain.session import checkpoint_dir
+
 
 def _assembler(cols):
     return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
@@ -45,7 +47,8 @@ FIRST_CUT = dict(maxDepth=2, maxIter=1000, stepSize=0.01, subsamplingRate=0.75)
 
 
 def fit_gbt(df, cols, target, params=None, weight=None, seed=42, checkpoint_interval=10):
-    """Boosted trees. With a checkpoint directory set, long boosting runs cut their lineage there."""
+    """Boosted trees. Long boosting runs cut their lineage in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     gbt = GBTClassifier(featuresCol="features", labelCol=target, seed=seed, checkpointInterval=checkpoint_interval,
                         **(params or SELECTION))
     if weight:
@@ -54,18 +57,21 @@ def fit_gbt(df, cols, target, params=None, weight=None, seed=42, checkpoint_inte
 
 
 def gbt_importance(model, cols, spark, dictionary=None):
-    """(variable, gain, frequency): share of gain, and share of splits over all trees."""
+    """(variable, gain, frequency, cover): share of gain, share of splits over all trees, and share of the rows that
+    pass the splits. Read off the nodes of the saved model (a few for each tree)."""
+    import uuid
+
     import pyarrow as pa
     from lendgrain.functions.lookups import small_frame
     m = model.stages[-1]
     gain = m.featureImportances.toArray().tolist()
-    splits = [0] * len(cols)
-    for tree in m.trees:
-        for word in tree.toDebugString.split("If (feature ")[1:]:
-            splits[int(word.split(" ", 1)[0])] += 1
-    total = sum(splits) or 1
+    path = f"{checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
+    m.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").filter("leftChild >= 0")
+    met = {r["f"]: r for r in nodes.groupBy(F.col("split.featureIndex").alias("f")).agg(F.count("*").alias("n"), F.sum("rawCount").alias("rows")).collect()}
+    share = lambda what: [met[i][what] / sum(r[what] for r in met.values()) if i in met else 0.0 for i in range(len(cols))]
     out = small_frame(spark, {"variable": (list(cols), pa.string()), "gain": (gain, pa.float64()),
-                              "frequency": ([s / total for s in splits], pa.float64())})
+                              "frequency": (share("n"), pa.float64()), "cover": (share("rows"), pa.float64())})
     return out.join(dictionary, "variable", "left") if dictionary is not None else out
 
 

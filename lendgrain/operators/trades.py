@@ -368,13 +368,18 @@ def by_type(t: DataFrame, types, aggs, key="member") -> DataFrame:
 def spread(long: DataFrame, types, keep=None, key="member", fill=None) -> DataFrame:
     """(key, type) rows to one row per key with <type>_<measure> columns. `keep` lists (type, measure);
     with `fill` (True, or a test on the name) a type the key does not have counts as 0."""
-    measures = [c for c in long.columns if c not in (key, "type")]
-    wide = long.groupBy(key).pivot("type", list(types)).agg(*[F.first(m).alias(m) for m in measures])
-    names = [f"{n}_{m}" for n in types for m in measures if keep is None or keep(n, m)]
-    if fill is None:
-        return wide.select(key, *names)
-    filled = fill if callable(fill) else lambda n: True
-    return wide.selectExpr(key, *[f"coalesce({n}, 0) as {n}" if filled(n) else n for n in names])
+    measures = {c: kind for c, kind in long.dtypes if c not in (key, "type")}
+    # one array a type goes through the pivot, and not one column for each measure (numbers below 2**53 are exact)
+    packed = long.select(key, "type", F.array(*[F.col(f"`{m}`").cast("double") for m in measures]).alias("_all"))
+    wide = packed.groupBy(key).pivot("type", list(types)).agg(F.first("_all"))
+    filled = (fill if callable(fill) else lambda n: True) if fill is not None else lambda n: False
+    out = []
+    for n in types:
+        for i, (m, kind) in enumerate(measures.items()):
+            if keep is None or keep(n, m):
+                x = F.get(F.col(f"`{n}`"), i).cast(kind)
+                out.append((F.coalesce(x, F.lit(0)) if filled(f"{n}_{m}") else x).alias(f"{n}_{m}"))
+    return wide.select(key, *out)
 
 
 def exposure_long(t, key="member"):

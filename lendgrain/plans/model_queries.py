@@ -255,21 +255,22 @@ def psi_sql(other):
     psi_{other} as (select variable, sum(({a} - {e}) * ln({a} / {e})) as psi from h_{other} where bin is not null group by variable)"""
 
 
-@query("psi_continuous", with_(SCORED, LONG, psi_sql("Test"), body=f"select variable, {rnd('psi', 8)} as psi from psi_Test"))
+@query("psi_continuous", with_(SCORED, LONG, psi_sql("Test"), psi_sql("OOT"), body=" union all ".join(f"select '{o}' as compared, variable, {rnd('psi', 8)} as psi from psi_{o}" for o in ("Test", "OOT"))))
 def psi_continuous(spark, sf):
-    return rounded(ST.psi_continuous(scored(spark, sf), "sample", NUMERIC), "psi", digits=8)
+    x = ST.csi_report(scored(spark, sf), "sample", NUMERIC)
+    return rounded(x.select("compared", "variable", "psi"), "psi", digits=8)
 
 
 _A, _E = "(case when a = 0 then 1e-6::double else a / na end)", "(case when e = 0 then 1e-9::double else e / ne end)"
 
 
 @query("psi_categorical", with_(SCORED, """c as (select 'line_status' as variable, line_status as value, sample from scored union all select 'priority', priority, sample from scored
-    union all select 'month', cast(quantity as varchar) || sample[1:2], sample from scored where quantity > 48),
+    union all select 'month', cast(quantity as varchar) || sample[1:2], sample from scored),
   g as (select variable, value, count(*) filter (sample = 'Train') as e, count(*) filter (sample = 'OOT') as a from c where sample in ('Train', 'OOT') group by 1, 2),
   t as (select *, sum(e) over (partition by variable) as ne, sum(a) over (partition by variable) as na from g)""",
     body=f"select variable, {rnd(f'sum(({_A} - {_E}) * ln({_A} / {_E}))', 6)} as psi, {rnd('sum(case when a = 0 or e = 0 then 0.0 else (a / na - e / ne) * ln((a / na) / (e / ne)) end)', 6)} as psi_compat from t group by variable"))
 def psi_categorical(spark, sf):
-    s = scored(spark, sf).withColumn("month", F.when(F.col("quantity") > 48, F.concat(F.col("quantity").cast("string"), F.substring("sample", 1, 2))))
+    s = scored(spark, sf).withColumn("month", F.concat(F.col("quantity").cast("string"), F.substring("sample", 1, 2)))
     cols = ["line_status", "priority", "month"]
     a = ST.psi_categorical(s, "sample", cols, "Train", "OOT")
     b = ST.psi_categorical(s, "sample", cols, "Train", "OOT", compat=True).withColumnRenamed("psi", "psi_compat")
@@ -436,6 +437,15 @@ def segment_evaluate(spark, sf):
     return E.segment_evaluate(scored(spark, sf), F.col("line_status") == "F")[0]
 
 
+@query("segment_deciles", with_(SCORED, SEG, E8_SEG, f"""d as (select part, greatest(1, len(list_filter(edges, lambda e: e < prob))) as bin, sum(target) as events, count(*) as total from z, ed group by 1, 2)""",
+       body=f"""select part, cast(row_number() over (partition by part order by bin) as integer) as decile, cast(events as bigint) as events, cast(total as bigint) as total,
+  {rnd('sum(events) over (partition by part order by bin desc) / sum(events) over (partition by part)', 8)} as pct_cum_event from d"""))
+def segment_deciles(spark, sf):
+    """The decile tables of a segment, development and out of time, on the development cut points."""
+    t = E.segment_evaluate(scored(spark, sf), F.col("line_status") == "F")[1]
+    return rounded(t.select("part", "decile", "events", "total", "pct_cum_event"), "pct_cum_event", digits=8)
+
+
 # ---- profile and selection -----------------------------------------------------------------------------------------------
 PCTS = [0.0, 0.005, 0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99, 0.999, 1.0]
 
@@ -521,6 +531,15 @@ def gbt_train(spark, sf):
     return M.score(m, s).groupBy("sample").agg(F.count("*").alias("n"), F.avg("prob").alias("mean_prob"))
 
 
+@query("gbt_importance_facts", "select true as gain_is_whole, true as frequency_is_whole, true as cover_is_whole, 4::bigint as n")
+def gbt_importance_facts(spark, sf):
+    """Each kind of importance is a share of a whole, over all variables."""
+    s = model_frame(spark, sf)
+    m = M.fit_gbt(s.filter("sample = 'Train'"), MODEL_VARS, "target", dict(maxDepth=2, maxIter=3, stepSize=0.1))
+    whole = lambda c: (F.abs(F.sum(c) - 1) < 1e-9).alias(f"{c}_is_whole")
+    return M.gbt_importance(m, MODEL_VARS, spark).agg(whole("gain"), whole("frequency"), whole("cover"), F.count("*").alias("n"))
+
+
 @query("gbt_importance")
 def gbt_importance(spark, sf):
     s = model_frame(spark, sf)

@@ -22,9 +22,9 @@ def base(spark, sf):
 
 
 # ---- joins ---------------------------------------------------------------------------------------------
-@query("join_inner", "select o_orderkey as account, o_custkey as member, c_mktsegment as segment from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F'")
+@query("join_inner", "select o_orderkey as account, o_custkey as member, c_mktsegment as segment from orders join customer on o_custkey = c_custkey")
 def join_inner(spark, sf):
-    o = D.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("account"), F.col("o_custkey").alias("member"))
+    o = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("account"), F.col("o_custkey").alias("member"))
     c = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("member"), F.col("c_mktsegment").alias("segment"))
     return R.join(o, c, "member")
 
@@ -287,14 +287,14 @@ def union_all(spark, sf):
 
 
 def _sets(spark, sf):
-    return (D.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("member")),
+    return (D.table(spark, sf, "orders").select(F.col("o_custkey").alias("member")),
             D.table(spark, sf, "events").select(F.col("user_id").alias("member")))
 
 
 for _name, _op, _sql in (("union_set", R.union_set, "union"), ("intersect", R.intersect, "intersect"), ("except", R.minus, "except")):
     def _run(spark, sf, op=_op):
         return op(*_sets(spark, sf))
-    query(_name, f"select o_custkey as member from orders where o_orderstatus = 'F' {_sql} select user_id from events")(_run)
+    query(_name, f"select o_custkey as member from orders {_sql} select user_id from events")(_run)
 
 
 @query("unpivot", "select c_custkey as member, u.variable, u.value from customer, lateral (select unnest(['c_acctbal', 'c_nationkey']) as variable, unnest([c_acctbal, c_nationkey::double]) as value) u")
