@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from lendgrain.functions import fixed_values as V
 from lendgrain.operators import enquiry as E
 from lendgrain.plans.registry import query
-from lendgrain.plans.sql_tables import ENQ, in_list, rnd, with_
-from lendgrain.sources.driver_tables import raw_enquiries
+from lendgrain.plans.sql_tables import ENQ, in_list, product_case, rnd, with_
+from lendgrain.sources.driver_tables import ORDER_PURPOSE, TRADE_ASOF, raw_enquiries, raw_order_enquiries
 
 S = E.DAY_SPEC
 SCOPES = {"all": "true", "unsec": "secured = 0", **{p.lower(): f"product = '{p}'" for p in S.count_products}}
@@ -129,3 +129,51 @@ query("enquiry_features", with_(
     f"w as ({GAPS_SQL})",
     body="select * , " + ", ".join(shares_sql() + cv_items()) + " from c join l using (member) join w using (member)"))(
     lambda spark, sf: E.enquiry_features(enquiries(spark, sf), S))
+
+
+# ---- month windows, over years of enquiries ------------------------------------------------------------------------------
+MONTH_SPEC = E.EnquirySpec(gap_products=("PL", "CD", "CC"), moments=("avg", "max", "min"))
+LONG_DAYS = E.EnquirySpec(windows=(30, 90, 180, 365), unit="d")
+_PURPOSES = "case o_orderpriority " + " ".join(f"when '{k}' then '{v}'" for k, v in ORDER_PURPOSE.items()) + " end"
+ORDER_ENQ = f"""raw_enq as (select o_custkey as member, cast(o_orderdate as date) as enq_date, {_PURPOSES} as purpose, floor(o_totalprice)::double as amount from orders),
+  enq as (select member, enq_date, purpose, max(amount) as amount, {product_case('purpose', V.ENQUIRY_PRODUCT)} as product,
+    case when purpose in {in_list(V.ENQUIRY_SECURED)} then 1 else 0 end as secured, date_diff('day', enq_date, date '{TRADE_ASOF}') as days,
+    date_diff('month', enq_date, date '{TRADE_ASOF}') as months
+  from raw_enq where enq_date < date '{TRADE_ASOF}' group by member, enq_date, purpose)"""
+
+
+def window_counts(spec, age):
+    scopes = {p.lower(): f"product = '{p}'" for p in spec.count_products} | {"unsec": "secured = 0", "sec": "secured = 1"}
+    out = ["count(*) as enq_total"] + [f"count(*) filter (where product = '{p}') as {p.lower()}_enq_total" for p in spec.total_products]
+    for w in spec.windows:
+        out.append(f"count(*) filter (where {age} <= {w}) as enq_{w}{spec.unit}")
+        out += [f"count(*) filter (where {age} <= {w} and {c}) as {n}_enq_{w}{spec.unit}" for n, c in scopes.items()]
+    return out
+
+
+def order_enquiries(spark, sf, age):
+    return E.prepare_enquiries(raw_order_enquiries(spark, sf), spark).withColumn("age", F.col(age))
+
+
+def _grouped(items):
+    return with_(ORDER_ENQ, body="select member, " + ", ".join(items) + " from enq group by member")
+
+
+query("enq_counts_months", _grouped(window_counts(MONTH_SPEC, "months")))(lambda spark, sf: E.enq_counts(order_enquiries(spark, sf, "months"), MONTH_SPEC))
+query("enq_counts_long_days", _grouped(window_counts(LONG_DAYS, "days")))(lambda spark, sf: E.enq_counts(order_enquiries(spark, sf, "days"), LONG_DAYS))
+query("enq_distinct_months", _grouped([f"count(distinct purpose) filter (where months <= {w}) as distinct_purposes_{w}m" for w in MONTH_SPEC.distinct_windows]))(
+    lambda spark, sf: E.enq_distinct_products(order_enquiries(spark, sf, "months"), MONTH_SPEC))
+
+
+def month_gaps():
+    out = []
+    scopes = [("all", "g_all", "true", MONTH_SPEC.gap_windows), ("unsec", "g_sec", "secured = 0", MONTH_SPEC.part_gap_windows)]
+    scopes += [(p.lower(), "g_prod", f"product = '{p}'", MONTH_SPEC.part_gap_windows) for p in MONTH_SPEC.gap_products]
+    for n, gap, cond, windows in scopes:
+        for w in windows:
+            out += [f"{rnd(f'{m}(cast({gap} as double)) filter (where {cond} and months <= {w})')} as {n}_{m}_gap_{w}m" for m in MONTH_SPEC.moments]
+    return out
+
+
+query("enq_gaps_months", with_(ORDER_ENQ, GAPS_CTE.replace("secured, age,", "secured, months,"), body="select member, " + ", ".join(month_gaps()) + " from g group by member"))(
+    lambda spark, sf: E.enq_gaps(order_enquiries(spark, sf, "months"), MONTH_SPEC))

@@ -207,3 +207,14 @@ def file_b(spark, sf_dir):
         F.col("credit_limit").cast("string").alias("creditlimitsancamt"), day("closed").alias("CLOSEDT"), day("opened").alias("DISBURSEDDT"),
         F.concat(F.array_join(F.transform("months", lambda x: F.date_format(x, "yyyyMMdd")), ","), F.lit(",")).alias("REPORTEDDATEHIST"),
         listed("bals").alias("CURBALHIST"), listed("dues").alias("AMTOVERDUEHIST"), listed("bals").alias("HIGHCRDHIST"), listed("paids").alias("AMTPAIDHIST"), F.col("dpd_text").alias("DPDHIST"))
+
+
+ORDER_PURPOSE = {"1-URGENT": "Personal Loan", "2-HIGH": "Credit Card", "3-MEDIUM": "Housing Loan", "4-NOT SPECIFIED": "Consumer Loan", "5-LOW": "Leasing"}
+
+
+def raw_order_enquiries(spark, sf_dir):
+    """Enquiries over several years: member, enq_date, purpose, amount, as_of."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("enq_date"), _choose(F.col("o_orderpriority"), ORDER_PURPOSE).alias("purpose"),
+        F.floor("o_totalprice").cast("double").alias("amount"), F.lit(TRADE_ASOF).cast("date").alias("as_of"))
