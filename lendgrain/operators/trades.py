@@ -271,7 +271,23 @@ def thickness_indicator():
     return ["case " + " ".join(f"when {test} then '{name}'" for name, test in rules.items()) + f" else 'less_than_{THIN_MONTHS}' end as thickness"]
 
 
-# (name, numerator, denominator, answers of safe_ratio where they are not its defaults) over trade_balances
+# how full a loan or card is, for the shares of those above a limit
+FILLED = {"pl": (R + is_("PL"), "try_divide(balance, sanction)"), "cc": (R + is_("CC"), f"try_divide(balance, {CARD_LINE})")}
+FILLED_ABOVE = (25, 50, 75)
+LATE = ("30", "60", "90")
+
+
+def utilisation_parts():
+    """The sums and counts that the ratios are made of."""
+    out = trade_balances() + [null("open_sat_balance", "is_open = 1 and sat_24 = 1", "balance"), "count(1) as n_trades", zero("n_dpd_valid", "any_valid = 1")]
+    out += [null(f"open_balance_{w}m", f"is_open = 1 and tenure <= {w}", "balance") for w in (3, 6, 24)]
+    out += [zero(f"n_dpd_{d}", f"any_{d} = 1") for d in LATE]
+    for n, (mine, full) in FILLED.items():
+        out += [zero(f"n_{n}", mine), *[zero(f"n_{n}_above_{c}", f"{mine} and {full} > {c / 100}") for c in FILLED_ABOVE]]
+    return out
+
+
+# (name, numerator, denominator, answers of safe_ratio where they are not its defaults) over utilisation_parts
 _DEN_FIRST = dict(den_first=True, num_null=None)
 RATIOS = (
     ("emi_of_dpdx_balance", "open_dpdx_emi", "open_dpdx_balance", {}),
@@ -289,13 +305,18 @@ RATIOS = (
     ("share_unsecured", "recent_unsecured_balance", "recent_balance", dict(den_first=True, num_null=0, den_null=-1, den_zero=-1)),
     ("cc_util", "cc_balance", "cc_line", dict(_DEN_FIRST, den_null=-1, den_zero=-2)),
     ("pl_runoff", "pl_sanction - pl_balance", "pl_sanction", dict(_DEN_FIRST, den_null=-1, den_zero=-2)),
+    ("open_sat_of_24m", "open_sat_balance", "open_balance_24m", {}),
+    ("open_part_3m", "open_balance_3m", "open_balance", {}),
+    ("open_part_6m", "open_balance_6m", "open_balance", {}),
+    *[(f"share_{n}_above_{c}", f"n_{n}_above_{c}", f"n_{n}", dict(den_first=True, den_zero=-1)) for n in FILLED for c in FILLED_ABOVE],
+    *[(f"share_trades_{d}", f"n_dpd_{d}", "if(n_dpd_valid > 0, n_trades, 0)", dict(den_first=True, den_zero=-1)) for d in LATE],
     ("live_pl_paid", "live_pl_sanction - pl_balance", "live_pl_sanction", dict(_DEN_FIRST, den_null=-2, den_zero=-3, den_below=(1000, -1))),
 )
 
 
 def utilisation_ratios():
-    """Columns over those of trade_balances."""
-    out = [safe_ratio(F.expr(num), den, **answers).alias(name) for name, num, den, answers in RATIOS]
+    """Columns over those of utilisation_parts."""
+    out = [safe_ratio(F.expr(num), F.expr(den), **answers).alias(name) for name, num, den, answers in RATIOS]
     high_use = (F.col("cc_line") > 0) & (F.try_divide(F.col("cc_balance"), F.col("cc_line")) >= 0.85)
     return [*out, F.coalesce(F.col("open_revolving_balance") * 0.05, F.lit(-1)).alias("five_percent_of_revolving"),
             F.coalesce(high_use.cast("int"), F.lit(0)).alias("cc_util_gt_85"),
@@ -340,7 +361,7 @@ def family(t: DataFrame, name, key="member") -> DataFrame:
 
 
 def utilisation(t, key="member"):
-    g = t.groupBy(key).agg(*exprs(trade_balances()))
+    g = t.groupBy(key).agg(*exprs(utilisation_parts()))
     return g.select(key, *utilisation_ratios())
 
 

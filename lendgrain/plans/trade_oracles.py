@@ -207,3 +207,13 @@ def concurrent_loans(products):
 def n0_live(name, i):
     return whole(name, f"sum(live_{i})")
 
+
+
+def ratio_parts():
+    """What the ratios need besides the balances."""
+    out = [s("open_sat_balance", "balance", "sat_24 = 1 and is_open = 1"), n0("n_trades"), n0("n_dpd_valid", "any_valid = 1")]
+    out += [s(f"open_balance_{w}m", "balance", f"is_open = 1 and tenure <= {w}") for w in (3, 6, 24)] + [n0(f"n_dpd_{d}", f"any_{d} = 1") for d in (30, 60, 90)]
+    for q, limit in (("pl", "sanction"), ("cc", LINE)):
+        mine = f"product = '{q.upper()}' and recent = 1"
+        out += [n0(f"n_{q}", mine), *[n0(f"n_{q}_above_{c}", f"{mine} and balance / nullif({limit}, 0) > {c / 100}") for c in (25, 50, 75)]]
+    return out

@@ -162,6 +162,11 @@ def ratio_items():
     out.append(_answered("cc_util", "cc_balance", "cc_line", ("cc_line is null", -1), ("cc_line = 0", -2)))
     out.append(_answered("pl_runoff", "pl_sanction - pl_balance", "pl_sanction", ("pl_sanction is null", -1), ("pl_sanction = 0", -2)))
     out.append(_answered("live_pl_paid", "live_pl_sanction - pl_balance", "live_pl_sanction", ("live_pl_sanction is null", -2), ("live_pl_sanction = 0", -3), ("live_pl_sanction < 1000", -1)))
+    out += [_answered(name, n, d, (f"{n} is null", -1), (f"{d} is null", -2), (f"{d} = 0", -3)) for name, n, d in (
+        ("open_sat_of_24m", "open_sat_balance", "open_balance_24m"), ("open_part_3m", "open_balance_3m", "open_balance"), ("open_part_6m", "open_balance_6m", "open_balance"))]
+    for q in ("pl", "cc"):
+        out += [f"coalesce(n_{q}_above_{c} / nullif(n_{q}, 0), -1) as share_{q}_above_{c}" for c in (25, 50, 75)]
+    out += [f"case when n_dpd_valid > 0 then n_dpd_{d} / n_trades else -1 end as share_trades_{d}" for d in (30, 60, 90)]
     return out + ["coalesce(0.05::double * open_revolving_balance, -1) as five_percent_of_revolving", "coalesce(cast(cc_line > 0 and cc_balance >= 0.85 * cc_line as integer), 0) as cc_util_gt_85",
                   "coalesce(cast(recent_overdue >= 1000 as integer), 0) as overdue_gt_1k"]
 
@@ -181,7 +186,7 @@ def concurrent_items():
 _tb, _ur, _cl, _cr = O.trade_balances(PRODUCTS), ratio_items(), O.concurrent_loans(PRODUCTS), concurrent_items()
 settled_query("trade_balances", with_(FLAGS, "u as (" + wide(_tb) + ")", body=settled_sql(_names(_tb), "u", has_emi)), _names(_tb), has_emi,
               lambda t: T.family(t, "trade_balances"))
-settled_query("utilisation_ratios", with_(FLAGS, "u as (" + wide(_tb) + ")", "v as (select member, " + ", ".join(_ur) + " from u)",
+settled_query("utilisation_ratios", with_(FLAGS, "u as (" + wide(_tb + O.ratio_parts()) + ")", "v as (select member, " + ", ".join(_ur) + " from u)",
                                           body=settled_sql(_names(_ur), "v", has_emi)), _names(_ur), has_emi)
 _cn = [n for n in _names(_cl + _cr) if not n.startswith("_")]
 settled_query("concurrent_loans", with_(FLAGS, "u as (" + wide(_cl) + ")", "v as (select *, " + ", ".join(_cr) + " from u)",
