@@ -24,6 +24,8 @@ from lendgrain.llm.words import WORD_BASES, Block, joined, run_hashes
 WINDOW = 13
 BLOCK_WORDS = 500_000
 SHARE = 20  # contaminated: one word in 20, or more, is hit
+ROWS = 500  # documents scanned at a time; more where several blocks have to be read anew for them
+MANY_ROWS = 5000
 
 
 def normal_table() -> bytes:
@@ -82,15 +84,15 @@ def mark(block: Block, hashes: np.ndarray, windows: Windows, change: np.ndarray,
 
 def scan(texts: list[str | None], blocks):
     """(n_words, hit flags of the words, item ids, byte spans of the words) of each text. blocks: callables that give Windows."""
-    parts = []
+    held = []
     for _, raw in joined(texts):
         block = Block([t.translate(NORMAL) for t in raw], NOT_BLANK)
-        parts.append((block, block.hashes(), np.zeros(len(block.starts) + 1, np.int64), [set() for _ in raw]))
+        held.append((block, block.hashes(), np.zeros(len(block.starts) + 1, np.int64), [set() for _ in raw]))
     for load in blocks:
         windows = load()
-        for part in parts:
+        for part in held:
             mark(part[0], part[1], windows, *part[2:])
-    for block, _, change, found in parts:
+    for block, _, change, found in held:
         hit = np.cumsum(change[:-1]) > 0
         for k in range(len(block.texts)):
             a, b = block.first[k], block.first[k + 1]
@@ -107,8 +109,14 @@ def window_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int,
     return [spark.sparkContext.broadcast(Windows([tuple(r) for r in items.where(block == k).collect()], window)) for k in range(n)]
 
 
+def parts(batches, broadcasts):
+    """The batches in pieces of some documents, whose words and hashes are held together."""
+    rows = ROWS if len(broadcasts) == 1 else MANY_ROWS
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def loaders(broadcasts):
-    """One block is kept by its broadcast; several are read anew for each batch, so that one is held at a time."""
+    """One block is kept by its broadcast; several are read anew for each piece, so that one is held at a time."""
     if len(broadcasts) == 1:
         return [lambda: broadcasts[0].value]
     return [lambda b=b: b.load_from_path(b._path) for b in broadcasts]
@@ -121,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 
     def run(batches):
         blocks = loaders(broadcasts)
-        for b in batches:
+        for b in parts(batches, broadcasts):
             rows = [(n, int(hit.sum()), sorted(items)) for n, hit, items, *_ in scan(b.column(1).to_pylist(), blocks)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
@@ -147,7 +155,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item
 
     def run(batches):
         blocks = loaders(broadcasts)
-        for b in batches:
+        for b in parts(batches, broadcasts):
             texts = b.column(place).to_pylist()
             if remove == "documents":
                 keep = [not contaminated(n, int(hit.sum())) for n, hit, *_ in scan(texts, blocks)]

@@ -25,12 +25,13 @@ from lendgrain.llm.shared import kept, own_name
 
 SIZE = 2048
 SEED = 20_111
-PIECE = 1 << 20
+PIECE = 1 << 18
 SCALE = 1 << 16
 UNDETERMINED = "und"
 DENSE = 1 << 20
 ROWS = 512
-RUNS = 4096
+BLOCK = 3 << 18
+RUNS = 1024
 
 
 def letters() -> np.ndarray:
@@ -50,13 +51,13 @@ def letter_vector(point: int, size: int) -> np.ndarray:
 def run_vectors(points: np.ndarray, size: int) -> np.ndarray:
     """Bound vectors of runs; points: three code points a row."""
     out = np.empty((len(points), size), np.float32)
-    for at in range(0, len(points), 4096):
-        part, bound = points[at:at + 4096], None
+    for at in range(0, len(points), RUNS):
+        part, bound = points[at:at + RUNS], None
         for k in range(3):
             some, back = np.unique(part[:, k], return_inverse=True)
             turned = np.stack([np.roll(letter_vector(int(p), size), 2 - k) for p in some])[back]
             bound = turned if bound is None else bound * turned
-        out[at:at + 4096] = bound
+        out[at:at + RUNS] = bound
     return out
 
 
@@ -79,7 +80,7 @@ def run_counts(texts):
     for x in pieces(texts):
         block.append(x)
         held += len(x[1])
-        if held > PIECE or len(block) >= ROWS:
+        if held > BLOCK or len(block) >= ROWS:
             yield from counted(block)
             block, held = [], 0
     if block:
@@ -118,16 +119,16 @@ def prototypes(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang
     """One vector for each language met in the training rows."""
     def learn(batches):
         total = {}
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             langs, texts = b.column(1).to_pylist(), b.column(0).to_pylist()
             n_runs = np.zeros(len(langs), np.int64)  # a run for each letter, its middle
             for i, p in pieces(texts):
                 n_runs[i] += np.count_nonzero(p[1:-1])
+            names = sorted(set(langs))
+            of = np.array([[lang == n for lang in langs] for n in names], np.float64)
             for rows, points, counts in run_counts(texts):
                 weights = np.rint(counts * (SCALE / np.maximum(n_runs[rows], 1))[:, None])
-                names = sorted({langs[i] for i in rows})
-                of = np.array([[langs[i] == n for i in rows] for n in names], np.float64)
-                sums = (of @ weights) @ run_vectors(points, size).astype(np.float64)
+                sums = (of[:, rows] @ weights) @ run_vectors(points, size).astype(np.float64)
                 for n, s in zip(names, sums):
                     total[n] = total[n] + s if n in total else s
         names = sorted(total)
@@ -162,8 +163,8 @@ def identified(docs: DataFrame, found: dict[str, np.ndarray], text_col="text", l
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 langs, scores = classify(part.column(place).to_pylist(), names, profiles, size)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, lang, score])
 

@@ -4,7 +4,7 @@ The text's blanks become the meta symbol, one is put in front, and an agenda of
 the score of the piece they would make (the leftmost of equal scores first), is worked off until no pair makes a
 piece. As no piece of such a vocabulary has a meta symbol after another character (this is checked when the model
 is loaded), no merge crosses the start of a run of meta symbols, and the text falls into chunks there. The agendas
-of all chunks of an Arrow batch that the worker has not met yet are worked off in step, one merge for each chunk at
+of all chunks of an Arrow batch that the task has not met yet are worked off in step, one merge for each chunk at
 a time, in numpy arrays; a bounded memory holds the ids of chunks met before. Every newly encoded chunk is checked
 against the sentencepiece library before it is used, and a difference stops the job.
 
@@ -28,8 +28,9 @@ from lendgrain.llm.shared import kept
 
 META = "▁"
 CHUNK = re.compile(f"{META}+[^{META}]*|[^{META}]+")
-KEPT_CHUNKS = 600_000
-TEXT_BLOCK = 1 << 22
+KEPT_CHUNKS = 400_000
+TEXT_BLOCK = 1 << 21
+ROWS = 1000
 
 
 class Vocabulary:
@@ -189,7 +190,7 @@ def encoded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text")
 
     def run(batches):
         e = encoder()
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             at = 0
             for block in blocks(b.column(1).to_pylist()):
                 ids = e.encode(block)
@@ -197,6 +198,7 @@ def encoded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text")
                     [b.column(0).slice(at, len(block)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(e.decode(ids), pa.string())],
                     ["doc_id", "ids", "decoded"])
                 at += len(block)
+        e.known = {}  # the worker goes on to other work
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.select(f'`{id_col}`').dtypes[0][1]}, ids binary, decoded string")
@@ -209,7 +211,7 @@ def digests(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text")
     def run(batches):
         e = encoder()
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             counts, ids_sha, text_sha = [], [], []
             for block in blocks(b.column(1).to_pylist()):
                 ids = e.encode(block)
@@ -218,6 +220,7 @@ def digests(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text")
                 text_sha += [sha(t.encode()) for t in e.decode(ids)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.known = {}  # the worker goes on to other work
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.select(f'`{id_col}`').dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
