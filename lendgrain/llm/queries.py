@@ -137,3 +137,31 @@ def op8_hilbert_shards(spark, sf_dir):
 def op9_chat_format(spark, sf_dir):
     from lendgrain.llm.chat import chats
     return chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_collocations", rf"""
+    with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from d),
+    g as (select lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))))) as phrase
+          from p where len(w) > 0),
+    f as materialized (select lang, phrase, count(*) as f from g group by all),
+    n as (select lang, sum(f)::bigint as n from f where not contains(phrase, ' ') group by 1),
+    c as materialized (select lang, phrase, f as a, string_split(phrase, ' ') as w from f where contains(phrase, ' ') and f >= 100),
+    heads as (select lang, phrase, a, w, unnest(range(1, len(w))) as k from c),
+    cuts as (select lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') as head, array_to_string(list_slice(w, k + 1, len(w)), ' ') as rest from heads),
+    marks as (select cuts.lang, cuts.phrase, a, k, x.f as l, y.f as r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint as score
+              from cuts join n using (lang) join f as x on x.lang = cuts.lang and x.phrase = head join f as y on y.lang = cuts.lang and y.phrase = rest),
+    worst as (select *, row_number() over (partition by lang, phrase order by score, k) as place from marks),
+    inner_parts as (select lang, a, unnest(flatten(list_transform(range(2, len(w)), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))))) as phrase
+                    from c where len(w) > 2),
+    longer as (select lang, phrase, max(a) as longer from inner_parts group by all),
+    kept as (select worst.* from worst left join longer using (lang, phrase) where place = 1 and not coalesce(100 * longer >= 100 * a, false)),
+    ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept)
+    select * from ranked where rank <= 2000""")
+def op11_collocations(spark, sf_dir):
+    from lendgrain.llm.collocations import collocations
+    from lendgrain.llm.shared import cut, drop_folder, new_folder
+    folder = new_folder(spark, "phrases")
+    found = cut(collocations(table(spark, sf_dir, "documents"), folder))
+    drop_folder(spark, folder)  # the query's rows are read by now
+    return found
