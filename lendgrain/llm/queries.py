@@ -165,3 +165,34 @@ def op11_collocations(spark, sf_dir):
     found = cut(collocations(table(spark, sf_dir, "documents"), folder))
     drop_folder(spark, folder)  # the query's rows are read by now
     return found
+
+
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_ranked_search", rf"""
+    with d as (select row_number() over () as rid, doc_id, {TERMS.format(LOWER.format("coalesce(text, '')"))} as w from documents),
+    s as (select count(*) filter (len(w) > 0) as total, sum(len(w))::bigint as length from d),
+    i as (select row_number() over () as item, item_id, {TERMS.format(LOWER.format("coalesce(text, '')"))} as w from benchmark),
+    q as materialized (select item, term, count(*) as many from (select item, unnest(w) as term from i) group by all),
+    v as (select distinct term from q),
+    tf as materialized (select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) semi join v using (term) group by all),
+    weights as materialized (select term, floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1)))::bigint as w from tf, s group by term),
+    m as (select rid, doc_id, 100 - 25 + ((25 * len(w) * total) // nullif(length, 0)) as m from d, s),
+    scores as (select item, rid, sum(many * weights.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+               from q join tf using (term) join weights using (term) join m using (rid) group by all),
+    best as (select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id) as place from scores join m using (rid) where score > 0)
+    select item_id, place::int as rank, doc_id, score from best join i using (item) where place <= 20""")
+def op13_ranked_search(spark, sf_dir):
+    from lendgrain.llm.ranked_search import ranked
+    from lendgrain.llm.shared import cut, drop_folder, new_folder
+    folder = new_folder(spark, "search")
+    found = cut(ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), folder))
+    drop_folder(spark, folder)  # the query's rows are read by now
+    return found
+
+
+@query("op12_quality_score")
+def op12_quality_score(spark, sf_dir):
+    from lendgrain.llm.quality import quality
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
