@@ -2,9 +2,9 @@
 
 Each task numbers the words of its documents, language by language, into shards of some four million words. Words are
 counted over all shards and the rare ones fall out; an FM-index of each shard then gives its pairs of words, and once
-those are counted over all shards and the rare ones are out too, an index of what is left gives the longer phrases.
-A phrase can only be frequent if its words and pairs are, so that nothing frequent is lost. Counts are sums over the
-shards. Every step's table goes by key; none is sent to all tasks.
+those are counted over all shards and the rare ones are out too, an index of what is left gives the phrases of three,
+and one of what is left then the longer ones. A phrase can only be frequent if all shorter ones in it are, so that
+nothing frequent is lost. Counts are sums over the shards. Every step's table goes by key; none is sent to all tasks.
 
 A word is known by the number of one shard that holds it and its place there, so that ids need no table of their own.
 A piece of text that is longer than a shard goes on in the next one: the last words are repeated there, and what lies
@@ -170,39 +170,27 @@ def sorted_places(known: pa.Table):
     return place[order], word[order]
 
 
-def pair_counts(entry: pa.Table, known: pa.Table) -> pa.Table:
-    """The pairs of frequent words of a shard; those with no count of its own too, as longer phrases may hold them."""
-    if not len(known):
-        return pieces_of({c: np.zeros(0, np.int64) for c in ("shard", "one", "two", "n")})
-    place, word = sorted_places(known)
-    ids, tail = frequent_sequence(entry, place)
-    pairs = next(WordIndex(ids, 2).grams(2))
-    return pieces_of({"shard": np.full(len(pairs.count), known.column("shard")[0].as_py()), "one": word[pairs.words[:, 0] - 1],
-                      "two": word[pairs.words[:, 1] - 1], "n": own_counts(pairs, tail)})
-
-
-def long_counts(entry: pa.Table, known: pa.Table, longest: int) -> pa.Table:
-    """The phrases of three and more words of a shard whose words and pairs are all frequent."""
-    names = [f"w{i}" for i in range(longest)]
+def gram_counts(entry: pa.Table, known: pa.Table, first: int, last: int, longest: int) -> pa.Table:
+    """The phrases of `first` to `last` words of a shard, of frequent words and, from three words on, of the pairs given.
+    Those without a count of their own too, as longer ones may hold them."""
+    names = ["shard", *[f"w{i}" for i in range(longest)], "n"]
     is_word = known.column("place").is_valid().to_numpy() if len(known) else np.zeros(0, bool)
-    if is_word.all():
-        return pieces_of({c: np.zeros(0, np.int64) for c in [*names, "n"]})
+    if not is_word.any() or first > 2 and is_word.all():
+        return pieces_of({c: np.zeros(0, np.int64) for c in names})
     place, word = sorted_places(known.filter(pa.array(is_word)))
-    pairs = known.filter(pa.array(~is_word))
-    by_id = np.argsort(word)
-    one, two = (by_id[np.searchsorted(word, pairs.column(c).to_numpy(), sorter=by_id)] + 1 for c in ("one", "two"))
     ids, tail = frequent_sequence(entry, place)
-    ids = glued(ids, np.sort((one << 32) + two))
-    found = []
-    for grams in WordIndex(ids, longest).grams(longest):
+    if first > 2:
+        pairs, by_id = known.filter(pa.array(~is_word)), np.argsort(word)
+        one, two = (by_id[np.searchsorted(word, pairs.column(c).to_numpy(), sorter=by_id)] + 1 for c in ("one", "two"))
+        ids = glued(ids, np.unique((one << 32) + two))
+    shard, found = known.column("shard")[0].as_py(), []
+    for grams in WordIndex(ids, last).grams(last):
         size = grams.words.shape[1]
-        if size > 2 and len(grams.count):
-            count = own_counts(grams, tail)
-            rows = np.full((len(count), longest), NONE)
+        if size >= first:
+            rows = np.full((len(grams.count), longest), NONE)
             rows[:, :size] = word[grams.words - 1]
-            found.append(np.hstack([rows, count[:, None]])[count > 0])
-    rows = np.concatenate(found) if found else np.zeros((0, longest + 1), np.int64)
-    return pieces_of(dict(zip([*names, "n"], rows.T)))
+            found.append(np.hstack([np.full((len(rows), 1), shard), rows, own_counts(grams, tail)[:, None]]))
+    return pieces_of(dict(zip(names, np.concatenate(found).T)))
 
 
 class Mined:
@@ -226,19 +214,38 @@ def mined(docs: DataFrame, folder: str, text_col="text", lang_col="lang", longes
     words = staged(words.where(F.col("n") >= at_least), f"{folder}/words")
     places = words.select("shard", "place", "word_id")
 
-    pairs = ids.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(pair_counts, "shard long, one long, two long, n long")
-    pairs = pairs.withColumn("n", F.sum("n").over(Window.partitionBy("one", "two")))
-    pairs = staged(pairs.where(F.col("n") >= at_least), f"{folder}/pairs")
-
-    known = places.withColumns({"one": F.lit(None).cast("long"), "two": F.lit(None).cast("long")}).unionByName(
-        pairs.select("shard", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("word_id"), "one", "two"))
     names = [f"w{i}" for i in range(longest)]
-    long = ids.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
-        lambda entry, some: long_counts(entry, some, longest), ", ".join(f"{c} long" for c in [*names, "n"]))
-    long = long.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
-    phrases = pairs.select("one", "two", "n").distinct().select(F.array("one", "two").alias("ids"), "n")
+    kind = ", ".join(f"{c} long" for c in ("shard", *names, "n"))
+
+    def grams(known, first, last):
+        sides = ids.groupBy("shard").cogroup(known.groupBy("shard"))
+        return sides.applyInArrow(lambda entry, some: gram_counts(entry, some, first, last, longest), kind)
+
+    def frequent(rows, name):
+        """The rows of the shards whose phrase is frequent over all of them, with its whole count."""
+        rows = rows.withColumn("n", F.sum("n").over(Window.partitionBy(*names)))
+        return staged(rows.where(F.col("n") >= at_least), f"{folder}/{name}")
+
+    def with_pairs(*pairs):
+        """The frequent words of each shard, and pairs of their ids."""
+        no = lambda kind: F.lit(None).cast(kind)
+        rows = places.withColumns({"one": no("long"), "two": no("long")})
+        for some, one, two in pairs:
+            rows = rows.unionByName(some.select("shard", no("int").alias("place"), no("long").alias("word_id"), F.col(one).alias("one"), F.col(two).alias("two")))
+        return rows
+
+    def spelled(rows):
+        return rows.select(F.filter(F.array(*names), lambda x: x != NONE).alias("ids"), "n")
+
+    # pairs first, then what is made of frequent pairs, then what is made of frequent threes
+    pairs = frequent(grams(with_pairs(), 2, 2), "pairs")
+    phrases = spelled(pairs.drop("shard").distinct())
     if longest > 2:
-        phrases = phrases.unionByName(long.select(F.filter(F.array(*names), lambda x: x != NONE).alias("ids"), "n"))
+        threes = frequent(grams(with_pairs((pairs, "w0", "w1")), 3, 3), "threes")
+        phrases = phrases.unionByName(spelled(threes.drop("shard").distinct()))
+    if longest > 3:
+        rest = grams(with_pairs((threes, "w0", "w1"), (threes, "w1", "w2")), 4, longest)
+        phrases = phrases.unionByName(spelled(rest.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)))
     words = words.where(F.col("mark") == F.col("word_id")).select("word_id", "lang", "word", "n")
     return Mined(words, staged(phrases, f"{folder}/phrases"), totals)
 
