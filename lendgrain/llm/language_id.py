@@ -7,8 +7,10 @@ weighted by one over its number of runs. A document goes to the language whose p
 with its vector; that cosine, not below 0, is the score.
 
 Runs are taken over lower-cased letters, with one blank standing for whatever else; a run's middle is a letter. The
-weights are whole numbers, so that the sums do not depend on the order of the rows. Training gathers, per task, one
-vector for each language, and Spark adds them up; the prototypes (languages x size numbers) are sent to all tasks.
+weights are whole numbers, so that the sums do not depend on the order of the rows. Training gathers the weight of
+each run in each language; Spark adds these up, every run is bound once, and Spark adds up one vector for each task
+and language. The prototypes (languages x size numbers) are sent to all tasks. A worker keeps the bound vectors of a
+bounded number of runs.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be
 learned; ties go to the language first in order; rows with a null language or without letters teach nothing; a row
@@ -32,6 +34,8 @@ DENSE = 1 << 20
 ROWS = 512
 BLOCK = 3 << 18
 RUNS = 1024
+KEPT_RUNS = 1 << 14
+HELD_WEIGHTS = 1 << 21
 
 
 def letters() -> np.ndarray:
@@ -61,6 +65,39 @@ def run_vectors(points: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def run_keys(points: np.ndarray) -> np.ndarray:
+    """Three code points of 21 bits each as one number."""
+    return (points[:, 0] << 42) | (points[:, 1] << 21) | points[:, 2]
+
+
+def key_points(keys: np.ndarray) -> np.ndarray:
+    return np.stack([keys >> 42, (keys >> 21) & 0x1FFFFF, keys & 0x1FFFFF], axis=1)
+
+
+class BoundRuns:
+    """run_vectors() that remembers up to `most` runs, a byte a number."""
+
+    def __init__(self, size: int, most: int = KEPT_RUNS):
+        self.size, self.keys, self.places = size, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.empty((most, size), np.int8)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        keys, out = run_keys(points), np.empty((len(points), self.size), np.float32)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        out[known] = self.table[self.places[at[known]]]
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            out[rest] = run_vectors(points[rest], self.size)
+            new = rest[:len(self.table) - len(self.keys)]
+            self.table[len(self.keys):len(self.keys) + len(new)] = out[new]
+            keys, places = np.r_[self.keys, keys[new]], np.r_[self.places, len(self.keys) + np.arange(len(new))]
+            order = np.argsort(keys)
+            self.keys, self.places = keys[order], places[order]
+        return out
+
+
 def pieces(texts):
     """(row, code points with blanks for all but letters, padded) of each text or part of it; parts overlap by two."""
     known = letters()
@@ -118,7 +155,7 @@ def held_out(id_col: str):
 def prototypes(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", size=SIZE) -> dict[str, np.ndarray]:
     """One vector for each language met in the training rows."""
     def learn(batches):
-        total = {}
+        held, n = {}, 0
         for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             langs, texts = b.column(1).to_pylist(), b.column(0).to_pylist()
             n_runs = np.zeros(len(langs), np.int64)  # a run for each letter, its middle
@@ -127,16 +164,43 @@ def prototypes(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang
             names = sorted(set(langs))
             of = np.array([[lang == n for lang in langs] for n in names], np.float64)
             for rows, points, counts in run_counts(texts):
-                weights = np.rint(counts * (SCALE / np.maximum(n_runs[rows], 1))[:, None])
-                sums = (of[:, rows] @ weights) @ run_vectors(points, size).astype(np.float64)
-                for n, s in zip(names, sums):
-                    total[n] = total[n] + s if n in total else s
-        names = sorted(total)
-        if names:
+                weights = of[:, rows] @ np.rint(counts * (SCALE / np.maximum(n_runs[rows], 1))[:, None])
+                keys = run_keys(points)
+                for name, w in zip(names, weights):
+                    held.setdefault(name, []).append((keys[w > 0], w[w > 0].astype(np.int64)))
+                    n += len(held[name][-1][0])
+            if n > HELD_WEIGHTS:
+                yield from added_up(held)
+                held, n = {}, 0
+        yield from added_up(held)
+
+    def added_up(held):
+        for name, parts in held.items():
+            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, back, np.concatenate([w for _, w in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(total)], ["lang", "run", "weight"])
+
+    def bind(batches):
+        total = {}
+        for b in batches:
+            langs, keys, weights = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            names = sorted(set(langs))
+            place = {n: k for k, n in enumerate(names)}
+            of = np.array([place[x] for x in langs], np.int64)
+            for at in range(0, len(keys), RUNS):
+                part = slice(at, at + RUNS)
+                spread = np.zeros((len(names), len(keys[part])))
+                spread[of[part], np.arange(len(keys[part]))] = weights[part]
+                for n, v in zip(names, spread @ run_vectors(key_points(keys[part]), size).astype(np.float64)):
+                    total[n] = total[n] + v if n in total else v
+        if total:
+            names = sorted(total)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([total[n].astype(np.int64) for n in names], pa.list_(pa.int64()))], ["lang", "vector"])
 
     rows = docs.where(~held_out(id_col)).where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string"))
-    sums = rows.mapInArrow(learn, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    weights = rows.mapInArrow(learn, "lang string, run long, weight long").groupBy("lang", "run").agg(F.sum("weight").alias("weight"))
+    sums = weights.mapInArrow(bind, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     sums = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))  # size numbers for each language
     found = {r.lang: np.array([e.x for e in r.v], np.float64) for r in sums.collect()}
     return {k: v for k, v in sorted(found.items()) if v.any()}
@@ -145,9 +209,15 @@ def prototypes(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang
 def classify(texts, names: list[str], profiles: np.ndarray, size: int):
     """(language, score) of each text. profiles: a unit vector a row."""
     vectors, some = np.zeros((len(texts), size), np.float32), np.zeros(len(texts), bool)
+    bound = kept(f"bound_runs_{size}", lambda: BoundRuns(size))
     for rows, points, counts in run_counts(texts):
-        np.add.at(vectors, rows, counts.astype(np.float32) @ run_vectors(points, size))
-        some[rows] |= counts.any(axis=1)
+        part = counts.astype(np.float32) @ bound(points)
+        if (np.diff(rows) > 0).all():
+            vectors[rows] += part
+            some[rows] |= counts.any(axis=1)
+        else:  # some text comes in several pieces
+            np.add.at(vectors, rows, part)
+            np.logical_or.at(some, rows, counts.any(axis=1))
     length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
     cosine = (vectors.astype(np.float64) @ profiles.T) / np.maximum(length, 1e-9)[:, None] if names else np.zeros((len(texts), 1))
     best = cosine.argmax(axis=1)
