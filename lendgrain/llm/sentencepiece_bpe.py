@@ -4,8 +4,9 @@ The text's blanks become the meta symbol, one is put in front, and an agenda of
 the score of the piece they would make (the leftmost of equal scores first), is worked off until no pair makes a
 piece. As no piece of such a vocabulary has a meta symbol after another character (this is checked when the model
 is loaded), no merge crosses the start of a run of meta symbols, and the text falls into chunks there. The agendas
-of all chunks of an Arrow batch that the task has not met yet are worked off in step, one merge for each chunk at
-a time, in numpy arrays; a bounded memory holds the ids of chunks met before. Every newly encoded chunk is checked
+of all short chunks of an Arrow batch that the task has not met yet are worked off in step, one merge for each chunk
+at a time, in numpy arrays; a long chunk has a heap of its own, to which a merge adds its two new pairs only. A
+bounded memory holds the ids of chunks met before. Every newly encoded chunk is checked
 against the sentencepiece library before it is used, and a difference stops the job.
 
 Characters without a piece become byte pieces, or the unknown id if the vocabulary has none. Decoding is the
@@ -17,6 +18,7 @@ looked at.
 """
 
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -31,6 +33,7 @@ CHUNK = re.compile(f"{META}+[^{META}]*|[^{META}]+")
 KEPT_CHUNKS = 400_000
 TEXT_BLOCK = 1 << 21
 ROWS = 1000
+LONG = 128
 
 
 class Vocabulary:
@@ -72,6 +75,7 @@ class Vocabulary:
             for k in range(1, len(p)):
                 if p[:k] in symbol and p[k:] in symbol:
                     merges[symbol[p[:k]] * self.width + symbol[p[k:]]] = (order[-model.pieces[i].score], i)
+        self.merges = merges
         self.keys = np.array(sorted(merges), np.int64)
         self.rank = np.array([merges[k][0] for k in self.keys], np.int64)
         self.made = np.array([merges[k][1] for k in self.keys], np.int64)
@@ -79,11 +83,55 @@ class Vocabulary:
 
     def agenda(self, chunks: list[str]) -> list[bytes]:
         """The ids (little-endian unsigned 32-bit) of each chunk."""
-        points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
-        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        short = [c for c in chunks if len(c) <= LONG]
+        found = iter(self.in_step(short) if short else [])
+        return [next(found) if len(c) <= LONG else self.by_heap(c) for c in chunks]
+
+    def symbols(self, text: str) -> np.ndarray:
+        """The symbol of each character; those that no piece has are kept as they are, below 0, and never merged."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         symbol = self.of_char[points]
-        unknown = symbol < 0
-        symbol = np.where(unknown, -1 - points, symbol)  # characters no piece has: kept as they are, never merged
+        return np.where(symbol < 0, -1 - points, symbol)
+
+    def by_heap(self, chunk: str) -> bytes:
+        """The ids of one chunk: a linked list of symbols and a heap of (rank, place) of the pairs."""
+        first = self.symbols(chunk)
+        n, pair = len(first), np.where((first[1:] >= 0) & (first[:-1] >= 0), first[:-1] * self.width + first[1:], -1)
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        fits = np.flatnonzero(self.keys[at] == pair)
+        heap = (self.rank[at[fits]] * n + fits).tolist()
+        heapq.heapify(heap)
+        symbol, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        merges, width, none = self.merges, self.width, (None, None)
+        while heap:
+            rank, left = divmod(heapq.heappop(heap), n)
+            right = after[left]
+            if right == n or symbol[left] is None:
+                continue
+            # an entry whose pair is gone counts if the pair now there has its rank: then it is that pair's turn
+            now, made = merges.get(symbol[left] * width + symbol[right], none) if symbol[left] >= 0 <= symbol[right] else none
+            if now != rank:
+                continue
+            symbol[left], symbol[right] = made, None
+            after[left] = far = after[right]
+            if far < n:
+                before[far] = left
+                new = merges.get(made * width + symbol[far], none)[0] if symbol[far] >= 0 else None
+                if new is not None:
+                    heapq.heappush(heap, new * n + left)
+            near = before[left]
+            if near >= 0 and symbol[near] >= 0:
+                new = merges.get(symbol[near] * width + made, none)[0]
+                if new is not None:
+                    heapq.heappush(heap, new * n + near)
+        found = np.array([s for s in symbol if s is not None], np.int64)
+        odd = (found < 0) | (found >= self.n_pieces)
+        return self.with_bytes(found) if odd.any() else found.astype("<u4").tobytes()
+
+    def in_step(self, chunks: list[str]) -> list[bytes]:
+        """The ids of some chunks, one merge for each at a time."""
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        symbol = self.symbols("".join(chunks))
         chunk = np.repeat(np.arange(len(chunks)), length)
         done_symbol, done_chunk = [], []
         while len(symbol):
