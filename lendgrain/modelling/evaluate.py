@@ -12,9 +12,15 @@ from lendgrain.operators.relational import band_join
 RUN = (Window.unboundedPreceding, 0)
 
 
-def score_bins(df, target="target", prob="prob", n=10, kind=7, edges=None, by=(), weight=None) -> DataFrame:
+def score_table(df, target="target", prob="prob", by=(), weight=None) -> DataFrame:
+    """The counted scores (by, value, n, events) that all measures can be taken from: the source is read once. Every
+    function below that takes a frame of scores takes such a table as `counted` instead."""
+    return value_table(df, [prob], target, weight, by=by)
+
+
+def score_bins(df, target="target", prob="prob", n=10, kind=7, edges=None, by=(), weight=None, counted=None) -> DataFrame:
     """(by, bin): counts of each score bin. `edges` are given cut points; else the sample's own quantiles."""
-    vt = value_table(df, [prob], target, weight, by=by)
+    vt = score_table(df, target, prob, by, weight) if counted is None else counted
     keys = [*by, "variable"]
     if edges is None:
         c = cut(vt, quantile_edges(vt, n, kind, keys), keys)
@@ -30,10 +36,10 @@ def score_bins(df, target="target", prob="prob", n=10, kind=7, edges=None, by=()
     return c.filter("bin is not null").groupBy(*by, "bin").agg(*aggs).withColumn("nonevents", F.col("total") - F.col("events"))
 
 
-def train_edges(df, prob="prob", n=10, kind=8):
+def train_edges(df, prob="prob", n=10, kind=8, counted=None):
     """Cut points for use on other samples: the inner quantiles between 0 and 1. The outer two of all
     n + 1 are replaced before equal ones are dropped, so a tie at an end keeps its cut point."""
-    q = quantiles(value_table(df, [prob]), even_probs(n), kind).first()["q"]
+    q = quantiles(value_table(df, [prob]) if counted is None else counted, even_probs(n), kind).first()["q"]
     return sorted({0.0, 1.0, *(float(x) for x in q[1:-1])})
 
 
@@ -47,9 +53,9 @@ def _cum(bins, by, ascending):
         "_row": F.row_number().over(Window.partitionBy(*by).orderBy(F.col("bin").asc()))})
 
 
-def ks_table(df, target="target", prob="prob", n=10, by=()) -> DataFrame:
+def ks_table(df, target="target", prob="prob", n=10, by=(), counted=None) -> DataFrame:
     """Deciles from the highest score down: rates, cumulative rates, bad rate and signed KS."""
-    x = _cum(score_bins(df, target, prob, n, 7, by=by), by, False)
+    x = _cum(score_bins(df, target, prob, n, 7, by=by, counted=counted), by, False)
     ce, cn = F.col("cum_event") / F.col("_e"), F.col("cum_nonevent") / F.col("_ne")
     return x.select(
         *by, F.col("_row").alias("decile"), "min_prob", "max_prob", "avg_prob", "events", "nonevents",
@@ -68,10 +74,10 @@ def _decile_table(bins, by, ascending):
                           "_ln": F.coalesce(F.lag("pct_cum_nonevent").over(w), F.lit(0.0))})
 
 
-def decile_table(df, target="target", prob="prob", n=10, edges=None, ascending=True, by=()) -> DataFrame:
+def decile_table(df, target="target", prob="prob", n=10, edges=None, ascending=True, by=(), counted=None) -> DataFrame:
     """Decile report with population share, event rate, cumulative shares, KS in percent and each
     decile's part of the Gini area."""
-    x = _decile_table(score_bins(df, target, prob, n, 8, edges, by), by, ascending)
+    x = _decile_table(score_bins(df, target, prob, n, 8, edges, by, counted=counted), by, ascending)
     return x.select(
         *by, F.col("_row").alias("decile"), "nonevents", "events", "total", (F.col("total") / F.col("_n")).alias("pct_pop"),
         (F.col("events") / F.col("total")).alias("event_rate"), "cum_nonevent", "cum_event", "pct_cum_nonevent", "pct_cum_event",
@@ -79,17 +85,17 @@ def decile_table(df, target="target", prob="prob", n=10, edges=None, ascending=T
         ((F.col("pct_cum_event") + F.col("_le")) * (F.col("pct_cum_nonevent") - F.col("_ln")) * 0.5).alias("gini"))
 
 
-def gini_ks(df, target="target", prob="prob", n=10, edges=None, by=()) -> DataFrame:
+def gini_ks(df, target="target", prob="prob", n=10, edges=None, by=(), counted=None) -> DataFrame:
     """Gini (trapezoids over ascending deciles) and KS, to four digits."""
-    x = _decile_table(score_bins(df, target, prob, n, 8, edges, by), by, True)
+    x = _decile_table(score_bins(df, target, prob, n, 8, edges, by, counted=counted), by, True)
     area = F.sum((F.col("pct_cum_event") - F.col("_le")) * (F.col("pct_cum_nonevent") + F.col("_ln")) * 0.5)
     return x.groupBy(*by).agg(F.round((area - 0.5) * 2, 4).alias("gini"),
                               F.round(F.max(F.abs(F.col("pct_cum_nonevent") - F.col("pct_cum_event"))), 4).alias("ks"))
 
 
-def auc(df, target="target", prob="prob", by=(), auto_direction=False, digits=4) -> DataFrame:
+def auc(df, target="target", prob="prob", by=(), auto_direction=False, digits=4, counted=None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half."""
-    vt = value_table(df, [prob], target, by=by)
+    vt = score_table(df, target, prob, by) if counted is None else counted
     vt = vt.withColumn("ne", F.col("n") - F.col("events"))
     r = running_sums(vt, ["ne", "events"], [*by, "variable"])
     wins = F.sum((F.col("before_ne") + F.col("ne") / 2) * F.col("events"))
@@ -135,9 +141,10 @@ def rank_order(table, by=(), order="decile", rate="event_rate") -> DataFrame:
 
 def model_summary(df, target="target", prob="prob", sample="sample", train="Train", edges=None, tolerance=0.07) -> DataFrame:
     """AUC, Gini, KS and the drop of KS against training, per sample, on the training cut points."""
+    counted = score_table(df, target, prob, (sample,))
     if edges is None:
-        edges = train_edges(df.filter(F.col(sample) == train), prob)
-    g = gini_ks(df, target, prob, edges=edges, by=(sample,)).join(auc(df, target, prob, by=(sample,)), sample)
+        edges = train_edges(df, prob, counted=counted.filter(F.col(sample) == train).drop(sample))
+    g = gini_ks(df, edges=edges, by=(sample,), counted=counted).join(auc(df, by=(sample,), counted=counted), sample)
     base = F.broadcast(g.filter(F.col(sample) == train).select(F.col("ks").alias("_t")))
     x = g.join(base, F.lit(True))
     drop = F.try_divide(F.col("_t") - F.col("ks"), F.col("_t"))
@@ -148,6 +155,20 @@ def validation_perf(train_table, scored, target="target", prob="prob", n=10) ->
     """A new population on the score ranges of the training deciles; scores in no range are left out of
     the deciles but stay in the totals."""
     s = scored.filter(F.col(target).isin(0, 1)).groupBy(prob).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("e"))
+    return _on_ranges(train_table, s, prob, n)
+
+
+def validation_report(df, target="target", prob="prob", sample="sample", train="Train", new="OOT", n=10) -> DataFrame:
+    """validation_perf of one sample on the deciles of another, both taken from scores that are counted once. Rows
+    without a known target are left out."""
+    counted = score_table(df.filter(F.col(target).isin(0, 1) & F.col(sample).isin(train, new)), target, prob, (sample,))
+    of = lambda s: counted.filter(F.col(sample) == s).drop(sample)
+    table = ks_table(df, n=n, counted=of(train))
+    return _on_ranges(table, of(new).select(F.col("value").alias(prob), "n", F.col("events").alias("e")), prob, n)
+
+
+def _on_ranges(train_table, s, prob, n):
+    """s: score, n, e (events)."""
     bands = train_table.select(F.col("decile"), F.col("min_prob").alias("lo"), F.col("max_prob").alias("hi"))
     # a score on a shared border belongs to every range that holds it
     j = band_join(s, bands, prob, "lo", "hi")
@@ -189,9 +210,10 @@ def segment_evaluate(df, segment, target="target", prob="prob", sample="sample",
     """A segment with training and test pooled as development: metrics and decile tables of development
     and out-of-time, both on the development cut points."""
     s = df.filter(segment).withColumn("part", F.when(F.col(sample) == oot, "oot").otherwise("dev"))
-    edges = train_edges(s.filter("part = 'dev'"), prob)
-    metrics = gini_ks(s, target, prob, edges=edges, by=("part",)).join(auc(s, target, prob, by=("part",)), "part")
-    return metrics, decile_table(s, target, prob, edges=edges, ascending=False, by=("part",))
+    counted = score_table(s, target, prob, ("part",))
+    edges = train_edges(s, prob, counted=counted.filter("part = 'dev'").drop("part"))
+    metrics = gini_ks(s, edges=edges, by=("part",), counted=counted).join(auc(s, by=("part",), counted=counted), "part")
+    return metrics, decile_table(s, edges=edges, ascending=False, by=("part",), counted=counted)
 
 
 def stack_samples(frames):

@@ -35,6 +35,12 @@ def glm_table(model, cols):
                                "p_value": ([float(x) for x in s.pValues], pa.float64())})
 
 
+def glm_numbers(model, cols):
+    """{variable: (coefficient, p-value)}."""
+    m = model.stages[-1]
+    return dict(zip(cols, zip(m.coefficients.toArray().tolist(), list(m.summary.pValues))))
+
+
 def acceptable(table, vifs, max_vif=2.0, max_p=0.001):
     """Variables with a coefficient of at least 0, a small p-value and little inflation."""
     return [r["variable"] for r in table.collect() if r["variable"] in vifs and r["coefficient"] >= 0

@@ -1,8 +1,9 @@
 """Exact quantiles and running sums over a whole column, without one task ever seeing the column.
 
 Work is done on distinct values: rows are counted per value first (combined before the shuffle), the
-value range is cut at approximate quantiles into pieces of similar size, the small table of piece
-totals gives each piece its starting rank, and only inside a piece are values sorted.
+values of all variables are dealt out by range into pieces of similar size, the small table of piece
+totals gives each piece its starting rank, and only inside a piece are values sorted. A variable of few
+values lies in one piece, one of very many in as many as it needs.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -12,23 +13,19 @@ from lendgrain.operators.relational import unpivot
 from lendgrain.session import cut_lineage
 
 VALUES_PER_PIECE = 100_000
-MOST_PIECES = 10_000
 BROADCAST_NUMBERS = 2_000_000
 
 
 def lookup(df: DataFrame, keys, width=1) -> DataFrame:
-    """A table of a few rows (of `width` numbers) for each variable, and for each group where there are any.
-    The number of variables is a number of columns, so without groups it is broadcast; with groups it is
-    counted first, and beyond the limit joined by its keys."""
-    if list(keys) == ["variable"]:
-        return F.broadcast(df)
+    """A table of a few rows (of `width` numbers) for each variable, and for each group where there are any. It is
+    counted, broadcast up to a limit, and joined by its keys beyond."""
     df = cut_lineage(df)
     return F.broadcast(df) if df.count() * width <= BROADCAST_NUMBERS else df
 
 
 def n_pieces(vt: DataFrame) -> int:
-    """So many that a piece has about VALUES_PER_PIECE distinct values, and a variable some parallelism."""
-    return max(16, min(MOST_PIECES, vt.count() // VALUES_PER_PIECE))
+    """So many that a piece has about VALUES_PER_PIECE distinct values."""
+    return 1 + vt.count() // VALUES_PER_PIECE
 
 
 def value_table(df: DataFrame, cols, target=None, weight=None, by=(), keep_null=False) -> DataFrame:
@@ -50,20 +47,22 @@ def value_table(df: DataFrame, cols, target=None, weight=None, by=(), keep_null=
 
 
 def _pieces(vt, keys, pieces):
-    cuts = [i / pieces for i in range(1, pieces)]
-    split = vt.groupBy(*keys).agg(F.percentile_approx("value", cuts, max(10_000, 4 * pieces)).alias("_cuts"))
-    j = vt.join(lookup(split, keys, pieces), keys)
-    return j.withColumn("_piece", F.expr("size(filter(_cuts, c -> c < value))")).drop("_cuts")
+    """Values with the piece they are in; pieces follow each other in order of (keys, value)."""
+    if pieces == 1:
+        return vt.withColumn("_piece", F.lit(0))
+    # written, so that a piece keeps its rows whatever is run again
+    return cut_lineage(vt.repartitionByRange(pieces, *keys, "value").withColumn("_piece", F.spark_partition_id()))
 
 
 def _piece_starts(pv, keys, sums):
-    """One row per piece: what lies before it (at most variables x pieces rows)."""
+    """One row per variable and piece it has values in: what lies before it (at most variables + pieces rows)."""
     tot = pv.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     w = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*keys)
     return tot.select("*", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in sums],
                       *[F.sum(f"_t_{c}").over(all_).alias(f"_all_{c}") for c in sums])
 
+
 def running_sums(vt: DataFrame, sums, keys=("variable",), pieces=None) -> DataFrame:
     """Adds before_<c> (sum over smaller values) and all_<c> to each value."""
     keys, pieces = list(keys), pieces or n_pieces(vt)
@@ -80,7 +79,10 @@ def quantiles(vt: DataFrame, probs, kind=7, keys=("variable",), pieces=None) ->
     at (n+1/3)p+1/3."""
     keys, pieces = list(keys), pieces or n_pieces(vt)
     pv = _pieces(vt, keys, pieces)
-    starts = lookup(cut_lineage(_piece_starts(pv, keys, ["n"])), keys, 3)
+    starts = cut_lineage(_piece_starts(pv, keys, ["n"]))
+    # the tables of wanted ranks below have at most two rows a probability for each row of this one
+    side = F.broadcast if starts.count() * (3 + 4 * len(probs)) <= BROADCAST_NUMBERS else lambda df: df
+    starts = side(starts)
     # zero-based position; type 8 positions a hair below a whole number count as whole
     pos = "(_all_n - 1) * p" if kind == 7 else "(_all_n + 1D/3) * p + 1D/3 - 1"
     fuzz = 0.0 if kind == 7 else 1e-9
@@ -93,14 +95,14 @@ def quantiles(vt: DataFrame, probs, kind=7, keys=("variable",), pieces=None) ->
              .withColumn("hi", F.greatest(F.least(F.col("j") + 2, F.col("_all_n")), F.lit(1))))
     wanted = ranks.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")).distinct()
     # only the pieces that hold a wanted rank are sorted
-    need = (starts.join(lookup(wanted, keys), keys)
+    need = (starts.join(side(wanted), keys)
             .filter((F.col("rank") > F.col("_b_n")) & (F.col("rank") <= F.col("_b_n") + F.col("_t_n")))
             .groupBy(*keys, "_piece", "_b_n").agg(F.collect_list("rank").alias("ranks")))
     w = Window.partitionBy(*keys, "_piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    got = (pv.join(lookup(need, keys, 4), keys + ["_piece"])
+    got = (pv.join(side(need), keys + ["_piece"])
            .withColumn("_upto", F.col("_b_n") + F.sum("n").over(w))
            .select(*keys, "value", F.explode(F.expr("filter(ranks, r -> r <= _upto and r > _upto - n)")).alias("rank")))
-    got = lookup(cut_lineage(got), keys, 2)
+    got = side(cut_lineage(got))
     lo = got.withColumnsRenamed({"rank": "lo", "value": "v_lo"})
     hi = got.withColumnsRenamed({"rank": "hi", "value": "v_hi"})
     q = (ranks.join(lo, keys + ["lo"]).join(hi, keys + ["hi"])

@@ -1,5 +1,7 @@
 """Population and characteristic stability."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,16 @@ def _psi(counts, other, bins=10, method="width", eps=1e-10) -> DataFrame:
     return g.groupBy("variable").agg(F.sum(term).alias("psi"))
 
 
-def psi_categorical(df: DataFrame, sample, cols, expected="Train", actual="Test", eps_actual=1e-6, eps_expected=1e-9, compat=False) -> DataFrame:
-    """Same on the shares of each value. A value missing on one side is guarded there; with compat the
-    whole row takes the guard, so that it adds nothing."""
-    two = df.filter(F.col(sample).isin(expected, actual))
-    long = two.select(F.col(sample).alias("_s"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ["_s"], list(cols), "variable", "value").filter("value is not null")
-    g = long.groupBy("variable", "value").agg(
-        F.sum((F.col("_s") == expected).cast("long")).alias("e"), F.sum((F.col("_s") == actual).cast("long")).alias("a"))
+def category_counts(df, sample, cols, samples) -> DataFrame:
+    """Values of all categorical variables with the rows of each sample (n0, n1, ...): one long aggregate, one read."""
+    rows = df.filter(F.col(sample).isin(list(samples))).select(F.col(sample).alias("_s"), *[F.col(c).cast("string").alias(c) for c in cols])
+    long = rows.unpivot(["_s"], list(cols), "variable", "value").filter("value is not null")
+    return cut_lineage(long.groupBy("variable", "value").agg(*[F.sum((F.col("_s") == s).cast("long")).alias(f"n{i}") for i, s in enumerate(samples)]))
+
+
+def _psi_of_categories(counts, other, eps_actual=1e-6, eps_expected=1e-9, compat=False) -> DataFrame:
+    """PSI of sample number `other` against number 0."""
+    g = counts.select("variable", "value", F.col("n0").alias("e"), F.col(f"n{other}").alias("a")).filter("e > 0 or a > 0")
     size = g.groupBy("variable").agg(F.sum("e").alias("ne"), F.sum("a").alias("na"))
     x = g.join(F.broadcast(size), "variable").select("variable", (F.col("a") / F.col("na")).alias("sa"), (F.col("e") / F.col("ne")).alias("se"))
     if compat:
@@ -68,6 +72,12 @@ def psi_categorical(df: DataFrame, sample, cols, expected="Train", actual="Test"
     return x.groupBy("variable").agg(F.sum(term).alias("psi"))
 
 
+def psi_categorical(df: DataFrame, sample, cols, expected="Train", actual="Test", eps_actual=1e-6, eps_expected=1e-9, compat=False) -> DataFrame:
+    """Same on the shares of each value. A value missing on one side is guarded there; with compat the
+    whole row takes the guard, so that it adds nothing."""
+    return _psi_of_categories(category_counts(df, sample, cols, (expected, actual)), 1, eps_actual, eps_expected, compat)
+
+
 def stability_band(psi="psi"):
     b = F.lit(V.PSI_BANDS[-1][1])
     for limit, name in reversed(V.PSI_BANDS[:-1]):
@@ -76,16 +86,14 @@ def stability_band(psi="psi"):
 
 
 def csi_report(df: DataFrame, sample, cols, score=None, expected="Train", others=("Test", "OOT"), categorical=(), **kw) -> DataFrame:
-    """One row per variable and comparison; the score itself is reported as PSI, features as CSI."""
+    """One row per variable and comparison; the score itself is reported as PSI, features as CSI. Numbers and categories
+    are counted once each for all samples, whatever is compared."""
+    samples, numeric = (expected, *others), [*cols, *([score] if score else [])]
+    counts = sample_counts(df, sample, numeric, samples) if numeric else None
+    values = category_counts(df, sample, list(categorical), samples) if categorical else None
     frames = []
-    counts = sample_counts(df, sample, list(cols) + ([score] if score else []), (expected, *others))
     for i, other in enumerate(others):
-        parts = [_psi(counts, i + 1, **kw)]
-        if categorical:
-            parts.append(psi_categorical(df, sample, categorical, expected, other))
-        for p in parts:
-            frames.append(p.withColumn("compared", F.lit(other)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+        parts = ([_psi(counts, i + 1, **kw)] if numeric else []) + ([_psi_of_categories(values, i + 1)] if categorical else [])
+        frames += [p.withColumn("compared", F.lit(other)) for p in parts]
+    out = reduce(lambda a, b: a.unionByName(b), frames)
     return out.withColumns({"index": F.when(F.col("variable") == (score or ""), "PSI").otherwise("CSI"), "band": stability_band()})

@@ -15,6 +15,7 @@ def get_session(app="lendgrain", cores=None):
              .config("spark.ui.enabled", "false"))
     return (
         b.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # a feature frame has more columns than the default limit of 100 for generated code
