@@ -4,6 +4,8 @@ hist_start, hist_end, as_of, m_* month offsets, sanction, high_credit, credit_li
 last_payment, tenor, written_off, dpd/bal/due slot arrays.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from lendgrain.functions import fixed_values as V
@@ -97,22 +99,33 @@ def principal():
     return F.when(amount > 0, amount).otherwise(F.lit(0.0))
 
 
-def current_months():
-    """Months seen as current, plus the months before the 36 slots."""
-    zeros = H.count_value("dpd", 0)
-    return F.when(F.col("m_end") == 0, 1).when(F.col("m_end") <= 36, zeros).otherwise(zeros + F.col("m_end") - 36)
+@dataclass(frozen=True)
+class Schedule:
+    """How an instalment follows from the principal: paid back at once up to `at_once`, else what has been paid a
+    month so far, else a rate by product."""
+    at_once: float = 5000
+    rates: tuple = ((0.05, ("CC", "PL")), (0.007, ("HL", "LAP")))
+    other_rate: float = 0.03
+
+    def rate(self, product):
+        by_product = F.create_map(*[F.lit(x) for rate, products in self.rates for p in products for x in (p, rate)])
+        return F.coalesce(F.try_element_at(by_product, product), F.lit(self.other_rate))
+
+
+def months_current():
+    """Months without arrears: the slots that say so, and those before the first slot; a history that ends this month has one."""
+    older = F.greatest(F.col("m_end") - H.SLOTS, F.lit(0))
+    return F.when(F.col("m_end") != 0, H.count_value("dpd", 0) + older).otherwise(F.when(F.col("m_end") == 0, 1))
 
 
-def emi_amortised(small=5000):
-    """Instalment from the principal paid so far; products without a schedule use a rate."""
-    p, prod = F.col("principal"), F.col("product")
-    term = F.col("revolving") == 0
-    paid = F.try_divide(p - F.col("balance"), F.col("current_months").cast("double"))
-    return (F.when(term & (p > 0) & (p <= small), p)
-            .when(term & (p > small) & (p > F.col("balance")) & (F.col("current_months") > 0), paid)
-            .when(prod.isin("CC", "PL") & (p > 0), 0.05 * p)
-            .when(prod.isin("HL", "LAP") & (p > 0), 0.007 * p)
-            .when(p > 0, 0.03 * p).otherwise(F.lit(0.0)))
+def emi_amortised(schedule=Schedule()):
+    """Instalment of an account: the first answer that is there, else 0."""
+    owed, term = F.col("principal"), F.col("revolving") == 0
+    months, repaid = F.col("current_months"), F.col("principal") - F.col("balance")
+    answers = [F.when(term & (owed <= schedule.at_once), owed),
+               F.when(term & (owed > schedule.at_once) & (repaid > 0), F.try_divide(repaid, F.when(months > 0, months).cast("double"))),
+               owed * schedule.rate(F.col("product"))]
+    return F.coalesce(F.when(owed > 0, F.coalesce(*answers)), F.lit(0.0))
 
 
 def account_close_date():
@@ -220,7 +233,7 @@ def trade_base(t):
         "vintage_days": F.datediff("as_of", "opened"), "report_days": F.datediff("as_of", "reported"),
         "hc": F.when(F.col("product") == "CC", F.greatest("high_credit", "credit_limit")).otherwise(F.col("high_credit")),
         "recent": flag_or_null(F.datediff("as_of", "reported") <= 365)})
-    t = t.withColumns({"principal": principal(), "emi": emi_estimate(), "current_months": current_months()})
+    t = t.withColumns({"principal": principal(), "emi": emi_estimate(), "current_months": months_current()})
     t = t.withColumn("emi_new", emi_amortised())
     t = t.withColumn("close_date", account_close_date())
     return t.withColumns({

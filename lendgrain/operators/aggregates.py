@@ -1,16 +1,24 @@
 """Grouped aggregation."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendgrain.functions import history as H
 from lendgrain.functions.columns import as_col, safe_ratio, settle
 from lendgrain.operators.relational import is_small
+from lendgrain.session import cut_lineage
+
+
+def key_names(key) -> list:
+    """A key is a name or several (member, or member and month)."""
+    return [key] if isinstance(key, str) else list(key)
 
 
 def group_agg(df: DataFrame, keys, aggs) -> DataFrame:
     """keys: a name or several (member, or member and month)."""
-    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(*aggs)
+    return df.groupBy(*key_names(keys)).agg(*aggs)
 
 
 def exprs(texts):
@@ -45,12 +53,38 @@ def cond_agg(fn, measure, cond, absent="null"):
     return getattr(F, fn)(x)
 
 
+def medians(df: DataFrame, keys, measures) -> DataFrame:
+    """Exact medians of several measures (name: column) for each key. Equal values are counted first, combined before the
+    shuffle; the counts are then added up in order of value, in a window that spills. No group is held in a buffer.
+    A measure without values has a null median; a key without any has no row."""
+    keys, names = key_names(keys), list(measures)
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), as_col(c).cast("double").alias("_value")) for n, c in measures.items()])).alias("_m"))
+    counts = long.select(*keys, "_m.*").where("_value is not null").groupBy(*keys, "_name", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys, "_name")
+    placed = counts.select("*", F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_n").over(group).alias("_all"))
+    at = lambda rank: F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col("_value")))
+    middle = (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2
+    return placed.groupBy(*keys).pivot("_name", names).agg(middle).select(*keys, *[F.col(f"`{n}`") for n in names])
+
+
+def with_medians(df: DataFrame, keys, aggs, measures) -> DataFrame:
+    """group_agg with medians (name: column) as more columns, last."""
+    keys = key_names(keys)
+    side = medians(df, keys, measures).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    both = group_agg(df, keys, aggs).join(side, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), "left")
+    return both.drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def group_moments(df: DataFrame, keys, col, digits=4) -> DataFrame:
+    """avg, max, min, stddev, skewness, kurtosis and median of a measure for each key."""
+    out = with_medians(df, keys, [c.alias(n) for n, c in moments(col, digits).items()], {"median": col})
+    return out.withColumn("median", settle(F.col("median"), digits))
+
+
 def moments(col, digits=4):
-    """avg, median, max, min, stddev, skewness, kurtosis. (Median of a measure with few distinct
-    values such as days or months; use quantile_edges for others.)"""
+    """avg, max, min, stddev, skewness, kurtosis (group_moments has the median too)."""
     c = as_col(col)
-    return {"avg": settle(F.avg(c), digits), "median": settle(F.median(c), digits),
-            "max": settle(F.max(c), digits), "min": settle(F.min(c), digits),
+    return {"avg": settle(F.avg(c), digits), "max": settle(F.max(c), digits), "min": settle(F.min(c), digits),
             "stddev": settle(F.stddev(c), digits), "skewness": settle(F.skewness(c), digits),
             "kurtosis": settle(F.kurtosis(c), digits)}
 
@@ -65,9 +99,10 @@ def constant_of(col):
     return F.max(as_col(col))
 
 
-def stats4(col):
+def group_stats(df: DataFrame, keys, col, prefix="") -> DataFrame:
+    """min, max, mean and median of a measure for each key."""
     c = as_col(col)
-    return {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "median": F.median(c)}
+    return with_medians(df, keys, [F.min(c).alias(f"{prefix}min"), F.max(c).alias(f"{prefix}max"), F.avg(c).alias(f"{prefix}mean")], {f"{prefix}median": c})
 
 
 def row_max(*cols):
@@ -75,7 +110,7 @@ def row_max(*cols):
 
 
 def group_count(df, keys):
-    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*key_names(keys)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def weighted_agg(df, keys, target, weight):
@@ -90,7 +125,7 @@ def monthly_totals(df: DataFrame, key, arr, split, n=H.SLOTS) -> DataFrame:
     `split` is a column naming the part a row belongs to. One sum per slot keeps the row count and
     lets the sums be combined before the shuffle.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = key_names(key)
     sums = [F.sum(H.slot(arr, i)).alias(f"_s{i}") for i in range(1, n + 1)]
     g = df.groupBy(*keys, as_col(split).alias("part")).agg(*sums)
     return g.select(*keys, "part", F.array(*[f"_s{i}" for i in range(1, n + 1)]).alias("totals"))
@@ -108,7 +143,7 @@ def distinct_within(df, key, col, age, windows):
     """Exact number of distinct values seen within each window: the newest age per (key, value) first,
     so each value is counted once per key without a distinct aggregate per window. A window of None
     is all time and also counts values whose age is unknown."""
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = key_names(key)
     newest = df.groupBy(*keys, col).agg(F.min(age).alias("_age")).filter(F.col(col).isNotNull())
     return newest.groupBy(*keys).agg(*[
         F.count(F.lit(1) if w is None else F.when(F.col("_age") <= w, 1)).alias(name) for name, w in windows.items()])
@@ -116,22 +151,25 @@ def distinct_within(df, key, col, age, windows):
 
 def sum_at_extreme(df: DataFrame, keys, measures) -> DataFrame:
     """For each (name, measure, which, take): the sum of `take` over all rows whose measure equals
-    the group's max or min (ties are added up).
+    the group's max or min (ties are added up); null where no row has the measure.
 
-    Sums per distinct measure value first and then keeps the extreme one, so no group is ever held
-    in one place.
+    All extremes of a group come from one aggregate and are joined back, then the sums from a second one, so that
+    every row is shuffled once as it is and a very large group is split.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    specs = []
-    for name, measure, which, take in measures:
-        m = as_col(measure).cast("double")
-        specs.append(F.struct(F.lit(name).alias("_name"), (m if which == "max" else -m).alias("_m"),
-                              as_col(take).cast("double").alias("_take")))
-    long = (df.select(*keys, F.explode(F.array(*specs)).alias("_s")).select(*keys, "_s._name", "_s._m", "_s._take")
-            .filter(F.col("_m").isNotNull()))
-    per_value = long.groupBy(*keys, "_name", "_m").agg(F.sum("_take").alias("_total"))
-    best = per_value.groupBy(*keys, "_name").agg(F.max_by("_total", "_m").alias("_total"))
-    return best.groupBy(*keys).pivot("_name", [m[0] for m in measures]).agg(F.first("_total"))
+    keys = key_names(keys)
+    columns, tops, sums = {}, {}, []
+    for i, (name, measure, which, take) in enumerate(measures):
+        m, t = columns.setdefault(str(measure), (f"_m{len(columns)}", measure))[0], f"_t{i}"
+        tops.setdefault((m, which), f"_x{len(tops)}")
+        sums.append((name, m, tops[m, which], t, take))
+    x = df.select(*keys, *[as_col(m).cast("double").alias(c) for c, m in columns.values()], *[as_col(take).cast("double").alias(t) for *_, t, take in sums])
+    # a group without any of the measures has no row; read twice below, so the input is computed once
+    x = cut_lineage(x.where(F.coalesce(*[F.col(c) for c, _ in columns.values()]).isNotNull()))
+    best = x.groupBy(*keys).agg(*[getattr(F, which)(m).alias(c) for (m, which), c in tops.items()])
+    best = best.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    near = x.join(best, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]))
+    out = near.groupBy(*keys).agg(*[F.sum(F.when(F.col(m) == F.col(top), F.col(t))).alias(name) for name, m, top, t, _ in sums])
+    return out
 
 
 def _report(df, rows=10_000):

@@ -5,14 +5,17 @@ in several. Each account is expanded to the segments it is in, aggregated to (me
 spread to <segment>_<measure> columns at the end.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions import fixed_values as V
 from lendgrain.functions import history_line as L
 from lendgrain.functions import trade_columns as TC
-from lendgrain.operators.aggregates import exprs
+from lendgrain.operators.aggregates import exprs, key_names, with_medians
 from lendgrain.operators.trades import spread
+from lendgrain.session import cut_lineage
 
 AMOUNT_SEGMENTS = ("Overall", "PLlt5", "PLgt5", "PLlt1L", "PLgt1L", "GL", "CC", "TW", "AL", "HL", "SEC", "UNSEC", "NAGRI")
 DELINQUENCY_SEGMENTS = ("Overall", "PLlt10k", "PLlt1L", "PLgt1L", "GL", "CC", "TW", "AL", "HL", "SEC", "UNSEC", "NAGRI")
@@ -31,7 +34,7 @@ def segment_frame(base: DataFrame, wanted) -> DataFrame:
 
 
 def _by_segment(t, aggs, key):
-    return t.withColumn("type", F.explode("segments")).groupBy(key, "type").agg(*exprs(aggs))
+    return t.withColumn("type", F.explode("segments")).groupBy(*key_names(key), "type").agg(*exprs(aggs))
 
 
 LIVE_3M = "m_report <= 3 and is_closed = 0"
@@ -73,25 +76,30 @@ def cat_open_live(base, key="member") -> DataFrame:
 
 def cat_open_close_months(base, key="member") -> DataFrame:
     """Months from opening to closing, of accounts reported within the window."""
-    aggs = [f"{f}(case when m_report <= {w} then span end) as span_{n}_{w}m" for w in WINDOWS
-            for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("median", "median"))]
-    return spread(_by_segment(segment_frame(base, AMOUNT_SEGMENTS), aggs, key), AMOUNT_SEGMENTS, None, key)
+    keys = key_names(key)
+    t = segment_frame(base, AMOUNT_SEGMENTS).select(*keys, "m_report", "span", F.explode("segments").alias("type"))
+    within = {w: F.expr(f"case when m_report <= {w} then span end") for w in WINDOWS}
+    aggs = [f(x).alias(f"span_{n}_{w}m") for w, x in within.items() for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    return spread(with_medians(t, [*keys, "type"], aggs, {f"span_median_{w}m": x for w, x in within.items()}), AMOUNT_SEGMENTS, None, key)
 
 
 def delinquency_long(base, key="member") -> DataFrame:
-    """(member, segment) rows: delinquent balance, sanction, accounts, most months, worst bucket."""
+    """(member, segment) rows: delinquent balance, sanction, accounts, products, most months, worst bucket. Each product
+    is a bit, so that different ones are counted by an or of bits."""
     t = segment_frame(base, DELINQUENCY_SEGMENTS)
     cols = {f"_n{w}_{d}": F.expr(L.count_ge(w, b)) for w in DELINQUENCY_WINDOWS for d, b in LEVELS.items()}
     cols.update({f"_p{w}": F.expr(L.any_ge(w, 0)) for w in DELINQUENCY_WINDOWS})
     cols.update({f"_w{w}": F.expr(L.worst(w)) for w in DELINQUENCY_WINDOWS})
     # only what the sums need is expanded to segments
-    t = t.withColumns(cols).select(key, "segments", "balance", "highest", *cols)
+    cols["_bit"] = F.expr("shiftleft(1L, case product " + " ".join(f"when '{p}' then {i}" for i, p in enumerate(TC.PRODUCTS)) + " end)")
+    t = t.withColumns(cols).select(*key_names(key), "segments", "balance", "highest", *cols)
     aggs = []
     for w in DELINQUENCY_WINDOWS:
         for d in LEVELS:
             bad = f"_n{w}_{d} >= 1 and _p{w} = 1"
             aggs += [f"sum(case when {bad} then balance end) as bad_balance_{w}m_{d}", f"sum(case when {bad} then highest end) as bad_sanction_{w}m_{d}",
-                     f"cast(sum(case when {bad} then 1 end) as bigint) as bad_accounts_{w}m_{d}", f"max(case when _p{w} = 1 then _n{w}_{d} end) as times_{w}m_{d}"]
+                     f"cast(sum(case when {bad} then 1 end) as bigint) as bad_accounts_{w}m_{d}",
+                     f"bit_count(bit_or(case when {bad} then _bit end)) as bad_products_{w}m_{d}", f"max(case when _p{w} = 1 then _n{w}_{d} end) as times_{w}m_{d}"]
         aggs.append(f"max(case when _p{w} = 1 then _w{w} end) as worst_{w}m")
     return _by_segment(t, aggs, key)
 
@@ -102,7 +110,7 @@ def _totals(base, key):
     for w in DELINQUENCY_WINDOWS:
         c = f"m_start <= {w} and {L.any_ge(w, 0)} = 1"
         aggs += [f"sum(case when {c} then highest end) as total_sanctions_{w}m", f"cast(sum(case when {c} then 1 end) as bigint) as total_accounts_{w}m"]
-    return t.groupBy(key).agg(*exprs(aggs))
+    return t.groupBy(*key_names(key)).agg(*exprs(aggs))
 
 
 def _days(long, compat):
@@ -111,39 +119,37 @@ def _days(long, compat):
     return long.selectExpr("*", *[f"get({table}, case when worst_{w}m >= 0 then worst_{w}m end) as worst_days_{w}m" for w in DELINQUENCY_WINDOWS])
 
 
-def cat_delinquency(base, key="member", compat=False) -> DataFrame:
-    """All delinquency measures per segment; `times` counts months, `bad_accounts` accounts. The worst
-    bucket is given back in days."""
-    long = _days(delinquency_long(base, key), compat).drop(*[f"worst_{w}m" for w in DELINQUENCY_WINDOWS])
-    return spread(long, DELINQUENCY_SEGMENTS, None, key).join(_totals(base, key), key)
+def cat_delinquency(base, key="member", compat=False, long=None) -> DataFrame:
+    """All delinquency measures per segment; `times` counts months, `bad_accounts` accounts, `bad_products` different
+    products. The worst bucket is given back in days. long: the rows of delinquency_long, if they are at hand."""
+    long = _days(delinquency_long(base, key) if long is None else long, compat).drop(*[f"worst_{w}m" for w in DELINQUENCY_WINDOWS])
+    return spread(long, DELINQUENCY_SEGMENTS, None, key).join(_totals(base, key), key_names(key))
 
 
-def cat_delinquency_ratios(base, key="member") -> DataFrame:
+def cat_delinquency_ratios(base, key="member", long=None) -> DataFrame:
     """Delinquent balance, accounts and sanctions over all reported sanctions and accounts. The ratios
     are taken on the (member, segment) rows."""
-    long = delinquency_long(base, key).join(_totals(base, key), key)
+    long = (delinquency_long(base, key) if long is None else long).join(_totals(base, key), key_names(key))
     out = []
     for w in DELINQUENCY_WINDOWS:
         for d in LEVELS:
             out += [f"try_divide(bad_balance_{w}m_{d}, total_sanctions_{w}m) as ratio_balance_{w}m_{d}",
                     f"try_divide(double(bad_accounts_{w}m_{d}), double(total_accounts_{w}m)) as ratio_accounts_{w}m_{d}",
                     f"try_divide(bad_sanction_{w}m_{d}, total_sanctions_{w}m) as ratio_sanction_{w}m_{d}"]
-    return spread(long.selectExpr(key, "type", *out), DELINQUENCY_SEGMENTS, None, key)
+    return spread(long.selectExpr(*key_names(key), "type", *out), DELINQUENCY_SEGMENTS, None, key)
 
 
 def open_velocity(base, key="member") -> DataFrame:
     """Mean days between openings: all accounts, small and large tickets."""
     from lendgrain.operators.windows import mean_gap
-    return base.groupBy(key).agg(mean_gap("opened").alias("mean_gap"), mean_gap("opened", F.col("highest") <= 10000).alias("mean_gap_upto_10k"),
+    return base.groupBy(*key_names(key)).agg(mean_gap("opened").alias("mean_gap"), mean_gap("opened", F.col("highest") <= 10000).alias("mean_gap_upto_10k"),
                                  mean_gap("opened", F.col("highest") > 30000).alias("mean_gap_over_30k"))
 
 
 def category_features(base, key="member") -> DataFrame:
-    """All segment families on one row per member."""
-    out = None
-    for f in (cat_loan_amounts, cat_open_live, cat_open_close_months, cat_delinquency, cat_delinquency_ratios, open_velocity):
-        part = f(base, key)
-        out = part if out is None else out.join(part, key)
-    return out
-
-
+    """All segment families on one row per member. The account frame and the delinquency by segment are computed once."""
+    base = cut_lineage(base)
+    long = cut_lineage(delinquency_long(base, key))
+    parts = [f(base, key) for f in (cat_loan_amounts, cat_open_live, cat_open_close_months)]
+    parts += [cat_delinquency(base, key, long=long), cat_delinquency_ratios(base, key, long=long), open_velocity(base, key)]
+    return reduce(lambda a, b: a.join(b, key_names(key)), parts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.functions.columns import as_col
+from lendgrain.session import cut_lineage
 
 
 SMALL_ROWS = 100_000
@@ -43,9 +44,40 @@ def cross_small(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(F.broadcast(right), F.lit(True))
 
 
-def asof_join(records: DataFrame, dates: DataFrame, key, record_date, asof, include=False) -> DataFrame:
-    """Records known at each member's own as-of date."""
-    j = records.join(dates, key)
+LEAST_HOT = 10_000
+
+
+def hot_keys(df: DataFrame, keys, least=None):
+    """(keys, n, salts) of the keys with more rows than an eighth of a task's share of all rows, None where there are
+    none. There are at most eight times as many as shuffle partitions. `least`: never fewer rows than these."""
+    counts = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max((counts.agg(F.sum("n")).first()[0] or 0) / parts, LEAST_HOT if least is None else least)
+    hot = counts.where(F.col("n") > share).withColumn("salts", F.ceil(F.col("n") / share).cast("int"))
+    return hot if hot.take(1) else None
+
+
+def salted(left: DataFrame, right: DataFrame, keys, least=None):
+    """Both sides with a column `_salt` for a join by keys and salt: the rows of a key that is hot on the left are dealt
+    over several salts, and its rows on the right repeated for each. (left, right), or None where no key is hot."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = hot_keys(left, keys, least)
+    if hot is None:
+        return None
+    hot = F.broadcast(hot.select(*keys, "salts"))
+    several = F.coalesce(F.col("salts"), F.lit(1))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(row, several).cast("int")).drop("salts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), several - 1))).drop("salts")
+    return a, b
+
+
+def asof_join(records: DataFrame, dates: DataFrame, key, record_date, asof, include=False, least_hot=None) -> DataFrame:
+    """Records known at each member's own as-of date. The records of a member with very many are dealt out over several
+    tasks, and its dates repeated there."""
+    keys = [key] if isinstance(key, str) else list(key)
+    dealt = salted(records, dates, keys, least_hot)
+    j = records.join(dates, keys) if dealt is None else dealt[0].join(dealt[1], [*keys, "_salt"]).drop("_salt")
     known = F.col(record_date) <= F.col(asof) if include else F.col(record_date) < F.col(asof)
     return j.filter(known)
 

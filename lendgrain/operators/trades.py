@@ -1,4 +1,4 @@
-"""Account features: one wide row per member.
+"""Account features: one wide row per member, or per member and month: every `key` is a name or several.
 
 Input is trade_flags(trade_base(trades)). A family is a list of aggregate texts (so that any set of
 families can share one pass); the families that span many (type x window) cells are aggregated long,
@@ -19,7 +19,7 @@ from lendgrain.functions import history_line as L
 from lendgrain.functions import trade_columns as TC
 from lendgrain.functions.columns import null_safe_diff, ratio_text, safe_ratio
 from lendgrain.functions.trade_columns import MAIN_PRODUCTS, MONTHS, PRODUCTS
-from lendgrain.operators.aggregates import exprs, monthly_totals, sum_at_extreme
+from lendgrain.operators.aggregates import exprs, key_names, monthly_totals, sum_at_extreme
 from lendgrain.operators.windows import first_last, reopened
 from lendgrain.session import cut_lineage
 
@@ -357,17 +357,17 @@ PLAIN = {f.__name__: f for f in (trade_counts, trade_balances, trade_tenure, ope
 
 def family(t: DataFrame, name, key="member") -> DataFrame:
     """One plain family; key is a name or several (member, or member and month)."""
-    return t.groupBy(*([key] if isinstance(key, str) else key)).agg(*exprs(PLAIN[name]()))
+    return t.groupBy(*key_names(key)).agg(*exprs(PLAIN[name]()))
 
 
 def utilisation(t, key="member"):
-    g = t.groupBy(key).agg(*exprs(utilisation_parts()))
-    return g.select(key, *utilisation_ratios())
+    g = t.groupBy(*key_names(key)).agg(*exprs(utilisation_parts()))
+    return g.select(*key_names(key), *utilisation_ratios())
 
 
 def concurrency(t, key="member"):
-    g = t.groupBy(key).agg(*exprs(concurrent_loans()))
-    return g.select(key, *[c for c in g.columns if c != key and not c.startswith("_")], *concurrent_ratios())
+    g = t.groupBy(*key_names(key)).agg(*exprs(concurrent_loans()))
+    return g.select(*[c for c in g.columns if not c.startswith("_")], *concurrent_ratios())
 
 
 # ---- families aggregated long ------------------------------------------------------------------------------------
@@ -383,16 +383,17 @@ def by_type(t: DataFrame, types, aggs, key="member") -> DataFrame:
     """One row per account and type it belongs to, aggregated to (key, type)."""
     label = "array_compact(array(" + ", ".join(f"case when {c} then '{n}' end" for n, c in types.items()) + "))"
     long = t.withColumn("type", F.expr(f"explode({label})"))
-    return long.groupBy(key, "type").agg(*exprs(aggs))
+    return long.groupBy(*key_names(key), "type").agg(*exprs(aggs))
 
 
 def spread(long: DataFrame, types, keep=None, key="member", fill=None) -> DataFrame:
     """(key, type) rows to one row per key with <type>_<measure> columns. `keep` lists (type, measure);
     with `fill` (True, or a test on the name) a type the key does not have counts as 0."""
-    measures = {c: kind for c, kind in long.dtypes if c not in (key, "type")}
+    keys = key_names(key)
+    measures = {c: kind for c, kind in long.dtypes if c not in (*keys, "type")}
     # one array a type goes through the pivot, and not one column for each measure (numbers below 2**53 are exact)
-    packed = long.select(key, "type", F.array(*[F.col(f"`{m}`").cast("double") for m in measures]).alias("_all"))
-    wide = packed.groupBy(key).pivot("type", list(types)).agg(F.first("_all"))
+    packed = long.select(*keys, "type", F.array(*[F.col(f"`{m}`").cast("double") for m in measures]).alias("_all"))
+    wide = packed.groupBy(*keys).pivot("type", list(types)).agg(F.first("_all"))
     filled = (fill if callable(fill) else lambda n: True) if fill is not None else lambda n: False
     out = []
     for n in types:
@@ -400,7 +401,7 @@ def spread(long: DataFrame, types, keep=None, key="member", fill=None) -> DataFr
             if keep is None or keep(n, m):
                 x = F.get(F.col(f"`{n}`"), i).cast(kind)
                 out.append((F.coalesce(x, F.lit(0)) if filled(f"{n}_{m}") else x).alias(f"{n}_{m}"))
-    return wide.select(key, *out)
+    return wide.select(*keys, *out)
 
 
 def exposure_long(t, key="member"):
@@ -432,7 +433,8 @@ def exposure_ratios(t, key="member") -> DataFrame:
     """
     long = exposure_long(t, key)
     span = [(m, v) for v in LATE_VINTAGES for m in (3, 6, 12)]
-    whole = f"over (partition by {key})"
+    keys = key_names(key)
+    whole = f"over (partition by {', '.join(keys)})"
     of_all = "max(case when type = 'all' then {} end) " + whole
     x = long.selectExpr("*", *[f"{of_all.format(f'emi_diff_m0_m{m}_{v}')} as _d{m}_{v}" for m, v in span],
                         *[f"{of_all.format(f'emi_total_m0_m{m - 1}_{v}')} as _t{m}_{v}" for m, v in span])
@@ -448,7 +450,7 @@ def exposure_ratios(t, key="member") -> DataFrame:
     texts += [f"{new} as emi_mean_m0_m2", f"{old} as emi_mean_m6_m8", f"({new}) - ({old}) as emi_mean_diff",
               f"case when {old} = 0 then 0 else ({new}) / ({old}) end as emi_mean_ratio"]
     texts += [f"greatest({', '.join(path)}) - {path[i]} as emi_below_peak_m{i}" for i in (0, 1)]
-    r = x.selectExpr(key, "type", *texts)
+    r = x.selectExpr(*keys, "type", *texts)
 
     def keep(n, m):
         if m.startswith("emi_mean"):
@@ -461,9 +463,9 @@ def exposure_ratios(t, key="member") -> DataFrame:
         if "_share_emi_total_" in c:
             part = c.split("_share_emi_total_m0_")[1]
             out.append(f"coalesce({c}, case when all_whole_{part} = 0 then -3 else 0 end) as {c}")
-        elif c != key and not c.startswith("all_whole"):
+        elif c not in keys and not c.startswith("all_whole"):
             out.append(f"coalesce({c}, 0) as {c}")
-    return wide.selectExpr(key, *out)
+    return wide.selectExpr(*keys, *out)
 
 
 TENURE_TYPES = {"all": "true", "long": "long_term = 1", "short": "short_term = 1", "secured": "secured = 1", "unsecured": "unsecured = 1",
@@ -500,27 +502,27 @@ def ticket_texts():
 def ticket_profile(t, key="member") -> DataFrame:
     """Sanction and balance by tenure and vintage for the main products. A minimum over a member's
     accounts is 0 as soon as one of them is of another product."""
-    types = {p.lower(): is_(p) for p in MAIN_PRODUCTS}
+    types, keys = {p.lower(): is_(p) for p in MAIN_PRODUCTS}, key_names(key)
     long = by_type(t, {**types, "every": "true"}, ticket_texts() + ["count(1) as n"], key)
-    wide = long.groupBy(key).pivot("type", [*types, "every"]).agg(*[F.first(c).alias(c) for c in long.columns if c not in (key, "type")])
+    wide = spread(long, [*types, "every"], None, key)
     out = []
     for p in types:
         for c in long.columns:
-            if c in (key, "type", "n"):
+            if c in (*keys, "type", "n"):
                 continue
             x = f"coalesce({p}_{c}, 0)"
             out.append(f"case when {p}_n = every_n then {x} else 0 end as {p}_{c}" if c.startswith("min_") else f"{x} as {p}_{c}")
-    return wide.selectExpr(key, *out)
+    return wide.selectExpr(*keys, *out)
 
 
 def latest_profile(t, key="member") -> DataFrame:
     """Newest account of each main product: balance, sanction, status, age (0 when there is none)."""
-    types = {p.lower(): is_(p) for p in MAIN_PRODUCTS}
+    types, keys = {p.lower(): is_(p) for p in MAIN_PRODUCTS}, key_names(key)
     newest = "max(case when {} then struct(opened, limit_amount, balance, live_0 as status, m_open as vintage) end)"
     long = by_type(t, types, [newest.format("true") + " as s"], key)
-    long = long.selectExpr(key, "type", "s.balance as balance", "s.limit_amount as sanction", "s.status as status", "s.vintage as vintage")
+    long = long.selectExpr(*keys, "type", "s.balance as balance", "s.limit_amount as sanction", "s.status as status", "s.vintage as vintage")
     out = spread(long, types, None, key, True)
-    return t.select(key).distinct().join(out, key, "left").na.fill(0)
+    return t.select(*keys).distinct().join(out, keys, "left").na.fill(0, [c for c in out.columns if c not in keys])
 
 
 FLOW_TYPES = {"all": "true", **GROUPS, "pl_short": "product = 'PL' and short_term = 1", "pl_long": "product = 'PL' and long_term = 1",
@@ -549,7 +551,8 @@ def top_trade_snapshots(t, key="member"):
         amount, bal, age = (F.expr(f"case when {c} then {x} end") for x in (line, "balance", "vintage_days"))
         for name, m, how in (("top_line", amount, "max"), ("top_balance", bal, "max"), ("oldest", age, "max"), ("newest", age, "min")):
             specs += [(f"{name}_{n}_line", m, how, amount), (f"{name}_{n}_balance", m, how, bal)]
-    return t.select(key).distinct().join(sum_at_extreme(t, key, specs), key, "left")
+    keys = key_names(key)
+    return t.select(*keys).distinct().join(sum_at_extreme(t, keys, specs), keys, "left")
 
 
 def balance_trend(t, key="member"):
@@ -562,7 +565,7 @@ def balance_trend(t, key="member"):
     cols = []
     for n in (12, 24, 36):
         cols += [H.rises("totals", n).alias(f"rise_{n}m"), H.falls("totals", n).alias(f"fall_{n}m")]
-    long = parts.select(key, F.col("part").alias("type"), *cols, H.period_ratio("totals").alias("ratio_6_12"))
+    long = parts.select(*key_names(key), F.col("part").alias("type"), *cols, H.period_ratio("totals").alias("ratio_6_12"))
     return spread(long, ["sec", "unsec", "bl", "non_bl"], None, key)
 
 
@@ -571,22 +574,24 @@ def card_behaviour(t, key="member"):
     aggs = [f"max(case when {cc} then get(bal, 0) end) as top_card_balance", f"sum(case when {cc} then get(bal, 0) end) as card_balance",
             f"sum(case when {cc} then hc end) as card_line", f"max(case when {cc} then 1 end) as has_card"]
     aggs += [f"sum(case when {cc} then get(bal, {i - 1}) end) as _b{i}" for i in range(1, 13)]
-    g = t.groupBy(key).agg(*exprs(aggs))
+    keys = key_names(key)
+    g = t.groupBy(*keys).agg(*exprs(aggs))
     months = [f"_b{i}" for i in range(1, 13)]
     g = g.withColumns({"card_peak_balance": F.greatest(*months), "card_peak_month": H.argmax_slot(months),
                        "card_util": F.expr("case when card_line is null then -2 when card_line <= 0 then -1 else card_balance / card_line end")})
-    newest = t.filter(cc).groupBy(key).agg(F.expr("max(struct(-vintage_days as a, dpd_2 as d)).d as newest_card_dpd"))
-    return g.drop(*months).join(newest, key, "left")
+    newest = t.filter(cc).groupBy(*keys).agg(F.expr("max(struct(-vintage_days as a, dpd_2 as d)).d as newest_card_dpd"))
+    return g.drop(*months).join(newest, keys, "left")
 
 
 def reopen_counts(t, key="member", windows=(1, 3, 6, 12)):
-    x = t.select(key, "product", "account", "opened", "closed", "recent")
-    r = reopened(x, [key, "product"], "opened", "closed", "account", windows)
+    keys = key_names(key)
+    x = t.select(*keys, "product", "account", "opened", "closed", "recent")
+    r = reopened(x, [*keys, "product"], "opened", "closed", "account", windows)
     aggs = []
     for w in windows:
         aggs.append(f"cast(sum(case when recent = 1 then reopen_{w}m end) as bigint) as reopened_{w}m")
         aggs += [zero(f"{p.lower()}_reopened_{w}m", f"reopen_{w}m = 1 and {is_(p)}") for p in FOCUS]
-    return r.groupBy(key).agg(*exprs(aggs))
+    return r.groupBy(*keys).agg(*exprs(aggs))
 
 
 def policy_exclusions(t, key="member", score="score", status="wo_status", amounts=("write_off_amt", "overdue")):
@@ -595,24 +600,25 @@ def policy_exclusions(t, key="member", score="score", status="wo_status", amount
     the member's date back to its accounts."""
     wo = TC.written_off_status(status, *amounts)
     x = t.withColumn("_wo", wo).withColumn("_late_bad", F.expr("case when months_between(as_of, opened) >= 12 and bad_after then 1 else 0 end"))
-    g = x.groupBy(key).agg(*exprs([
+    g = x.groupBy(*key_names(key)).agg(*exprs([
         f"max({score}) as _score", "max(bad_30_6) as bad_30_6m", "max(bad_60_24) as bad_60_24m", "max(bad_90_36) as bad_90_36m",
         "max(case when _wo = 1 then reported end) as _wo_date", "max(as_of) as _as_of", "max(vintage_days) as vintage_days",
         "max(case when _late_bad = 0 then 1 else 0 end) as _any_good", "min(case when _late_bad = 1 then opened end) as _first_bad_open"]))
     gap = "((year(_as_of) - year(_wo_date)) * 12 + month(_as_of) - month(_wo_date))"
     return g.selectExpr(
-        key, "case when _score < 600 then 1 else 0 end as low_score", "bad_30_6m", "bad_60_24m", "bad_90_36m",
+        *key_names(key), "case when _score < 600 then 1 else 0 end as low_score", "bad_30_6m", "bad_60_24m", "bad_90_36m",
         f"case when {gap} <= 12 then 1 else 0 end as written_off_12m", f"case when {gap} > 12 then 1 else 0 end as written_off_before",
         "case when _any_good = 1 or _wo_date is null or _first_bad_open <= _wo_date then 1 else 0 end as good_after_write_off",
         "case when vintage_days < 180 then 1 else 0 end as short_vintage")
 
 
 def product_presence(t, key="member"):
-    kinds = t.groupBy(key, "account_type").agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("n_types"))
-    has = t.groupBy(key).agg(*exprs([f"max(case when recent = 1 and {is_(p)} then 1 end) as has_{p.lower()}" for p in ("PL", "HL", "CC")]
+    keys = key_names(key)
+    kinds = t.groupBy(*keys, "account_type").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_types"))
+    has = t.groupBy(*keys).agg(*exprs([f"max(case when recent = 1 and {is_(p)} then 1 end) as has_{p.lower()}" for p in ("PL", "HL", "CC")]
                                     + ["max(case when product = 'HL' and lower(lender) not like '%hfc%' then 1 else 0 end) as external_hl"]))
-    ends = first_last(t, key, "opened", "limit_amount", "product", "first_product", "latest_product")
-    return kinds.join(has, key).join(ends, key)
+    ends = first_last(t, keys, "opened", "limit_amount", "product", "first_product", "latest_product")
+    return kinds.join(has, keys).join(ends, keys)
 
 
 OWN = {f.__name__: f for f in (exposure_emi, exposure_ratios, tenure_profile, ticket_profile, latest_profile, account_flow, top_trade_snapshots,
@@ -631,17 +637,17 @@ OTHER_NAMES = {
 def trade_features(t: DataFrame, families=None, key="member") -> DataFrame:
     """Any set of families on one row per member; the plain ones share one aggregate. The account frame is
     computed once. Two columns of one name are an error."""
-    names = list(families or [*PLAIN, *OWN])
+    names, keys = list(families or [*PLAIN, *OWN]), key_names(key)
     t = cut_lineage(t)
     plain = [x for n in names if n in PLAIN for x in PLAIN[n]()]
-    parts = {"plain families": t.groupBy(key).agg(*exprs(plain))} if plain else {}
+    parts = {"plain families": t.groupBy(*keys).agg(*exprs(plain))} if plain else {}
     for n in names:
         if n in OWN:
             parts[n] = OWN[n](t, key).withColumnsRenamed(OTHER_NAMES.get(n, {}))
     taken = {}
     for n, p in parts.items():
         for c in p.columns:
-            if c != key and taken.setdefault(c, n) != n:
+            if c not in keys and taken.setdefault(c, n) != n:
                 raise ValueError(f"{n} and {taken[c]} both have a column {c}")
     first, *rest = parts.values()
-    return reduce(lambda a, b: a.join(b, key, "left"), rest, first)
+    return reduce(lambda a, b: a.join(b, keys, "left"), rest, first)

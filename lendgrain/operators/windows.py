@@ -5,10 +5,14 @@ aggregate can give the answer it does, and where the previous row is needed the
 into pieces along its own order.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendgrain.functions.columns import as_col
+from lendgrain.operators.relational import hot_keys
+from lendgrain.session import cut_lineage
 
 
 def _names(keys):
@@ -52,16 +56,33 @@ def newest_per(df: DataFrame, keys, order, cols) -> DataFrame:
     return df.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_t._{c}").alias(c) for c in cols])
 
 
+def in_chunks(df: DataFrame, keys, order, chunk) -> DataFrame:
+    """Adds `_chunk`, which does not decrease along `order` within keys: the given column, and for the few values of it
+    that hold more rows than an eighth of a task's share, the place in a range partitioning by the whole order."""
+    x = cut_lineage(df.withColumn("_at", as_col(chunk)))
+    hot = hot_keys(x, [*keys, "_at"])
+    if hot is None:
+        return x.withColumn("_chunk", F.struct("_at", F.lit(0).alias("piece"))).drop("_at")
+    names = [*keys, "_at"]
+    big = F.broadcast(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(names)]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(names)])
+    parts = 8 * int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = x.join(big, same, "left_semi").repartitionByRange(parts, *keys, *order)
+    inside = cut_lineage(inside.withColumn("_chunk", F.struct("_at", F.spark_partition_id().alias("piece"))))
+    rest = x.join(big, same, "left_anti").withColumn("_chunk", F.struct("_at", F.lit(0).alias("piece")))
+    return rest.unionByName(inside).drop("_at")
+
+
 def chunked_lag(df: DataFrame, keys, order, chunk, cols, prefix="prev_") -> DataFrame:
     """lag(1) of `cols` within keys by `order`, cut into chunks.
 
     `chunk` must not decrease along `order` (for example its leading date). Rows look
     back within their chunk; the first row of a chunk takes the last row of the chunk before it. A
-    group of any size is spread over its chunks; only one row per chunk is windowed over the whole
-    group.
+    group of any size is spread over its chunks, a chunk with very many rows over ranges of the order;
+    only one row per chunk is windowed over the whole group.
     """
     keys = _names(keys)
-    x = df.withColumn("_chunk", as_col(chunk))
+    x = in_chunks(df, keys, order, chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     row = F.struct(*[F.col(c) for c in cols])
     x = x.withColumns({"_prev": F.lag(row).over(inside), "_rn": F.row_number().over(inside)})

@@ -7,6 +7,7 @@ from lendgrain.functions import fixed_values as V
 from lendgrain.functions.columns import impute, settle
 from lendgrain.functions.lookups import small_frame
 from lendgrain.modelling import binning as B
+from lendgrain.modelling import boost as BT
 from lendgrain.modelling import evaluate as E
 from lendgrain.modelling import models as M
 from lendgrain.modelling import quantile as Q
@@ -17,6 +18,7 @@ from lendgrain.operators.relational import unpivot
 from lendgrain.plans.registry import query
 from lendgrain.plans.row_queries import _DPD, _MOB, PERF, performance
 from lendgrain.plans.sql_tables import SCORED, rnd, with_
+from lendgrain.session import cut_lineage
 from lendgrain.sources import driver_tables as D
 from lendgrain.functions.trade_columns import dpd_targets
 
@@ -110,6 +112,19 @@ def fit_bins_facts(spark, sf):
                         f"size(o) < 2 or forall({steps}, x -> x >= 0) or forall({steps}, x -> x <= 0) as one_way")
 
 
+@query("fit_bins_weighted_facts", with_(SCORED, LONG, body="""select variable, sum(weight) as total, sum(weight * target) as events, coalesce(sum(weight) filter (value is null), 0.0) as missing,
+  true as large_enough, true as one_way, true as apart from long group by 1"""))
+def fit_bins_weighted_facts(spark, sf):
+    """The same with row weights and missing values: totals are sums of weights, neighbours a WOE of 0.02 apart."""
+    b = B.fit_bins(scored(spark, sf), "target", NUMERIC, weight="weight")
+    known, order = F.col("bin") > 0, F.array_sort(F.collect_list(F.when(F.col("bin") > 0, F.struct("bin", "woe"))))
+    g = b.groupBy("variable").agg(F.sum("total").alias("total"), F.sum("events").alias("events"), F.sum(F.when(known, 0.0).otherwise(F.col("total"))).alias("missing"),
+                                  F.min(F.when(known, F.col("total"))).alias("least"), order.alias("o"))
+    steps = "transform(sequence(1, size(o) - 1), i -> o[i].woe - o[i - 1].woe)"
+    return g.selectExpr("variable", "total", "events", "missing", "least >= 0.05 * total as large_enough", f"size(o) < 2 or forall({steps}, x -> x >= 0) or forall({steps}, x -> x <= 0) as one_way",
+                        f"size(o) < 2 or forall({steps}, x -> abs(x) >= 0.02) as apart")
+
+
 @query("apply_bins_facts", with_(SCORED, LONG, body="select variable, sample, count(*) as n, count(*) filter (value is null) as n_missing, true as all_known from long group by 1, 2"))
 def apply_bins_facts(spark, sf):
     """Every row has a bin of the fitted table, and nulls the missing one; bins follow the values."""
@@ -287,6 +302,39 @@ def csi_report(spark, sf):
     return rounded(ST.csi_report(scored(spark, sf), "sample", ["quantity", "price"], "prob"), "psi", digits=8)
 
 
+_CATEGORIES = "cat as (select 'line_status' as variable, line_status as value, sample from scored union all select 'priority', priority, sample from scored)"
+
+
+def psi_categories_sql(other):
+    return f"""cg_{other} as (select variable, value, count(*) filter (sample = 'Train') as e, count(*) filter (sample = '{other}') as a from cat where sample in ('Train', '{other}') group by 1, 2),
+    ct_{other} as (select *, sum(e) over (partition by variable) as ne, sum(a) over (partition by variable) as na from cg_{other}),
+    cpsi_{other} as (select variable, sum(({_A} - {_E}) * ln({_A} / {_E})) as psi from ct_{other} group by variable)"""
+
+
+@query("csi_report_all", with_(SCORED, _PLONG, psi_sql("Test"), psi_sql("OOT"), _CATEGORIES, psi_categories_sql("Test"), psi_categories_sql("OOT"), body=" union all ".join(
+    f"select variable, {rnd('psi', 8)} as psi, '{o}' as compared, case when variable = 'prob' then 'PSI' else 'CSI' end as \"index\", {_BAND} as band from {t}_{o}" for o in ("Test", "OOT") for t in ("psi", "cpsi"))))
+def csi_report_all(spark, sf):
+    """Numbers, categories and the score in one report."""
+    return rounded(ST.csi_report(scored(spark, sf), "sample", ["quantity", "price"], "prob", categorical=["line_status", "priority"]), "psi", digits=8)
+
+
+def psi_quantile_sql(other):
+    g = lambda s: f"(case when {s} = 0 then 1e-10::double else {s} end)"
+    a, e = g("a / na"), g("e / ne")
+    return f"""q_{other} as (select variable, {CUT_OPEN} as bin, count(*) filter (sample = 'Train') as e, count(*) filter (sample = '{other}') as a
+      from long join edges using (variable) where sample in ('Train', '{other}') group by 1, 2),
+    qt_{other} as (select *, sum(e) over (partition by variable) as ne, sum(a) over (partition by variable) as na from q_{other}),
+    qpsi_{other} as (select variable, sum(({a} - {e}) * ln({a} / {e})) as psi from qt_{other} group by variable)"""
+
+
+@query("psi_quantile", with_(SCORED, LONG, TRAIN_EDGES7, psi_quantile_sql("Test"), psi_quantile_sql("OOT"),
+                             body=" union all ".join(f"select '{o}' as compared, variable, {rnd('psi', 8)} as psi from qpsi_{o}" for o in ("Test", "OOT"))))
+def psi_quantile(spark, sf):
+    """Stability on the deciles of the training sample; a missing value is a bin of its own."""
+    x = ST.csi_report(scored(spark, sf), "sample", NUMERIC, method="quantile")
+    return rounded(x.select("compared", "variable", "psi"), "psi", digits=8)
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------------
 E7 = f"ed as (select list_sort(list_distinct(quantile_cont(prob, {PROBS}))) as edges from scored)"
 DEC7 = """d as (select greatest(1, len(list_filter(edges, lambda e: e < prob))) as bin, min(prob) as min_prob, max(prob) as max_prob, avg(prob) as avg_prob,
@@ -405,9 +453,7 @@ TRAIN_E7 = E7.replace("from scored", "from scored where sample = 'Train'")
   ce as cum_eventrate, cn as cum_noneventrate, events * 100 / num_cust as bad_rate, {rnd('abs(' + rnd('ce - cn', 5) + ' * 100)', 6)} as ks, {rnd(rnd('num_cust / sum(num_cust) over ()', 5) + ' * 100', 6)} as population_percent,
   sum(case when decile < 6 then num_cust else 0 end) over () / sum(num_cust) over () as low_half_share from c"""))
 def validation_perf(spark, sf):
-    s = scored(spark, sf)
-    t = E.ks_table(s.filter("sample = 'Train'"))
-    v = E.validation_perf(t, s.filter("sample = 'OOT'"))
+    v = E.validation_report(scored(spark, sf))
     return rounded(rounded(v, "avg_prob", digits=8), "ks", "population_percent")
 
 
@@ -510,6 +556,59 @@ def vif(spark, sf):
     return rounded(small_frame(spark, {"variable": (list(v), pa.string()), "vif": (list(v.values()), pa.float64())}), "vif")
 
 
+_TRAIN_E8 = E8.replace("from scored) z", "from scored where sample = 'Train') y") + ", ed as (select list_concat(list_concat([0.0::double], list_slice(e, 2, len(e) - 1)), [1.0::double]) as edges from (select list_sort(list_distinct(list(edge))) as e from t8))"
+
+
+@query("model_summary_own_edges", with_(SCORED, _TRAIN_E8, SUMMARY, AUC_SQL, "t as (select ks as tks from gk where sample = 'Train')",
+       body=f"select sample, {rnd('auc', 4)} as auc, gini, ks, (tks - ks) / tks as ks_drop, abs((tks - ks) / tks) <= 0.07 as within_tolerance from gk join auc using (sample), t"))
+def model_summary_own_edges(spark, sf):
+    """On cut points of the training sample's own; scores are counted once for these, the deciles and the area."""
+    return E.model_summary(scored(spark, sf))
+
+
+_SCREENED = {"quantity": 0, "price": 1, "discount": 5, "tax": 0, "total": 6, "line_status": 0, "fixed": 0, "priority": 4, "weight": 7, "unknown": 0}
+
+
+@query("model_variables", with_(SCORED, "b as (select * from (values " + ", ".join(f"('{n}', {c})" for n, c in _SCREENED.items()) + ") as t(variable, code))",
+       """v as (select unnest(['quantity', 'price', 'discount', 'tax', 'total', 'weight', 'fixed']) as variable, unnest([var_samp(quantity), var_samp(price), var_samp(discount), var_samp(tax), var_samp(total), var_samp(weight), 0]) as spread from scored),
+  k as (select unnest(['quantity', 'price', 'discount', 'tax', 'total', 'weight', 'fixed', 'line_status', 'priority']) as variable)""",
+       body="""select variable, case when code in (1, 2, 3, 4, 6) or variable = 'weight' then 'blacklisted' when spread is null then 'not numeric' when spread = 0 then 'constant' end as reason
+  from k join b using (variable) left join v using (variable)"""))
+def model_variables(spark, sf):
+    """Blacklist, type and spread in one screen; a name of the blacklist that is no column has no row."""
+    b = small_frame(spark, {"attribute": (list(_SCREENED), pa.string()), "blacklist": (list(_SCREENED.values()), pa.int32())})
+    return S.model_variables(scored(spark, sf).withColumn("fixed", F.lit(3.0)), b, extra=("weight",))
+
+
+def wide_model_frame(spark, sf):
+    """Thirty-two variables: powers, bands and mixtures of four, some of them nearly the same."""
+    x = model_frame(spark, sf)
+    base = {c: F.col(c) for c in MODEL_VARS}
+    out = dict(base)
+    for c, v in base.items():
+        out |= {f"{c}_sq": v * v, f"{c}_neg": -v, f"{c}_root": F.sqrt(F.greatest(v, F.lit(0.0))), f"{c}_high": (v > F.lit({"quantity": 25, "price": 30000, "discount": 0.05, "tax": 0.04}[c])).cast("double")}
+    for i, a in enumerate(MODEL_VARS):
+        for b in MODEL_VARS[i + 1:]:
+            out |= {f"{a}_{b}": base[a] * base[b], f"{a}_and_{b}": base[a] + base[b]}
+    names = list(out)[:32]
+    # an outcome that some of them carry
+    odds = F.col("quantity") / 20 + F.col("discount") * 10 - 1.5
+    made = (F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("quantity", "price", "discount", "tax", "total")])), 1, 6), 16, 10).cast("double") / 16777216.0)
+    return x.select(*[v.alias(n) for n, v in out.items() if n in names], (made < 1 / (1 + F.exp(-odds))).cast("int").alias("outcome"), "sample"), names
+
+
+@query("accepted_variables", "select true as some_accepted, true as signs_hold, true as p_values_hold, true as inflation_holds, true as all_accounted_for")
+def accepted_variables(spark, sf):
+    """Backward steps over thirty-two variables end in a model that meets its rule."""
+    df, names = wide_model_frame(spark, sf)
+    train = df.filter("sample = 'Train'")
+    kept, gone = S.accepted(train, names, "outcome")
+    numbers = M.glm_numbers(M.fit_glm(train, kept, "outcome"), kept)
+    facts = {"some_accepted": 0 < len(kept) < len(names), "signs_hold": all(c >= 0 for c, _ in numbers.values()), "p_values_hold": all(p < 0.001 for _, p in numbers.values()),
+             "inflation_holds": all(v < 2 for v in S.vif(train, kept).values()), "all_accounted_for": sorted([*kept, *[n for n, _ in gone]]) == sorted(names)}
+    return small_frame(spark, {k: ([v], pa.bool_()) for k, v in facts.items()})
+
+
 # ---- models (no SQL equivalent) ----------------------------------------------------------------------------------------------
 MODEL_VARS = ["quantity", "price", "discount", "tax"]
 
@@ -576,3 +675,59 @@ def score_facts(spark, sf):
     a = M.score(M.fit_glm(train, MODEL_VARS, "target"), s)
     b = M.score(M.fit_gbt(train, MODEL_VARS, "target", dict(maxDepth=1, maxIter=3, stepSize=0.1)), a, "prob_trees")
     return b.groupBy("sample").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("prob").between(0, 1) & F.col("prob_trees").between(0, 1), F.lit(False))).alias("within"))
+
+
+@query("woe_logit_facts", "select unnest(['price', 'quantity', 'tax', 'total']) as variable, true as slope_is_one, true as intercept_is_log_odds")
+def woe_logit_facts(spark, sf):
+    """A logit on one WOE column alone has slope 1, and the log odds of all rows as intercept."""
+    cols = ["price", "quantity", "tax", "total"]
+    train = scored(spark, sf).filter("sample = 'Train'")
+    bins = B.fit_bins(train, "target", cols, tolerance=0.0)
+    x = cut_lineage(W.woe_transform(B.apply_bins(train, bins, cols), bins, cols).select("target", *[f"{c}_woe" for c in cols]))
+    want, one, level = M.expected_intercept(x, "target"), [], []
+    for c in cols:
+        intercept, slope = M.one_variable_logit(x, f"{c}_woe", "target")
+        flat = x.agg(F.max(f"{c}_woe") - F.min(f"{c}_woe")).first()[0] < 1e-9  # one bin: there is no slope
+        one.append(flat or abs(slope - 1) < 0.05)
+        level.append(abs(intercept - want) < 0.02)
+    return small_frame(spark, {"variable": (cols, pa.string()), "slope_is_one": (one, pa.bool_()), "intercept_is_log_odds": (level, pa.bool_())})
+
+
+# ---- boosting at the full number of rounds -----------------------------------------------------------------------------------
+def boost_facts(spark, sf, settings):
+    """Facts of a booster of all rounds: how many trees; shares that are wholes; scores that answer for the events of
+    the training rows and beat the mean as a guess, on them."""
+    s = model_frame(spark, sf).drop("prob")
+    train = s.filter("sample = 'Train'")
+    model = BT.fit(train, MODEL_VARS, "target", settings, "weight")
+    split = any((t.variable >= 0).any() for t in model.trees)
+    whole = lambda c: (F.abs(F.sum(c) - (1 if split else 0)) < 1e-9).alias(f"{c}_is_whole")
+    shares = BT.importance(model, spark).agg(whole("gain"), whole("cover"), whole("frequency"), F.count("*").alias("variables")).first().asDict()
+    p, y, w = F.col("prob"), F.col("target"), F.col("weight")
+    fitted = BT.predict(model, train).agg(F.sum(w * p).alias("wp"), F.sum(w * y).alias("wy"), F.sum(w).alias("w"),
+                                         F.sum(-w * F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss"))
+    rate = F.col("wy") / F.col("w")
+    guess = -F.col("w") * (rate * F.log(rate) + (1 - rate) * F.log(1 - rate))
+    facts = fitted.select(F.lit(len(model.trees)).cast("long").alias("trees"), (F.abs(F.col("wp") / F.col("wy") - 1) < 0.02).alias("answers_for_events"), (F.col("loss") <= guess * 1.0001).alias("beats_the_mean"))
+    return facts.withColumns({k: F.lit(v).cast("long") if k == "variables" else F.lit(v) for k, v in shares.items()})
+
+
+BOOST_FACTS = "select {}::bigint as trees, true as answers_for_events, true as beats_the_mean, true as gain_is_whole, true as cover_is_whole, true as frequency_is_whole, 4::bigint as variables"
+
+
+@query("boost_selection_facts", BOOST_FACTS.format(1500))
+def boost_selection_facts(spark, sf):
+    return boost_facts(spark, sf, BT.SELECTION)
+
+
+@query("boost_first_cut_facts", BOOST_FACTS.format(1000))
+def boost_first_cut_facts(spark, sf):
+    return boost_facts(spark, sf, BT.FIRST_CUT)
+
+
+@query("boost_importance")
+def boost_importance(spark, sf):
+    """Gain, cover and frequency of the 1,500 stumps that rank the variables, with their descriptions."""
+    s = model_frame(spark, sf)
+    d = small_frame(spark, {"variable": (MODEL_VARS, pa.string()), "description": ([f"Line {v}" for v in MODEL_VARS], pa.string())})
+    return BT.importance(BT.fit(s.filter("sample = 'Train'"), MODEL_VARS, "target", BT.SELECTION, "weight"), spark, d)

@@ -133,7 +133,7 @@ def moment_sql(x):
 
 @query("moments", with_(TRADES, body="select member, " + ", ".join(f"{rnd(e)} as {n}" for n, e in moment_sql("m_open").items()) + " from trades group by member"))
 def moments(spark, sf):
-    return D.trades(spark, sf).groupBy("member").agg(*[c.alias(n) for n, c in A.moments("m_open").items()])
+    return A.group_moments(D.trades(spark, sf), "member", "m_open")
 
 
 @query("coef_variation", with_(TRADES, body=f"select member, case when avg(m_open) = 0 then null else {rnd('stddev_samp(m_open) / avg(m_open)')} end as cv from trades group by member"))
@@ -151,7 +151,7 @@ def first_value_agg(spark, sf):
   avg({mdiff('closed', 'opened')}) as span_mean, quantile_cont(cast({mdiff('closed', 'opened')} as double), 0.5) as span_median from trades group by member, product"""))
 def median_mean_min_max(spark, sf):
     t = D.trades(spark, sf).withColumn("span", C.month_diff("closed", "opened"))
-    return t.groupBy("member", "product").agg(*[c.alias(f"span_{n}") for n, c in A.stats4("span").items()])
+    return A.group_stats(t, ["member", "product"], "span", "span_")
 
 
 @query("row_greatest", with_(BASE, body="select account, greatest(live[1], live[2], live[3]) as live_q1, list_max(live) as ever_live, greatest(balance, overdue, high_credit) as top from base"))

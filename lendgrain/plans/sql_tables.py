@@ -105,7 +105,7 @@ TRADES = RAW_TRADES + f""", t_codes as (
   select *, list_transform(range(1, 37), lambda i: substr(dpd_text, cast(3 * i - 2 as integer), 3)) as codes,
     {mdiff('as_of', 'opened')} as m_open, {mdiff('as_of', 'closed')} as m_close, {mdiff('as_of', 'reported')} as m_report,
     {mdiff('as_of', 'last_paid')} as m_pay, {mdiff('as_of', 'hist_start')} as m_start, {mdiff('as_of', 'hist_end')} as m_end
-  from raw_trades where opened <= as_of and length(dpd_text) <= 108),
+  from raw_trades where opened <= as_of),
 t_digits as (
   select *, list_aggregate(list_transform(codes, lambda c: cast({BUCKET_A.format(c='c')} as varchar)), 'string_agg', '') as digits from t_codes),
 t_line as (

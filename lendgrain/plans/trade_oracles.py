@@ -217,3 +217,26 @@ def ratio_parts():
         mine = f"product = '{q.upper()}' and recent = 1"
         out += [n0(f"n_{q}", mine), *[n0(f"n_{q}_above_{c}", f"{mine} and balance / nullif({limit}, 0) > {c / 100}") for c in (25, 50, 75)]]
     return out
+
+
+# ---- which accounts a type of the long families takes in, and from which age ----------------------------------------
+CLASSES = {"lt": "long_term = 1", "st": "short_term = 1", "secure": "secured = 1", "unsecure": "unsecured = 1", "revolve": "revolving = 1", "install": "installment = 1"}
+FULL_CLASSES = {"long": CLASSES["lt"], "short": CLASSES["st"], "secured": CLASSES["secure"], "unsecured": CLASSES["unsecure"], "installment": CLASSES["install"], "revolving": CLASSES["revolve"]}
+PL_TERMS = {"pl_short": "short_term = 1 and product = 'PL'", "pl_long": "long_term = 1 and product = 'PL'"}
+LEVELS = {"x": 1, "30": 2, "60": 3, "90": 4, "150": 5, "180": 6, "360": 7}  # smallest bucket of each level
+SPANS = (1, 6, 12, 24, 48)
+AGES = {**{str(m): f"m_open < {m + 1}" for m in SPANS}, "any": "1 = 1"}
+LATER_AGES = ("24", "48", "any")
+WITH_PATH = ("all", "lt", "st", "secure")
+
+
+def of_products(*names):
+    return {p.lower(): f"product in ('{p}')" for p in names}
+
+
+EMI_KINDS = {"all": "1 = 1", **CLASSES, **of_products("CD", "AL", "BL", "PL", "HL", "CC"), **PL_TERMS}
+TENURE_KINDS = {"all": "1 = 1", **FULL_CLASSES, **of_products("AL", "BL", "PL", "HL", "CC", "CD")}
+
+
+def flow_kinds(products):
+    return {"all": "1 = 1", **FULL_CLASSES, **PL_TERMS, **of_products(*products)}

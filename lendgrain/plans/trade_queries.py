@@ -12,6 +12,7 @@ from lendgrain.plans import trade_oracles as O
 from lendgrain.plans.registry import query
 from lendgrain.plans.sql_tables import BASE, in_list, mdiff, months_between, rnd, with_
 from lendgrain.sources import driver_tables as D
+from lendgrain.sources.driver_tables import TRADE_ASOF
 
 
 def _n(test, n, arr="dpd"):
@@ -45,8 +46,8 @@ _items = {
     "bad_30_6": _serious(6, 2), "bad_60_24": _serious(24, 3), "bad_90_36": _serious(36, 4),
     "all_current": f"case when {_n('in (0, -2)', 36)} = 36 then 1 else 0 end",
     "peak": "cast(list_position(dpd, list_max(list_slice(dpd, 1, 24))) as integer)", "curr_sat": "case when dpd[1] in (-2, 0, 1) then 1 else 0 end"}
-_items.update({f"any_{n}": _any(f">= {b}", 24) for n, b in T.LEVELS.items()})
-_items.update({f"n_{n}": _n(f">= {T.LEVELS[n]}", 24) for n in ("x", "30", "60", "90")})
+_items.update({f"any_{n}": _any(f">= {b}", 24) for n, b in O.LEVELS.items()})
+_items.update({f"n_{n}": _n(f">= {O.LEVELS[n]}", 24) for n in ("x", "30", "60", "90")})
 _items.update({f"worst_{n}": f"list_max(list_slice(dpd, 1, {n}))" for n in (3, 6, 12, 36)})
 _items.update({f"sat_{n}": _sat(n) for n in (6, 12, 24)})
 _items.update({f"bad_now_{d}": f"case when list_filter(list_slice(dpd, 1, 12), lambda x: x >= 0)[1] >= {b} then 1 else 0 end" for d, b in ((30, 2), (60, 3), (90, 4))})
@@ -79,14 +80,14 @@ def _own(name, sql):
 # ---- exposure -----------------------------------------------------------------------------------------------------------
 def exposure_items():
     out = []
-    for n, c in T.EMI_TYPES.items():
+    for n, c in O.EMI_KINDS.items():
         e = {i: f"(case when {c} then live_{i} * emi_new else 0 end)" for i in MONTHS}
         for f in ("sum", "max"):
-            out += [f"{f}(case when {v} then {e[0]} else 0 end) as {n}_{f}_emi_m0_{k}" for k, v in T.EMI_VINTAGES.items()]
-        if n in T.PATH_TYPES:
+            out += [f"{f}(case when {v} then {e[0]} else 0 end) as {n}_{f}_emi_m0_{k}" for k, v in O.AGES.items()]
+        if n in O.WITH_PATH:
             out += [f"sum({e[i]}) as {n}_sum_emi_m{i}_any" for i in MONTHS if i]
-        for k in T.LATE_VINTAGES:
-            v = T.EMI_VINTAGES[k]
+        for k in O.LATER_AGES:
+            v = O.AGES[k]
             out += [f"sum(case when {v} then {e[0]} - {e[i]} else 0 end) as {n}_emi_diff_m0_m{i}_{k}" for i in (3, 6, 12)]
             out += [f"sum(case when {v} then {' + '.join(e[i] for i in range(m))} else 0 end) as {n}_emi_total_m0_m{m - 1}_{k}" for m in (3, 6, 12)]
     return out
@@ -122,8 +123,8 @@ settled_query("exposure_emi", with_(FLAGS, EXPOSURE, body=settled_sql(_names(exp
 
 def exposure_ratio_items():
     out = []
-    for n in [x for x in T.EMI_TYPES if x != "all"]:
-        for v in T.LATE_VINTAGES:
+    for n in [x for x in O.EMI_KINDS if x != "all"]:
+        for v in O.LATER_AGES:
             for m in (3, 6, 12):
                 a, b = f"{n}_emi_diff_m0_m{m}_{v}", f"all_emi_diff_m0_m{m}_{v}"
                 out.append(f"case when {a} is null then 0 when {b} is null or {b} = 0 then {a} else {a} / {b} end as {n}_ratio_emi_diff_m0_m{m}_{v}")
@@ -131,7 +132,7 @@ def exposure_ratio_items():
                 out.append(f"case when {a} is null then -1 when {b} is null then -2 when {b} = 0 then -3 else {a} / {b} end as {n}_share_emi_total_m0_m{m - 1}_{v}")
     path = {i: f"all_sum_emi_m{i}_any" for i in MONTHS}
     out += [f"greatest({', '.join(path.values())}) - {path[i]} as all_emi_below_peak_m{i}" for i in (0, 1)]
-    for n in T.PATH_TYPES:
+    for n in O.WITH_PATH:
         a, b = ("(" + " + ".join(f"{n}_sum_emi_m{i}_any / 3" for i in r) + ")" for r in (range(0, 3), range(6, 9)))
         out += [f"{a} as {n}_emi_mean_m0_m2", f"{b} as {n}_emi_mean_m6_m8", f"{a} - {b} as {n}_emi_mean_diff", f"case when {b} = 0 then 0 else {a} / {b} end as {n}_emi_mean_ratio"]
     return out
@@ -196,14 +197,14 @@ settled_query("concurrent_loans", with_(FLAGS, "u as (" + wide(_cl) + ")", "v as
 # ---- tenure, tickets, flow ------------------------------------------------------------------------------------------------
 def tenure_items():
     out = []
-    for n, c in T.TENURE_TYPES.items():
+    for n, c in O.TENURE_KINDS.items():
         for state, s in (("", "true"), ("live_", "live_0 = 1")):
-            for d in (None, *T.DURATIONS):
+            for d in (None, *O.SPANS):
                 x = f"case when {c} and {s}" + (f" and loan_tenure <= {d}" if d else "") + " then loan_tenure end"
                 name = f"{n}_{state}tenure" + (f"_upto_{d}" if d else "")
                 out += [f"count({x}) as {name}_n", f"max({x}) as {name}_max", f"avg({x}) as {name}_avg"]
                 if d and not state:
-                    out += [f"count(case when m_open <= {v} then {x} end) as {name}_opened_{v}_n" for v in T.DURATIONS if v > d]
+                    out += [f"count(case when m_open <= {v} then {x} end) as {name}_opened_{v}_n" for v in O.SPANS if v > d]
     return out
 
 
@@ -213,7 +214,7 @@ settled_query("tenure_profile", with_(FLAGS, "tp as materialized (" + wide(tenur
 def ticket_items():
     out = []
     for p in MAIN_PRODUCTS:
-        for w in T.DURATIONS:
+        for w in O.SPANS:
             for how, c in (("tenure", f"loan_tenure <= {w}"), ("vintage", f"m_open <= {w}")):
                 hit = f"{c} and product = '{p}'"
                 for f, m, name in (("max", "limit_amount", "max_sanction"), ("min", "limit_amount", "min_sanction"), ("max", "balance", "max_balance"), ("sum", "balance", "sum_balance")):
@@ -230,8 +231,8 @@ _own("latest_profile", with_(FLAGS, "ln as (select *, row_number() over (partiti
 
 def flow_items():
     out = []
-    for n, c in T.FLOW_TYPES.items():
-        for w in T.DURATIONS:
+    for n, c in O.flow_kinds(MAIN_PRODUCTS).items():
+        for w in O.SPANS:
             out += [f"cast(sum(case when {c} and m_open <= {w} then 1 end) as bigint) as {n}_opened_{w}m",
                     f"cast(sum(case when {c} and m_open <= {w} and live_0 = 1 then 1 end) as bigint) as {n}_live_opened_{w}m",
                     f"cast(sum(case when {c} and m_acct_close <= {w} then 1 end) as bigint) as {n}_closed_{w}m"]
@@ -278,7 +279,7 @@ _ro = []
 for _w4 in (1, 3, 6, 12):
     _hit = f"opened > prev_closed and {months_between('opened', 'prev_closed')} < {_w4}"
     _ro.append(f"cast(sum(case when recent = 1 then case when {_hit} then 1 else 0 end end) as bigint) as reopened_{_w4}m")
-    _ro += [f"cast(sum(case when {_hit} and product = '{p}' then 1 else 0 end) as bigint) as {p.lower()}_reopened_{_w4}m" for p in T.FOCUS]
+    _ro += [f"cast(sum(case when {_hit} and product = '{p}' then 1 else 0 end) as bigint) as {p.lower()}_reopened_{_w4}m" for p in ('PL', 'CC', 'CD', 'HL', 'LAP', 'BL')]
 _own("reopen_counts", with_(FLAGS, "ro as (select member, product, recent, opened, lag(closed) over (partition by member, product order by opened, account) as prev_closed from flags)", body=wide(_ro, "ro")))
 
 _own("policy_exclusions", with_(FLAGS, f"""w1 as (select *, case when wo_status in {in_list(V.C_WRITTEN_OFF_STATUS)} and coalesce(write_off_amt, overdue) > 10000 then 1 else 0 end as wo from flags),
@@ -295,6 +296,32 @@ _own("product_presence", with_(FLAGS, body="""select member, count(distinct acco
 
 
 
+# ---- several dates of each member ----------------------------------------------------------------------------------------
+# every member has dates of its own, and every account is seen from two of them
+_own_dates = f"cast(date '{TRADE_ASOF}' - cast(o_custkey % 300 as integer) - to_months(cast(back as integer)) as date)"
+DATED = FLAGS.replace(f"date '{TRADE_ASOF}' as as_of,", f"{_own_dates} as as_of,").replace(
+    "from orders join hist on account = o_orderkey)", "from orders join hist on account = o_orderkey cross join (values (0), (7)) as dates(back))")
+DATED += ", dated as materialized (select *, cast(date_trunc('month', as_of) as date) as month from flags)"
+
+
+def dated_flags(spark, sf):
+    """The account frame at two dates of each member; month is the month of the date."""
+    from pyspark.sql import functions as F
+    raw = D.raw_trades(spark, sf).withColumn("_back", F.explode(F.array(F.lit(0), F.lit(7))))
+    raw = raw.withColumn("as_of", F.add_months(F.date_sub(F.lit(TRADE_ASOF).cast("date"), (F.col("member") % 300).cast("int")), -F.col("_back"))).drop("_back")
+    return T.trade_flags(TC.trade_base(D.trades(spark, sf, raw=raw))).withColumn("month", F.trunc("as_of", "month"))
+
+
+BY_MONTH = "member, month"
+query("trade_counts_by_month", with_(DATED, body=wide(O.trade_counts(PRODUCTS), "dated", BY_MONTH)))(lambda spark, sf: T.family(dated_flags(spark, sf), "trade_counts", ["member", "month"]))
+query("account_flow_by_month", with_(DATED, body=wide(flow_items(), "dated", BY_MONTH)))(lambda spark, sf: T.account_flow(dated_flags(spark, sf), ["member", "month"]))
+query("ticket_profile_by_month", with_(DATED, body=wide(ticket_items(), "dated", BY_MONTH)))(lambda spark, sf: T.ticket_profile(dated_flags(spark, sf), ["member", "month"]))
+query("top_trade_snapshots_by_month", with_(DATED, "v as (select member, month, " + ", ".join(_cols) + " from dated)", "w as (select *, " + ", ".join(_maxes) + " from v window m as (partition by member, month))",
+                                            body=wide(_items2, "w", BY_MONTH)))(lambda spark, sf: T.top_trade_snapshots(dated_flags(spark, sf), ["member", "month"]))
+query("reopen_counts_by_month", with_(DATED, "ro as (select member, month, product, recent, opened, lag(closed) over (partition by member, month, product order by opened, account) as prev_closed from dated)",
+                                      body=wide(_ro, "ro", BY_MONTH)))(lambda spark, sf: T.reopen_counts(dated_flags(spark, sf), ["member", "month"]))
+
+
 # ---- all families ---------------------------------------------------------------------------------------------------------
 @query("trade_features")
 def trade_features(spark, sf):

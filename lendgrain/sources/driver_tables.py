@@ -147,12 +147,13 @@ def raw_trades(spark, sf_dir):
         "dpd_text", "months", "bals", "dues", "paids")
 
 
-def trades(spark, sf_dir, max_history_text=108):
-    """The canonical account frame: as-of filters applied, codes mapped, 36-slot arrays aligned.
+def trades(spark, sf_dir, max_history_text=None, raw=None):
+    """The canonical account frame: as-of filters applied, codes mapped, 36-slot arrays aligned. raw: accounts as from
+    raw_trades, with dates of their own in as_of.
 
     max_history_text: accounts with a longer history text are left out, which is a rule of the first
     bureau (36 months of 3 characters); None keeps them."""
-    t = raw_trades(spark, sf_dir).filter(F.col("opened") <= F.col("as_of"))
+    t = (raw_trades(spark, sf_dir) if raw is None else raw).filter(F.col("opened") <= F.col("as_of"))
     if max_history_text is not None:
         t = quality_filter(t, text_length=("dpd_text", 0, max_history_text))
     t = with_offsets(map_flags(t, "account_type", vocabulary(spark, "a_account")))
