@@ -170,10 +170,10 @@ def sorted_places(known: pa.Table):
     return place[order], word[order]
 
 
-def gram_counts(entry: pa.Table, known: pa.Table, first: int, last: int, longest: int) -> pa.Table:
+def gram_counts(entry: pa.Table, known: pa.Table, first: int, last: int) -> pa.Table:
     """The phrases of `first` to `last` words of a shard, of frequent words and, from three words on, of the pairs given.
     Those without a count of their own too, as longer ones may hold them."""
-    names = ["shard", *[f"w{i}" for i in range(longest)], "n"]
+    names = ["shard", *[f"w{i}" for i in range(last)], "n"]
     is_word = known.column("place").is_valid().to_numpy() if len(known) else np.zeros(0, bool)
     if not is_word.any() or first > 2 and is_word.all():
         return pieces_of({c: np.zeros(0, np.int64) for c in names})
@@ -185,12 +185,11 @@ def gram_counts(entry: pa.Table, known: pa.Table, first: int, last: int, longest
         ids = glued(ids, np.unique((one << 32) + two))
     shard, found = known.column("shard")[0].as_py(), []
     for grams in WordIndex(ids, last).grams(last):
-        size = grams.words.shape[1]
+        size, many = grams.words.shape[1], len(grams.count)
         if size >= first:
-            rows = np.full((len(grams.count), longest), NONE)
-            rows[:, :size] = word[grams.words - 1]
-            found.append(np.hstack([np.full((len(rows), 1), shard), rows, own_counts(grams, tail)[:, None]]))
-    return pieces_of(dict(zip(names, np.concatenate(found).T)))
+            words = [word[w - 1] for w in grams.words.T] + [np.full(many, NONE)] * (last - size)
+            found.append(pieces_of(dict(zip(names, [np.full(many, shard), *words, own_counts(grams, tail)]))))
+    return pa.concat_tables(found)
 
 
 class Mined:
@@ -214,16 +213,16 @@ def mined(docs: DataFrame, folder: str, text_col="text", lang_col="lang", longes
     words = staged(words.where(F.col("n") >= at_least), f"{folder}/words")
     places = words.select("shard", "place", "word_id")
 
-    names = [f"w{i}" for i in range(longest)]
-    kind = ", ".join(f"{c} long" for c in ("shard", *names, "n"))
+    names = lambda n: [f"w{i}" for i in range(n)]
 
     def grams(known, first, last):
         sides = ids.groupBy("shard").cogroup(known.groupBy("shard"))
-        return sides.applyInArrow(lambda entry, some: gram_counts(entry, some, first, last, longest), kind)
+        kind = ", ".join(f"{c} long" for c in ("shard", *names(last), "n"))
+        return sides.applyInArrow(lambda entry, some: gram_counts(entry, some, first, last), kind)
 
-    def frequent(rows, name):
+    def frequent(rows, size, name):
         """The rows of the shards whose phrase is frequent over all of them, with its whole count."""
-        rows = rows.withColumn("n", F.sum("n").over(Window.partitionBy(*names)))
+        rows = rows.withColumn("n", F.sum("n").over(Window.partitionBy(*names(size))))
         return staged(rows.where(F.col("n") >= at_least), f"{folder}/{name}")
 
     def with_pairs(*pairs):
@@ -234,18 +233,18 @@ def mined(docs: DataFrame, folder: str, text_col="text", lang_col="lang", longes
             rows = rows.unionByName(some.select("shard", no("int").alias("place"), no("long").alias("word_id"), F.col(one).alias("one"), F.col(two).alias("two")))
         return rows
 
-    def spelled(rows):
-        return rows.select(F.filter(F.array(*names), lambda x: x != NONE).alias("ids"), "n")
+    def spelled(rows, size):
+        return rows.select(F.filter(F.array(*names(size)), lambda x: x != NONE).alias("ids"), "n")
 
     # pairs first, then what is made of frequent pairs, then what is made of frequent threes
-    pairs = frequent(grams(with_pairs(), 2, 2), "pairs")
-    phrases = spelled(pairs.drop("shard").distinct())
+    pairs = frequent(grams(with_pairs(), 2, 2), 2, "pairs")
+    phrases = spelled(pairs.drop("shard").distinct(), 2)
     if longest > 2:
-        threes = frequent(grams(with_pairs((pairs, "w0", "w1")), 3, 3), "threes")
-        phrases = phrases.unionByName(spelled(threes.drop("shard").distinct()))
+        threes = frequent(grams(with_pairs((pairs, "w0", "w1")), 3, 3), 3, "threes")
+        phrases = phrases.unionByName(spelled(threes.drop("shard").distinct(), 3))
     if longest > 3:
         rest = grams(with_pairs((threes, "w0", "w1"), (threes, "w1", "w2")), 4, longest)
-        phrases = phrases.unionByName(spelled(rest.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)))
+        phrases = phrases.unionByName(spelled(rest.groupBy(*names(longest)).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least), longest))
     words = words.where(F.col("mark") == F.col("word_id")).select("word_id", "lang", "word", "n")
     return Mined(words, staged(phrases, f"{folder}/phrases"), totals)
 

@@ -5,6 +5,8 @@ A sequence holds ids from 1 up, with 0 between the runs that no phrase crosses.
 reversed sequence is kept in step, so that a pattern can grow on either side.
 """
 
+from functools import cached_property
+
 import numpy as np
 
 
@@ -44,13 +46,17 @@ class Grams:
 
 class WordIndex:
     def __init__(self, ids: np.ndarray, depth: int):
-        """ids: begins and ends with 0."""
-        self.forward, self.backward = Half(ids, depth), Half(ids[::-1], depth)
+        """ids: begins and ends with 0. The half for the reversed sequence is built when a run first grows on its right."""
+        self.forward, self.reverse = Half(ids, depth), lambda: Half(ids[::-1], depth)
+
+    @cached_property
+    def backward(self) -> Half:
+        return self.reverse()
 
     def single(self) -> Grams:
-        starts = self.forward.starts
+        starts = self.forward.starts  # single words lie alike in both halves
         words = np.arange(1, self.forward.kinds)
-        return Grams(words[:, None], starts[1:-1], self.backward.starts[1:-1], np.diff(starts)[1:])
+        return Grams(words[:, None], starts[1:-1], starts[1:-1], np.diff(starts)[1:])
 
     def left(self, grams: Grams) -> Grams:
         """Every run with one more word on its left that occurs."""
