@@ -45,10 +45,14 @@ class TokenEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without special tokens put around it."""
+        return [np.frombuffer(x, self.kind) for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        """The same as bytes, with an end put after each."""
         out = []
         for block in blocks([t or "" for t in texts]):
             if not self.in_pieces:
-                out += [np.array(ids, self.kind) for ids in self.asked(block)]
+                out += [np.array(ids, self.kind).tobytes() + end for ids in self.asked(block)]
                 continue
             cut = [t.split(" ") for t in block]
             self.first = self.answers(self.first, {c[0] for c in cut}, "")
@@ -57,9 +61,9 @@ class TokenEncoder:
             for text, pieces in zip(block, cut):
                 head = self.first[pieces[0]]
                 try:
-                    out.append(np.frombuffer(head + b"".join(map(get, pieces[1:])), self.kind))
+                    out.append(b"".join((head, *map(get, pieces[1:]), end)))
                 except TypeError:  # a piece that has no answer of its own
-                    out.append(np.array(self.asked([text])[0], self.kind))
+                    out.append(np.array(self.asked([text])[0], self.kind).tobytes() + end)
         return out
 
     def asked(self, texts: list[str]) -> list[list[int]]:

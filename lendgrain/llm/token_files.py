@@ -36,20 +36,28 @@ END_ID = 0
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n and the ids (little-endian, 16 bits if the vocabulary has no more than 65536 ids) with the end id."""
+    """doc_id, n and the ids (little-endian, 16 bits if the vocabulary has no more than 65536 ids) with the end id; and,
+    once for each task, a row with nothing but `counts`: how often it has put out each id (64 bits each)."""
     encoder = worker_encoder(vocabulary)
-    kind = id_type(vocabulary)
+    kind, size = id_type(vocabulary), vocabulary_size(vocabulary)
+    end = np.array([end_id], kind)
 
     def run(batches):
-        e = encoder()
+        e, total = encoder(), np.zeros(size, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = [np.r_[x, end_id].astype(kind) for x in e.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+                ids = e.encode_bytes(part.column(1).to_pylist(), end.tobytes())
+                n, column = np.fromiter(map(len, ids), np.int64, len(ids)) // end.itemsize, pa.array(ids, pa.binary())
+                total += np.bincount(laid_out(column, kind), minlength=size)
+                yield put(part.column(0), pa.array(n), column, pa.nulls(len(n), pa.binary()))
+        yield put(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary()))
+
+    def put(*columns):
+        return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "n", "ids", "counts"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 def vocabulary_size(path: str) -> int:
@@ -62,17 +70,19 @@ def id_type(path: str) -> str:
     return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
 
 
-def id_counts(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
-    """How often each id occurs in all documents."""
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents, from the tasks' counts."""
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(laid_out(b.column(0), kind), minlength=size)
+            for x in b.column(0):
+                total += np.frombuffer(x.as_py(), np.int64)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id
+    rows = tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long")
+    for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id
         counts[r.id] = r.n
     return counts
 
@@ -123,7 +133,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id=END_ID, i
     """Writes the files; gives (part, number, file, ids) of each, in whose order (part, number) they follow (a written table)."""
     kind, size = id_type(vocabulary), vocabulary_size(vocabulary)
     tokens = staged(token_ids(docs, vocabulary, end_id, id_col, text_col), f"{folder}/ids")
-    lengths = code_lengths(id_counts(tokens, size, kind), longest)
+    lengths = code_lengths(id_counts(tokens, size), longest)
+    tokens = tokens.where("counts is null").drop("counts")
     head = MAGIC + struct.pack("<I", len(packed := zlib.compress(lengths.tobytes()))) + packed
 
     def run(batches):
