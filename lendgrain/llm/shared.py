@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 OWN_FOLDERS = {}
+MADE = []  # folders made by new_folder and not dropped yet
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one, so that no two runs meet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives lost executors, removed with its last reference."""
+    """Reliable checkpoint: computed once, survives lost executors; removed with its last reference where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as it is in lendgrain.session."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -48,7 +51,16 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 
     assert folder.startswith(shared_folder(spark) + "/"), folder
     system, path = fs.FileSystem.from_uri(folder)
-    system.delete_dir(path)
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        system.delete_dir(path)
+    if folder in MADE:
+        MADE.remove(folder)
+
+
+def drop_made_since(spark: SparkSession, before: int) -> None:
+    """Removes the folders made since there were `before` of them, once what reads them has been written."""
+    for folder in MADE[before:]:
+        drop_folder(spark, folder)
 
 
 def kept(name, make):
