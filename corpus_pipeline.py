@@ -12,7 +12,7 @@ from lendgrain.llm.exact_dedup import drop_exact_copies
 from lendgrain.llm.language_id import with_language
 from lendgrain.llm.queries import tokenizer_path
 from lendgrain.llm.sentencepiece_bpe import encoded
-from lendgrain.llm.shared import new_folder, staged
+from lendgrain.llm.shared import MADE, drop_folder, drop_made_since, new_folder, staged
 from lendgrain.llm.simhash import keep_one_each
 
 
@@ -43,9 +43,14 @@ ORACLE_SQL = None  # language ID, SimHash and the tokenizer are beyond SQL; test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages. What a stage wrote for itself, and the stage before it, go once its result is written."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
+        made = len(MADE)
         docs = staged(stage(spark, docs, sf_dir), f"{folder}/{i}")
+        drop_made_since(spark, made)
+        if i:
+            drop_folder(spark, f"{folder}/{i - 1}")
     return docs
 
 
