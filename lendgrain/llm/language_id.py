@@ -9,7 +9,7 @@ with its vector; that cosine, not below 0, is the score.
 Runs are taken over lower-cased letters, with one blank standing for whatever else; a run's middle is a letter. The
 weights are whole numbers, so that the sums do not depend on the order of the rows. Training gathers the weight of
 each run in each language; Spark adds these up, every run is bound once, and Spark adds up one vector for each task
-and language. The prototypes (languages x size numbers) are sent to all tasks. A worker keeps the bound vectors of a
+and language. The prototypes (languages x size numbers) are sent to all tasks. A task keeps the bound vectors of a
 bounded number of runs.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be
@@ -34,7 +34,7 @@ DENSE = 1 << 20
 ROWS = 512
 BLOCK = 3 << 18
 RUNS = 1024
-KEPT_RUNS = 1 << 14
+KEPT_RUNS = 1 << 13
 HELD_WEIGHTS = 1 << 21
 
 
@@ -206,10 +206,10 @@ def prototypes(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang
     return {k: v for k, v in sorted(found.items()) if v.any()}
 
 
-def classify(texts, names: list[str], profiles: np.ndarray, size: int):
+def classify(texts, names: list[str], profiles: np.ndarray, size: int, bound=None):
     """(language, score) of each text. profiles: a unit vector a row."""
     vectors, some = np.zeros((len(texts), size), np.float32), np.zeros(len(texts), bool)
-    bound = kept(f"bound_runs_{size}", lambda: BoundRuns(size))
+    bound = bound or BoundRuns(size)
     for rows, points, counts in run_counts(texts):
         part = counts.astype(np.float32) @ bound(points)
         if (np.diff(rows) > 0).all():
@@ -232,10 +232,11 @@ def identified(docs: DataFrame, found: dict[str, np.ndarray], text_col="text", l
     place, size = docs.columns.index(text_col), profiles.shape[1]
 
     def run(batches):
+        bound = BoundRuns(size)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                langs, scores = classify(part.column(place).to_pylist(), names, profiles, size)
+                langs, scores = classify(part.column(place).to_pylist(), names, profiles, size, bound)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, lang, score])
 
     from pyspark.sql.types import DoubleType, StringType, StructType

@@ -20,6 +20,7 @@ looked at.
 import hashlib
 import heapq
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,12 +76,16 @@ class Vocabulary:
             for k in range(1, len(p)):
                 if p[:k] in symbol and p[k:] in symbol:
                     merges[symbol[p[:k]] * self.width + symbol[p[k:]]] = (order[-model.pieces[i].score], i)
-        self.merges = merges
         self.keys = np.array(sorted(merges), np.int64)
         self.rank = np.array([merges[k][0] for k in self.keys], np.int64)
         self.made = np.array([merges[k][1] for k in self.keys], np.int64)
         self.none = len(order) + 1
 
+    @cached_property
+    def merges(self) -> dict:
+        """(rank, piece made) by pair; only long chunks ask for it."""
+        return dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+
     def agenda(self, chunks: list[str]) -> list[bytes]:
         """The ids (little-endian unsigned 32-bit) of each chunk."""
         short = [c for c in chunks if len(c) <= LONG]
@@ -215,6 +220,10 @@ class Encoder:
             out += [np.frombuffer(first + b"".join(map(self.known.__getitem__, c)) + last, "<u4") for c in cut]
         return out
 
+    def forget(self) -> None:
+        self.known = {}
+        self.vocabulary.__dict__.pop("merges", None)
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.vocabulary.library.decode([x.tolist() for x in ids], num_threads=1)
 
@@ -246,7 +255,7 @@ def encoded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text")
                     [b.column(0).slice(at, len(block)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(e.decode(ids), pa.string())],
                     ["doc_id", "ids", "decoded"])
                 at += len(block)
-        e.known = {}  # the worker goes on to other work
+        e.forget()  # the worker goes on to other work
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.select(f'`{id_col}`').dtypes[0][1]}, ids binary, decoded string")
@@ -268,7 +277,7 @@ def digests(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text")
                 text_sha += [sha(t.encode()) for t in e.decode(ids)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        e.known = {}  # the worker goes on to other work
+        e.forget()  # the worker goes on to other work
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.select(f'`{id_col}`').dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
