@@ -2,9 +2,9 @@
 
 The variables are cut at fitted edges and rows of equal cuts are counted once, with their weight and weighted
 events; 1,000 and more rounds then walk this table and not the source. Where it is small (its rows are counted) all
-rounds run over it in one task; beyond that every level of a tree is a Spark job over the table, and the margins are
-written anew every few rounds. Gradients are whole numbers, so that both ways, and any number of partitions, give
-the same trees.
+rounds run over it in one task. Beyond that it is kept in blocks of arrays, each level of splits is a small job over
+them (leaves have their sums from the split above), and the margins are written anew every few rounds. Gradients are
+whole numbers, so that both ways, and any number of partitions, give the same trees.
 
 A tree takes the split with the largest gain, T(G)**2 / (H + l2) of both sides less that of the whole, with
 T(G) = sign(G) * max(|G| - l1, 0); splits that gain less than gamma are cut back from the leaves up. Rows without a
@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendgrain.modelling.quantile import quantile_edges, value_table
-from lendgrain.session import cut_lineage
+from lendgrain.session import checkpoint_dir, cut_lineage
 
 UNIT = 1 << 20
 ONE_TASK = 200_000
@@ -133,7 +134,7 @@ class Block:
     def __init__(self, batch, width: int):
         self.bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.int16).reshape(-1, width)
         self.copies, self.w, self.we = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("copies", "w", "we"))
-        self.margin = batch.column("margin").to_numpy(zero_copy_only=False).copy() if "margin" in batch.schema.names else np.zeros(len(self.bins))
+        self.margin = np.zeros(len(self.bins))
         key = np.zeros(len(self.bins), np.uint64)
         for column in self.bins.T:
             key = mixed(key * np.uint64(31) + column.astype(np.uint64) + np.uint64(1))
@@ -167,12 +168,13 @@ def strength(g, h, s: Settings):
 
 
 def best_splits(hist: np.ndarray, s: Settings) -> list:
-    """(gain, variable's place, cut, missing go left, G, H) of each node; gain 0 where no split is any good."""
+    """(gain, variable's place, cut, missing go left, G, H, G and H of the left side) of each node; gain 0 where no split
+    is any good."""
     sums = hist / UNIT
     out = []
     for node in sums:
         g, h = node[0].sum(axis=0)
-        best = (0.0, -1, 0, False, g, h)
+        best = (0.0, -1, 0, False, g, h, 0.0, 0.0)
         inner = np.cumsum(node[:, 1:], axis=1)[:, :-1]  # left of each cut, without the missing
         for missing_left in (False, True):
             left = inner + (node[:, :1] if missing_left else 0)
@@ -182,18 +184,24 @@ def best_splits(hist: np.ndarray, s: Settings) -> list:
             gain = np.where((hl >= s.least_hessian) & (hr >= s.least_hessian), gain, 0.0)
             if gain.size and gain.max() > best[0] + LEAST_GAIN:
                 v, k = np.unravel_index(gain.argmax(), gain.shape)
-                best = (float(gain[v, k]), int(v), int(k) + 1, missing_left, g, h)
+                best = (float(gain[v, k]), int(v), int(k) + 1, missing_left, g, h, gl[v, k], hl[v, k])
         out.append(best)
     return out
 
 
 def grow(tree: Tree, level: int, splits: list, variables, s: Settings) -> None:
-    for k, (gain, v, cut, missing_left, g, h) in enumerate(splits):
-        i = (1 << level) - 1 + k
+    """Settles the nodes of a level and the two below each that is split, whose sums the split has."""
+    def settle(i, g, h):
         tree.value[i] = -s.eta * np.sign(g) * max(abs(g) - s.l1, 0) / (h + s.l2)
         tree.hessian[i] = h
+
+    for k, (gain, v, cut, missing_left, g, h, gl, hl) in enumerate(splits):
+        i = (1 << level) - 1 + k
+        settle(i, g, h)
         if gain > 0 and level < s.depth:
             tree.variable[i], tree.cut[i], tree.missing_left[i], tree.gain[i] = variables[v], cut, missing_left, gain
+            settle(2 * i + 1, gl, hl)
+            settle(2 * i + 2, g - gl, h - hl)
 
 
 def cut_back(tree: Tree, s: Settings) -> None:
@@ -216,7 +224,7 @@ def boosted(settings: Settings, n_columns: int, sums, settle=None) -> list:
     trees = []
     for turn in range(settings.rounds):
         tree, variables = Tree.empty(settings.depth), drawn_columns(settings, turn, n_columns)
-        for level in range(settings.depth + 1):
+        for level in range(max(settings.depth, 1)):
             if level and not (tree.variable[(1 << (level - 1)) - 1:(1 << level) - 1] >= 0).any():
                 break
             grow(tree, level, best_splits(sums(tree, level, turn, variables), settings), variables, settings)
@@ -230,6 +238,21 @@ def boosted(settings: Settings, n_columns: int, sums, settle=None) -> list:
 FIELDS = {"variable": "int", "cut": "int", "missing_left": "boolean", "value": "double", "gain": "double", "hessian": "double"}
 
 
+KIND = "turn int, node int, variable long, cut long, missing_left boolean, value double, gain double, hessian double"
+
+
+def as_batches(trees):
+    for turn, t in enumerate(trees):
+        n = len(t.variable)
+        yield pa.RecordBatch.from_arrays([pa.array([turn] * n, pa.int32()), pa.array(range(n), pa.int32()), *[pa.array(getattr(t, f)) for f in FIELDS]], ["turn", "node", *FIELDS])
+
+
+def as_trees(df: DataFrame, settings: Settings) -> list:
+    rows = sorted(df.collect())  # rounds x nodes rows
+    nodes = (2 << settings.depth) - 1
+    return [Tree(*(np.array([r[i + 2] for r in rows[k:k + nodes]]) for i in range(len(FIELDS)))) for k in range(0, len(rows), nodes)]
+
+
 def in_one_task(table: DataFrame, booster: Booster) -> list:
     """All rounds over the whole table, which has been counted and is small."""
     settings, width = booster.settings, len(booster.columns)
@@ -240,63 +263,72 @@ def in_one_task(table: DataFrame, booster: Booster) -> list:
         def settle(trees, _):
             block.margin += trees[-1].value[trees[-1].nodes(block.bins)]
 
-        for turn, t in enumerate(boosted(settings, width, lambda tree, level, turn, variables: block.histograms(tree, level, settings, turn, variables), settle)):
-            n = len(t.variable)
-            yield pa.RecordBatch.from_arrays([pa.array([turn] * n, pa.int32()), pa.array(range(n), pa.int32()), *[pa.array(getattr(t, f)) for f in FIELDS]], ["turn", "node", *FIELDS])
+        yield from as_batches(boosted(settings, width, lambda tree, level, turn, variables: block.histograms(tree, level, settings, turn, variables), settle))
 
-    kind = "turn int, node int, variable long, cut long, missing_left boolean, value double, gain double, hessian double"
-    rows = sorted(table.coalesce(1).mapInArrow(run, kind).collect())  # rounds x nodes rows
-    nodes = (2 << settings.depth) - 1
-    return [Tree(*(np.array([r[i + 2] for r in rows[k:k + nodes]]) for i in range(len(FIELDS)))) for k in range(0, len(rows), nodes)]
+    return as_trees(table.coalesce(1).mapInArrow(run, KIND), settings)
+
+
+def blocks_of(table: DataFrame, width: int):
+    """The counted table as an RDD of Blocks, a batch of rows in each."""
+    names = ("copies", "w", "we")
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                block = Block(b, width)
+                yield pa.RecordBatch.from_arrays([pa.array([getattr(block, n).tobytes()], pa.binary()) for n in ("bins", "key", *names)], ["bins", "key", *names])
+
+    def unpack(r):
+        block = Block.__new__(Block)
+        block.bins, block.key = np.frombuffer(r["bins"], np.int16).reshape(-1, width), np.frombuffer(r["key"], np.uint64)
+        block.copies, block.w, block.we = (np.frombuffer(r[n], np.float64) for n in names)
+        block.margin = np.zeros(len(block.bins))
+        return block
+
+    return table.mapInArrow(pack, ", ".join(f"{n} binary" for n in ("bins", "key", *names))).rdd.map(unpack)
 
 
 def over_the_cluster(table: DataFrame, booster: Booster) -> list:
-    """A job for each level of each tree. The table's margins are those of the trees up to the last time it was written."""
+    """A job for each level of splits. The blocks' margins are those of the trees up to the last time they were written."""
     settings, width = booster.settings, len(booster.columns)
-    state = {"table": table.withColumn("margin", F.lit(0.0)), "trees": []}
+    checkpoint_dir(table.sparkSession)
+
+    def written(blocks):
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks.checkpoint()
+        blocks.count()
+        return blocks
+
+    state = {"blocks": written(blocks_of(table, width)), "trees": []}
 
     def sums(tree, level, turn, variables):
         recent = state["trees"]
 
-        def part(batches):
+        def part(blocks):
             total = None
-            for b in batches:
-                block = Block(b, width)
-                block.margin += booster.margin(block.bins, recent)
+            for block in blocks:
+                block.margin = block.margin + booster.margin(block.bins, recent)
                 h = block.histograms(tree, level, settings, turn, variables)
                 total = h if total is None else total + h
-            if total is not None:
-                for k, h in enumerate(np.moveaxis(total, 1, 0)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([h.ravel().tolist()], pa.list_(pa.int64()))], ["place", "sums"])
-
-        def add_up(batches):
-            total = {}
-            for b in batches:
-                for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    total[k] = np.array(h, np.int64) + total.get(k, 0)
-            for k, h in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([h.tolist()], pa.list_(pa.int64()))], ["place", "sums"])
-
-        kind = "place int, sums array<long>"
-        rows = state["table"].mapInArrow(part, kind).repartition("place").mapInArrow(add_up, kind).collect()  # a row per variable drawn
-        shape = (1 << level, settings.bins + 1, 2)
-        return np.stack([np.array(h, np.int64).reshape(shape) for _, h in sorted((r["place"], r["sums"]) for r in rows)], axis=1)
+            return [] if total is None else [total]
+
+        return state["blocks"].mapPartitions(part).treeReduce(np.add, 2)
 
     def settle(trees, turn):
         state["trees"] = [*state["trees"], trees[-1]]
         if len(state["trees"]) == SETTLE and turn + 1 < settings.rounds:
-            recent = state["trees"]
+            recent, before = state["trees"], state["blocks"]
 
-            def moved(batches):
-                for b in batches:
-                    block = Block(b, width)
-                    margin = block.margin + booster.margin(block.bins, recent)
-                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("bins", "copies", "w", "we")], pa.array(margin)], ["bins", "copies", "w", "we", "margin"])
+            def moved(block):
+                block.margin = block.margin + booster.margin(block.bins, recent)
+                return block
 
-            state["table"] = cut_lineage(state["table"].mapInArrow(moved, "bins binary, copies long, w double, we double, margin double"))
-            state["trees"] = []
+            state["blocks"], state["trees"] = written(before.map(moved)), []
+            before.unpersist()
 
-    return boosted(settings, width, sums, settle)
+    trees = boosted(settings, width, sums, settle)
+    state["blocks"].unpersist()
+    return trees
 
 
 def fit(df: DataFrame, cols, target, settings: Settings = SELECTION, weight=None, one_task=ONE_TASK) -> Booster:
