@@ -14,6 +14,7 @@ from lendgrain.functions import fixed_values as V
 from lendgrain.functions import history_line as L
 from lendgrain.functions import trade_columns as TC
 from lendgrain.operators.aggregates import exprs, key_names, with_medians
+from lendgrain.operators.relational import dealt
 from lendgrain.operators.trades import spread
 from lendgrain.session import cut_lineage
 
@@ -83,16 +84,20 @@ def cat_open_close_months(base, key="member") -> DataFrame:
     return spread(with_medians(t, [*keys, "type"], aggs, {f"span_median_{w}m": x for w, x in within.items()}), AMOUNT_SEGMENTS, None, key)
 
 
-def delinquency_long(base, key="member") -> DataFrame:
-    """(member, segment) rows: delinquent balance, sanction, accounts, products, most months, worst bucket. Each product
-    is a bit, so that different ones are counted by an or of bits."""
+def delinquency_rows(base, key="member") -> DataFrame:
+    """Account rows with what delinquency_long adds up, and no more. Each product is a bit, so that different ones are
+    counted by an or of bits."""
     t = segment_frame(base, DELINQUENCY_SEGMENTS)
     cols = {f"_n{w}_{d}": F.expr(L.count_ge(w, b)) for w in DELINQUENCY_WINDOWS for d, b in LEVELS.items()}
     cols.update({f"_p{w}": F.expr(L.any_ge(w, 0)) for w in DELINQUENCY_WINDOWS})
     cols.update({f"_w{w}": F.expr(L.worst(w)) for w in DELINQUENCY_WINDOWS})
-    # only what the sums need is expanded to segments
     cols["_bit"] = F.expr("shiftleft(1L, case product " + " ".join(f"when '{p}' then {i}" for i, p in enumerate(TC.PRODUCTS)) + " end)")
-    t = t.withColumns(cols).select(*key_names(key), "segments", "balance", "highest", *cols)
+    return t.withColumns(cols).select(*key_names(key), "segments", "balance", "highest", "m_start", *cols)
+
+
+def delinquency_long(rows, key="member") -> DataFrame:
+    """(member, segment) rows out of delinquency_rows: delinquent balance, sanction, accounts, products, most months, worst
+    bucket, and all sanctions and accounts reported (total_*, for the whole member in the segment Overall)."""
     aggs = []
     for w in DELINQUENCY_WINDOWS:
         for d in LEVELS:
@@ -101,16 +106,12 @@ def delinquency_long(base, key="member") -> DataFrame:
                      f"cast(sum(case when {bad} then 1 end) as bigint) as bad_accounts_{w}m_{d}",
                      f"bit_count(bit_or(case when {bad} then _bit end)) as bad_products_{w}m_{d}", f"max(case when _p{w} = 1 then _n{w}_{d} end) as times_{w}m_{d}"]
         aggs.append(f"max(case when _p{w} = 1 then _w{w} end) as worst_{w}m")
-    return _by_segment(t, aggs, key)
+        all_of = f"type = 'Overall' and m_start <= {w} and _p{w} = 1"
+        aggs += [f"sum(case when {all_of} then highest end) as total_sanctions_{w}m", f"cast(sum(case when {all_of} then 1 end) as bigint) as total_accounts_{w}m"]
+    return _by_segment(rows, aggs, key)
 
 
-def _totals(base, key):
-    t = base.withColumn("line", L.to_line("dpd"))
-    aggs = []
-    for w in DELINQUENCY_WINDOWS:
-        c = f"m_start <= {w} and {L.any_ge(w, 0)} = 1"
-        aggs += [f"sum(case when {c} then highest end) as total_sanctions_{w}m", f"cast(sum(case when {c} then 1 end) as bigint) as total_accounts_{w}m"]
-    return t.groupBy(*key_names(key)).agg(*exprs(aggs))
+TOTALS = [f"total_{n}_{w}m" for w in DELINQUENCY_WINDOWS for n in ("sanctions", "accounts")]
 
 
 def _days(long, compat):
@@ -119,24 +120,44 @@ def _days(long, compat):
     return long.selectExpr("*", *[f"get({table}, case when worst_{w}m >= 0 then worst_{w}m end) as worst_days_{w}m" for w in DELINQUENCY_WINDOWS])
 
 
-def cat_delinquency(base, key="member", compat=False, long=None) -> DataFrame:
+def _spread_with_totals(long, key):
+    """<segment>_<measure> columns, then the totals, which every member has in its segment Overall."""
+    wide = spread(long, DELINQUENCY_SEGMENTS, lambda n, m: n == "Overall" or m not in TOTALS, key)
+    wide = wide.withColumnsRenamed({f"Overall_{c}": c for c in TOTALS})
+    return wide.select(*[c for c in wide.columns if c not in TOTALS], *TOTALS)
+
+
+def _delinquency(long, key, compat=False):
+    return _spread_with_totals(_days(long, compat).drop(*[f"worst_{w}m" for w in DELINQUENCY_WINDOWS]), key)
+
+
+def cat_delinquency(base, key="member", compat=False) -> DataFrame:
     """All delinquency measures per segment; `times` counts months, `bad_accounts` accounts, `bad_products` different
-    products. The worst bucket is given back in days. long: the rows of delinquency_long, if they are at hand."""
-    long = _days(delinquency_long(base, key) if long is None else long, compat).drop(*[f"worst_{w}m" for w in DELINQUENCY_WINDOWS])
-    return spread(long, DELINQUENCY_SEGMENTS, None, key).join(_totals(base, key), key_names(key))
+    products. The worst bucket is given back in days."""
+    return dealt(delinquency_rows(base, key), key, lambda rows: _delinquency(delinquency_long(rows, key), key, compat))
 
 
-def cat_delinquency_ratios(base, key="member", long=None) -> DataFrame:
-    """Delinquent balance, accounts and sanctions over all reported sanctions and accounts. The ratios
-    are taken on the (member, segment) rows."""
-    long = (delinquency_long(base, key) if long is None else long).join(_totals(base, key), key_names(key))
+def ratio_texts():
+    """Columns over those of _spread_with_totals."""
     out = []
-    for w in DELINQUENCY_WINDOWS:
-        for d in LEVELS:
-            out += [f"try_divide(bad_balance_{w}m_{d}, total_sanctions_{w}m) as ratio_balance_{w}m_{d}",
-                    f"try_divide(double(bad_accounts_{w}m_{d}), double(total_accounts_{w}m)) as ratio_accounts_{w}m_{d}",
-                    f"try_divide(bad_sanction_{w}m_{d}, total_sanctions_{w}m) as ratio_sanction_{w}m_{d}"]
-    return spread(long.selectExpr(*key_names(key), "type", *out), DELINQUENCY_SEGMENTS, None, key)
+    for s in DELINQUENCY_SEGMENTS:
+        for w in DELINQUENCY_WINDOWS:
+            for d in LEVELS:
+                out += [f"try_divide({s}_bad_balance_{w}m_{d}, total_sanctions_{w}m) as {s}_ratio_balance_{w}m_{d}",
+                        f"try_divide(double({s}_bad_accounts_{w}m_{d}), double(total_accounts_{w}m)) as {s}_ratio_accounts_{w}m_{d}",
+                        f"try_divide({s}_bad_sanction_{w}m_{d}, total_sanctions_{w}m) as {s}_ratio_sanction_{w}m_{d}"]
+    return out
+
+
+def cat_delinquency_ratios(base, key="member") -> DataFrame:
+    """Delinquent balance, accounts and sanctions over all reported sanctions and accounts."""
+    parts = [f"bad_{n}_{w}m_{d}" for w in DELINQUENCY_WINDOWS for d in LEVELS for n in ("balance", "sanction", "accounts")]
+
+    def work(rows):
+        long = delinquency_long(rows, key).select(*key_names(key), "type", *parts, *TOTALS)
+        return _spread_with_totals(long, key).selectExpr(*key_names(key), *ratio_texts())
+
+    return dealt(delinquency_rows(base, key), key, work)
 
 
 def open_velocity(base, key="member") -> DataFrame:
@@ -147,9 +168,14 @@ def open_velocity(base, key="member") -> DataFrame:
 
 
 def category_features(base, key="member") -> DataFrame:
-    """All segment families on one row per member. The account frame and the delinquency by segment are computed once."""
+    """All segment families on one row per member. The account frame is computed once; delinquency and its ratios come
+    from one aggregate."""
     base = cut_lineage(base)
-    long = cut_lineage(delinquency_long(base, key))
+
+    def delinquency(rows):
+        wide = _delinquency(delinquency_long(rows, key), key)
+        return wide.selectExpr("*", *ratio_texts())
+
     parts = [f(base, key) for f in (cat_loan_amounts, cat_open_live, cat_open_close_months)]
-    parts += [cat_delinquency(base, key, long=long), cat_delinquency_ratios(base, key, long=long), open_velocity(base, key)]
+    parts += [dealt(delinquency_rows(base, key), key, delinquency), open_velocity(base, key)]
     return reduce(lambda a, b: a.join(b, key_names(key)), parts)

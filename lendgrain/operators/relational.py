@@ -1,6 +1,7 @@
 """Joins, set operations, sorting."""
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +48,44 @@ def cross_small(left: DataFrame, right: DataFrame) -> DataFrame:
 LEAST_HOT = 10_000
 
 
-def hot_keys(df: DataFrame, keys, least=None):
+def key_counts(df: DataFrame, keys) -> DataFrame:
+    """(keys, n), written once."""
+    return cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+
+
+def hot_keys(df: DataFrame, keys, least=None, counts=None):
     """(keys, n, salts) of the keys with more rows than an eighth of a task's share of all rows, None where there are
-    none. There are at most eight times as many as shuffle partitions. `least`: never fewer rows than these."""
-    counts = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    none. There are at most eight times as many as shuffle partitions. `least`: never fewer rows than these. counts: the
+    rows of key_counts, if they are at hand."""
+    counts = key_counts(df, keys) if counts is None else counts
     parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max((counts.agg(F.sum("n")).first()[0] or 0) / parts, LEAST_HOT if least is None else least)
     hot = counts.where(F.col("n") > share).withColumn("salts", F.ceil(F.col("n") / share).cast("int"))
     return hot if hot.take(1) else None
 
 
+ROWS_A_TASK, FEWEST_ROWS = 100_000, 10_000
+
+
+def dealt(df: DataFrame, keys, work) -> DataFrame:
+    """work(rows) with the rows dealt out by keys first, at most some ROWS_A_TASK to a task. Aggregates by the keys, or by the keys
+    and more, then stand where their rows are: the narrow rows are shuffled and not the wide results, and a task's memory
+    does not grow with the table. The rows of a key that is hot stay where they are, so that they are aggregated before
+    their shuffle."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    counts = key_counts(df, keys)
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(usual, ceil(rows / FEWEST_ROWS)), ceil(rows / ROWS_A_TASK))
+    hot = hot_keys(df, keys, counts=counts)
+    if hot is None:
+        return work(df.repartition(parts, *keys))
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    rest = work(df.join(hot, same, "left_anti").repartition(parts, *keys))
+    return rest.unionByName(work(df.join(hot, same, "left_semi")))
+
+
 def salted(left: DataFrame, right: DataFrame, keys, least=None):
     """Both sides with a column `_salt` for a join by keys and salt: the rows of a key that is hot on the left are dealt
     over several salts, and its rows on the right repeated for each. (left, right), or None where no key is hot."""
