@@ -15,7 +15,7 @@ from lendgrain.functions import history_line as L
 from lendgrain.functions import trade_columns as TC
 from lendgrain.operators.aggregates import exprs, key_names, with_medians
 from lendgrain.operators.relational import dealt
-from lendgrain.operators.trades import spread
+from lendgrain.operators.trades import side_by_side, spread
 from lendgrain.session import cut_lineage
 
 AMOUNT_SEGMENTS = ("Overall", "PLlt5", "PLgt5", "PLlt1L", "PLgt1L", "GL", "CC", "TW", "AL", "HL", "SEC", "UNSEC", "NAGRI")
@@ -34,6 +34,14 @@ def segment_frame(base: DataFrame, wanted) -> DataFrame:
                           "span": F.expr("(year(closed) - year(opened)) * 12 + month(closed) - month(opened)")})
 
 
+AMOUNT_COLUMNS = ("m_report", "m_open", "is_closed", "opened", "highest", "balance", "util", "span")
+
+
+def amount_rows(base, key="member") -> DataFrame:
+    """Account rows with what the families by ticket read, and no more."""
+    return segment_frame(base, AMOUNT_SEGMENTS).select(*key_names(key), "segments", *AMOUNT_COLUMNS)
+
+
 def _by_segment(t, aggs, key):
     return t.withColumn("type", F.explode("segments")).groupBy(*key_names(key), "type").agg(*exprs(aggs))
 
@@ -52,11 +60,13 @@ def amount_texts():
 
 def cat_loan_amounts(base, key="member") -> DataFrame:
     """First, latest, mean, largest and smallest ticket and their ratios (a zero denominator is 0.1)."""
-    long = _by_segment(segment_frame(base, AMOUNT_SEGMENTS), amount_texts(), key)
+    return dealt(amount_rows(base, key), key, lambda rows: spread(_amounts(_by_segment(rows, amount_texts(), key)), AMOUNT_SEGMENTS, None, key))
+
+
+def _amounts(long):
     long = long.replace(0.0, 0.1, subset=["min_amount", "latest_amount"])
-    long = long.selectExpr("*", "first_amount / latest_amount as ratio_first_latest", "max_amount / min_amount as ratio_max_min",
+    return long.selectExpr("*", "first_amount / latest_amount as ratio_first_latest", "max_amount / min_amount as ratio_max_min",
                            "try_divide(max_amount, avg_amount) as ratio_max_avg")
-    return spread(long, AMOUNT_SEGMENTS, None, key)
 
 
 def open_live_texts():
@@ -70,15 +80,21 @@ def open_live_texts():
 
 
 def cat_open_live(base, key="member") -> DataFrame:
-    long = _by_segment(segment_frame(base, AMOUNT_SEGMENTS), open_live_texts(), key)
-    long = long.selectExpr("*", *[f"round(try_divide(live_balance_{w}m, live_sanction_{w}m), 3) as sum_util_{w}m" for w in WINDOWS])
-    return spread(long, AMOUNT_SEGMENTS, None, key)
+    return dealt(amount_rows(base, key), key, lambda rows: spread(_open_live(_by_segment(rows, open_live_texts(), key)), AMOUNT_SEGMENTS, None, key))
+
+
+def _open_live(long):
+    return long.selectExpr("*", *[f"round(try_divide(live_balance_{w}m, live_sanction_{w}m), 3) as sum_util_{w}m" for w in WINDOWS])
 
 
 def cat_open_close_months(base, key="member") -> DataFrame:
     """Months from opening to closing, of accounts reported within the window."""
+    return dealt(amount_rows(base, key), key, lambda rows: _open_close_months(rows, key))
+
+
+def _open_close_months(rows, key):
     keys = key_names(key)
-    t = segment_frame(base, AMOUNT_SEGMENTS).select(*keys, "m_report", "span", F.explode("segments").alias("type"))
+    t = rows.select(*keys, "m_report", "span", F.explode("segments").alias("type"))
     within = {w: F.expr(f"case when m_report <= {w} then span end") for w in WINDOWS}
     aggs = [f(x).alias(f"span_{n}_{w}m") for w, x in within.items() for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
     return spread(with_medians(t, [*keys, "type"], aggs, {f"span_median_{w}m": x for w, x in within.items()}), AMOUNT_SEGMENTS, None, key)
@@ -167,15 +183,22 @@ def open_velocity(base, key="member") -> DataFrame:
                                  mean_gap("opened", F.col("highest") > 30000).alias("mean_gap_over_30k"))
 
 
+READ = ("product", "account_type", "dpd", "opened", "closed", "as_of", "highest", "balance", "written_off", "m_start", "m_report", "m_open")
+
+
 def category_features(base, key="member") -> DataFrame:
-    """All segment families on one row per member. The account frame is computed once; delinquency and its ratios come
-    from one aggregate."""
-    base = cut_lineage(base)
+    """All segment families on one row per member. What they read of the account frame is written once; each of the two
+    kinds of segments has one aggregate, and all of them stand on accounts dealt out by member."""
+    keys = key_names(key)
+    base = cut_lineage(base.select(*keys, *READ))
+
+    def tickets(rows):
+        both = _open_live(_amounts(_by_segment(rows, amount_texts() + open_live_texts(), key)))
+        velocity = open_velocity(rows, key)
+        return side_by_side([spread(both, AMOUNT_SEGMENTS, None, key), _open_close_months(rows, key), velocity], keys, "inner")
 
     def delinquency(rows):
-        wide = _delinquency(delinquency_long(rows, key), key)
-        return wide.selectExpr("*", *ratio_texts())
+        return _delinquency(delinquency_long(rows, key), key).selectExpr("*", *ratio_texts())
 
-    parts = [f(base, key) for f in (cat_loan_amounts, cat_open_live, cat_open_close_months)]
-    parts += [dealt(delinquency_rows(base, key), key, delinquency), open_velocity(base, key)]
-    return reduce(lambda a, b: a.join(b, key_names(key)), parts)
+    parts = [dealt(amount_rows(base, key), key, tickets), dealt(delinquency_rows(base, key), key, delinquency)]
+    return side_by_side(parts, keys, "inner")
