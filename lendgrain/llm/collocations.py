@@ -148,6 +148,33 @@ def glued(ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def found_in(keys: np.ndarray, known: np.ndarray):
+    """The place of each key among the known ones (sorted), and whether it is one of them."""
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def in_threes(ids: np.ndarray, threes: np.ndarray) -> np.ndarray:
+    """The stretches of four words and more in which any three neighbours are one of the threes (a row each), with a 0
+    around each. Stretches that overlap stand apart, so that a run of four lies in one of them or in none."""
+    pairs, first = np.unique((threes[:, 0] << 32) + threes[:, 1], return_inverse=True)
+    known = np.unique((first << 32) + threes[:, 2])
+    if len(ids) < 4 or not len(known):
+        return np.zeros(1, np.int64)
+    at, is_pair = found_in((ids[:-2] << 32) + ids[1:-1], pairs)
+    start = np.flatnonzero(is_pair)
+    start = start[found_in((at[start] << 32) + ids[start + 2], known)[1]]  # where one of the threes begins
+    begin = np.flatnonzero(np.diff(start, prepend=-2) != 1)
+    size = np.diff(np.r_[begin, len(start)])  # threes in each stretch
+    begin, size = start[begin[size > 1]], size[size > 1] + 2
+    ends = np.cumsum(size + 1)
+    out = np.zeros(1 + size.sum() + len(size), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.r_[0, ends]] = False
+    out[inside] = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return out
+
+
 def own_counts(grams, tail: np.ndarray) -> np.ndarray:
     """How often each run occurs, without what lies in the words that the next shard has again."""
     count, size = grams.count.copy(), grams.words.shape[1]
@@ -171,8 +198,8 @@ def sorted_places(known: pa.Table):
 
 
 def gram_counts(entry: pa.Table, known: pa.Table, first: int, last: int) -> pa.Table:
-    """The phrases of `first` to `last` words of a shard, of frequent words and, from three words on, of the pairs given.
-    Those without a count of their own too, as longer ones may hold them."""
+    """The phrases of `first` to `last` words of a shard, of frequent words, and from three words on of the pairs given,
+    from four on of the threes given. Those without a count of their own too, as longer ones may hold them."""
     names = ["shard", *[f"w{i}" for i in range(last)], "n"]
     is_word = known.column("place").is_valid().to_numpy() if len(known) else np.zeros(0, bool)
     if not is_word.any() or first > 2 and is_word.all():
@@ -180,9 +207,9 @@ def gram_counts(entry: pa.Table, known: pa.Table, first: int, last: int) -> pa.T
     place, word = sorted_places(known.filter(pa.array(is_word)))
     ids, tail = frequent_sequence(entry, place)
     if first > 2:
-        pairs, by_id = known.filter(pa.array(~is_word)), np.argsort(word)
-        one, two = (by_id[np.searchsorted(word, pairs.column(c).to_numpy(), sorter=by_id)] + 1 for c in ("one", "two"))
-        ids = glued(ids, np.unique((one << 32) + two))
+        runs, by_id = known.filter(pa.array(~is_word)), np.argsort(word)
+        parts = [by_id[np.searchsorted(word, runs.column(c).to_numpy(), sorter=by_id)] + 1 for c in ("one", "two", "three")[:min(first, 4) - 1]]
+        ids = glued(ids, np.unique((parts[0] << 32) + parts[1])) if first == 3 else in_threes(ids, np.stack(parts, axis=1))
     shard, found = known.column("shard")[0].as_py(), []
     for grams in WordIndex(ids, last).grams(last):
         size, many = grams.words.shape[1], len(grams.count)
@@ -225,25 +252,26 @@ def mined(docs: DataFrame, folder: str, text_col="text", lang_col="lang", longes
         rows = rows.withColumn("n", F.sum("n").over(Window.partitionBy(*names(size))))
         return staged(rows.where(F.col("n") >= at_least), f"{folder}/{name}")
 
-    def with_pairs(*pairs):
-        """The frequent words of each shard, and pairs of their ids."""
+    def with_runs(runs=None, size=0):
+        """The frequent words of each shard, and its frequent pairs or threes, by the ids of their words."""
+        columns = ["one", "two", "three"][:size]
         no = lambda kind: F.lit(None).cast(kind)
-        rows = places.withColumns({"one": no("long"), "two": no("long")})
-        for some, one, two in pairs:
-            rows = rows.unionByName(some.select("shard", no("int").alias("place"), no("long").alias("word_id"), F.col(one).alias("one"), F.col(two).alias("two")))
-        return rows
+        rows = places.select("*", *[no("long").alias(c) for c in columns])
+        if runs is None:
+            return rows
+        return rows.unionByName(runs.select("shard", no("int").alias("place"), no("long").alias("word_id"), *[F.col(w).alias(c) for w, c in zip(names(size), columns)]))
 
     def spelled(rows, size):
         return rows.select(F.filter(F.array(*names(size)), lambda x: x != NONE).alias("ids"), "n")
 
     # pairs first, then what is made of frequent pairs, then what is made of frequent threes
-    pairs = frequent(grams(with_pairs(), 2, 2), 2, "pairs")
+    pairs = frequent(grams(with_runs(), 2, 2), 2, "pairs")
     phrases = spelled(pairs.drop("shard").distinct(), 2)
     if longest > 2:
-        threes = frequent(grams(with_pairs((pairs, "w0", "w1")), 3, 3), 3, "threes")
+        threes = frequent(grams(with_runs(pairs, 2), 3, 3), 3, "threes")
         phrases = phrases.unionByName(spelled(threes.drop("shard").distinct(), 3))
     if longest > 3:
-        rest = grams(with_pairs((threes, "w0", "w1"), (threes, "w1", "w2")), 4, longest)
+        rest = grams(with_runs(threes, 3), 4, longest)
         phrases = phrases.unionByName(spelled(rest.groupBy(*names(longest)).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least), longest))
     words = words.where(F.col("mark") == F.col("word_id")).select("word_id", "lang", "word", "n")
     return Mined(words, staged(phrases, f"{folder}/phrases"), totals)
