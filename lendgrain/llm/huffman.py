@@ -50,18 +50,17 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def table(lengths: np.ndarray):
-    """(symbol, length) for every value of the next `longest` bits."""
+    """The longest length, and for every value of the next `longest` bits 32 * symbol + length."""
     longest = int(lengths.max(initial=1))
     codes = canonical(lengths).astype(np.int64)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     share = 1 << (longest - lengths[order].astype(np.int64))
-    symbol, length = np.zeros(1 << longest, np.uint32), np.ones(1 << longest, np.int64)
+    out = np.ones(1 << longest, np.uint32)
     if len(order):
         assert codes[order[0]] == 0
-        symbol[:share.sum()] = np.repeat(order, share)
-        length[:share.sum()] = np.repeat(lengths[order], share)
-    return longest, symbol, length
+        out[:share.sum()] = np.repeat((order << 5) + lengths[order], share)
+    return longest, out
 
 
 def pack(ids: np.ndarray, first: np.ndarray, lengths: np.ndarray, codes: np.ndarray):
@@ -85,7 +84,7 @@ def pack(ids: np.ndarray, first: np.ndarray, lengths: np.ndarray, codes: np.ndar
     return words.astype(">u8").tobytes()[:int(byte[-1])], at, byte
 
 
-def unpack(data: bytes, at: np.ndarray, counts: np.ndarray, longest: int, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
+def unpack(data: bytes, at: np.ndarray, counts: np.ndarray, longest: int, symbols: np.ndarray) -> np.ndarray:
     """counts[k] ids from bit at[k] on, for all k in step; laid end to end."""
     if not len(at):
         return np.zeros(0, np.uint32)
@@ -100,8 +99,9 @@ def unpack(data: bytes, at: np.ndarray, counts: np.ndarray, longest: int, symbol
         if left[len(place) - 1] <= i:
             place = place[:np.searchsorted(-left, -i, "left")]
         key = (ahead[np.minimum(place >> 3, last)] << (place & 7).astype(np.uint32)) >> np.uint32(32 - longest)
-        out[i, :len(place)] = symbol[key]
-        place = place + length[key]
+        out[i, :len(place)] = found = symbols[key]
+        place = place + (found & 31)
+    out >>= 5
     rows = np.empty_like(out.T)
     rows[order] = out.T
     return rows[np.arange(steps) < counts[:, None]]

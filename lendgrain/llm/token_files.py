@@ -31,6 +31,7 @@ from lendgrain.llm.shared import new_folder, staged
 
 MAGIC = b"LGTOK1\n"
 BLOCK_IDS = 1 << 20
+PACKED_IDS = 1 << 17  # at a time; the tables of more do not stay in a core's cache
 FILE_BYTES = 128 << 20
 END_ID = 0
 
@@ -113,8 +114,8 @@ def coded(tokens: DataFrame, lengths: np.ndarray, kind: str, limits: list) -> Da
             of = np.searchsorted(limits, b.column(0).fill_null(0).to_numpy(), "left") + 1 if limits else np.ones(len(n), np.int64)
             of = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), 0, of).astype(np.int32)
             at = 0
-            while at < len(n):  # about a million ids at a time
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + BLOCK_IDS, "right")))
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + PACKED_IDS, "right")))
                 ids = laid_out(b.column(2).slice(at, to - at), kind)
                 first = np.cumsum(n[at:to]) - n[at:to]
                 data, place, byte = pack(ids, first, lengths, codes)
