@@ -78,7 +78,7 @@ def quantiles(vt: DataFrame, probs, kind=7, keys=("variable",), pieces=None) ->
     """(keys, n, q): q is the array of quantiles. kind 7 interpolates at position (n-1)p+1, kind 8
     at (n+1/3)p+1/3."""
     keys, pieces = list(keys), pieces or n_pieces(vt)
-    pv = _pieces(vt, keys, pieces)
+    pv = _pieces(vt.select(*keys, "value", "n"), keys, pieces)
     starts = cut_lineage(_piece_starts(pv, keys, ["n"]))
     # the tables of wanted ranks below have at most two rows a probability for each row of this one
     side = F.broadcast if starts.count() * (3 + 4 * len(probs)) <= BROADCAST_NUMBERS else lambda df: df
